@@ -85,7 +85,7 @@ def probability(host: Column, path: Column) -> Column:
     table = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")
     x = features(host, path)
     total = F.aggregate(x, F.lit(0.0), lambda acc, k: acc + F.get(table, k))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(bias) + total / F.sqrt(F.size(x).cast("double")))))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(bias) + total / F.sqrt(F.greatest(F.size(x), F.lit(1)).cast("double")))))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...], url_col: str = "url", threshold: float = 0.5) -> DataFrame:
