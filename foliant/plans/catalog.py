@@ -322,7 +322,9 @@ def reading_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.paginate(segments.granularize(segments.layout(built, "quick")), ["doc_id"], ["ord", "part"]).select("doc_id", "ord", "part", "role", "text", "page_number")
 
 
-@query()
+@query("""with t as (select conv_id, turn, role, length(text) % 5 n from conversations),
+b as (select conv_id, turn, role, n, max(case when role = 'user' then turn end) over (partition by conv_id, n order by turn rows between unbounded preceding and 1 preceding) target from t)
+select cast(conv_id as varchar) doc_id, 'node_' || turn src_node_id, cast(n as int) n, 'node_' || target target_node_id, case when target is null then 'apparatus:reference_unbound_node_' || turn end warning from b where role <> 'user'""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as notes and references, numbered by length: the last earlier note of a number in the conversation."""
     turns = table(spark, sf_dir, "conversations")
@@ -343,14 +345,19 @@ def bind_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apparatus.bind_cascade(markers, notes).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), "note_id")
 
 
-@query()
+@query(f"""with t as (select conv_id, turn, case when turn % 2 = 0 then '1. ' || text else text end as text, turn % 2 = 1 and turn - lag(turn) over (partition by conv_id order by turn) = 1 joins from conversations),
+i as (select *, sum(case when joins then 0 else 1 end) over (partition by conv_id order by turn rows between unbounded preceding and current row) island from t),
+m as (select conv_id doc_id, min(turn) ord, 'node_' || min(turn) node_id, cast(min(turn) as int) page_index, string_agg(text, ' ' order by turn) as text from i group by conv_id, island)
+select *, case when {_SQL_STRIPPED} > 0 then {_SQL_BUCKET.format(n=_SQL_STRIPPED)} end length_category from m""")
 def cross_page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     notes = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.concat(F.lit("node_"), "turn").alias("node_id"), F.col("turn").cast("int").alias("page_index"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("1. "), "text")).otherwise(F.col("text")).alias("text"))
     return repair.merge_cross_page_notes(notes)[0]
 
 
-@query()
+@query(r"""with t as (select conv_id, turn, (case when turn > 0 then '… ' else '' end) || left(text, 30) || (case when turn < 1 then ' …' else '' end) as text from conversations),
+p as (select *, turn = 0 and lead(turn) over w is not null as head, turn = 1 and lag(turn) over w is not null as tail, lead(text) over w nxt from t window w as (partition by conv_id order by turn))
+select conv_id doc_id, turn ord, 'node_' || turn node_id, case when head then regexp_replace(text, '\s*(?:\.\.\.|…)\s*$', '') || ' ' || regexp_replace(nxt, '^\s*(?:\.\.\.|…)\s*', '') else text end as text, case when head then 2 else 1 end n_parts from p where not tail""")
 def ellipsis_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     text = F.concat(F.when(F.col("turn") > 0, "… ").otherwise(""), F.substring("text", 1, 30), F.when(F.col("turn") < 1, " …").otherwise(""))
