@@ -25,7 +25,9 @@ PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 WINDOW = ANCHOR + PERIOD - 1
 #: Hashes that a task holds before it sends them.
 FLUSH = 1_000_000
-_PACKED = "bucket int, sure boolean, hashes binary, docs binary, places binary"
+_PACKED = "bucket int, sure boolean, n int, hashes binary, docs binary, places binary"
+#: Lower bytes of a hash that travel besides its bucket, which its upper bits give. Anchors that meet by chance are told apart when extended.
+ANCHOR_BYTES, WINDOW_BYTES = 6, 8
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +40,28 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, windows(h, ANCHOR)[at]
 
 
+def _planes(x: np.ndarray, kind: str, width: int) -> bytes:
+    """Differences of neighbours, lowest bytes of all first: what changes little then compresses well."""
+    d = np.diff(x.astype(kind), prepend=np.zeros(1, kind))
+    return d.view(np.uint8).reshape(-1, np.dtype(kind).itemsize)[:, :width].T.tobytes()
+
+
+def _unplane(data: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(size, n).T.copy().view(kind).ravel(), dtype=kind)
+
+
+def _low_bytes(h: np.ndarray, width: int) -> bytes:
+    return h.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_low_bytes(data: bytes, width: int) -> np.ndarray:
+    own = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, :width] = own
+    return out.view(np.uint64).ravel()
+
+
 def _starts(runs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
 
@@ -55,18 +79,21 @@ def _send(h: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int, both:
     later = doc != least
     most = doc[np.append(first[1:], len(h)) - 1][run]
     bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    rows: list[list] = [[], [], [], [], []]
+    rows: list[list] = [[], [], [], [], [], []]
+    width = ANCHOR_BYTES if both else WINDOW_BYTES
     for kind in (False, True):
         chosen = ((most != least) if both else later) if kind else ~later
         b, hs, ds, ps = (x[chosen] for x in (bucket, h, doc, place))
         if not len(b):
             continue
+        order = np.lexsort((ps, ds, b))
+        b, hs, ds, ps = b[order], hs[order], ds[order], ps[order]
         edges = np.append(_starts(b), len(b))
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            for column, value in zip(rows, (int(b[s]), kind, b"" if kind else hs[s:e].tobytes(), ds[s:e].tobytes(), ps[s:e].astype(np.int32).tobytes()), strict=True):
+            for column, value in zip(rows, (int(b[s]), kind, e - s, b"" if kind else _low_bytes(hs[s:e], width), _planes(ds[s:e], "<i8", 8), _planes(ps[s:e], "<i4", 4)), strict=True):
                 column.append(value)
-    types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["bucket", "sure", "hashes", "docs", "places"])
+    types = (pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["bucket", "sure", "n", "hashes", "docs", "places"])
 
 
 class _Entries:
@@ -111,15 +138,15 @@ def _meet(packed: DataFrame, both: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 200_000]), pa.array(place[k : k + 200_000])], names=["doc_id", "place"])
 
         for batch in batches:
-            for bucket, sure, h, doc, place in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for bucket, sure, n, h, doc, place in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if bucket != now:
                     yield from settle()
                     now = bucket
-                d, p = np.frombuffer(doc, np.int64), np.frombuffer(place, np.int32)
+                d, p = _unplane(doc, "<i8", n), _unplane(place, "<i4", n)
                 if sure:
                     yield from out(d, p, np.ones(len(d), bool))
                 else:
-                    held.append((np.frombuffer(h, np.uint64), d, p))
+                    held.append((_from_low_bytes(h, ANCHOR_BYTES if both else WINDOW_BYTES), d, p))
         yield from settle()
 
     buckets = packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
@@ -131,6 +158,15 @@ def _by_document(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
+def _squeeze(text: bytes | None) -> bytes | None:
+    """Text as it waits in tables for its next look: its length, and zstd."""
+    return None if text is None else len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def _expand(data: bytes | None) -> bytes | None:
+    return None if data is None else pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -173,10 +209,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(mark) > 0).view(np.int8), [0]))))
                     runs = edges.reshape(-1, 2).astype(np.int32)
                 done = not len(runs)
-                for column, value in zip(out, (doc, len(w), None if done else text, runs.tobytes(), _digest(w) if done else None), strict=True):
+                for column, value in zip(out, (doc, len(w), None if done and not texts else _squeeze(text), runs.tobytes(), _digest(w) if done else None), strict=True):
                     column.append(value)
-                if texts and done:
-                    out[2][-1] = text
             types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_words", "text", "runs", "sha"])
 
@@ -186,7 +220,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         hashes, entries = WordHashes(), _Entries(buckets, both=False)
         for batch in batches:
             for doc, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h = windows(hashes.of(split_words(text)), WINDOW)
+                h = windows(hashes.of(split_words(_expand(text))), WINDOW)
                 at = np.concatenate([np.arange(s, e) for s, e in np.frombuffer(runs, np.int32).reshape(-1, 2)])
                 yield from entries.add(h[at], doc, at)
         yield from entries.flush()
@@ -199,7 +233,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for doc, n, text, sha, places in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 w, spans, n_removed = None, [], 0
                 if places:
-                    w = split_words(text)
+                    w = split_words(_expand(text))
                     mark = np.zeros(n + 1, np.int32)
                     p = np.array(places, np.int64)
                     np.add.at(mark, p, 1)
@@ -209,7 +243,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     n_removed = int(gone.sum())
                     w = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
                 elif sha is None or texts:
-                    w = split_words(text)
+                    w = split_words(_expand(text))
                 row = (doc, n, n_removed, [{"start": s, "end": e} for s, e in spans], sha or _digest(w), b" ".join(w).decode() if texts else None)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
