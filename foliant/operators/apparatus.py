@@ -96,3 +96,9 @@ def bind_cascade(markers: DataFrame, notes: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "note_id").orderBy("ord")
     first = F.when(F.col("note_id").isNotNull(), F.row_number().over(w))
     return out.withColumn("note_id", F.when(first == 1, F.col("note_id"))).select(*markers.columns, "note_id")
+
+
+def join_positions(left: DataFrame, right: DataFrame, keys: list[str], left_order: str, right_order: str) -> DataFrame:
+    """The nth row of the left side with the nth of the right for each key; what has no partner on the right stays alone."""
+    number = lambda df, order: df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return number(left, left_order).join(number(right, right_order), [*keys, "__n"], "left").drop("__n")

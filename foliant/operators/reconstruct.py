@@ -190,3 +190,9 @@ def mint_references(nodes: DataFrame, pattern: str = "(?<![(\\d])\\((\\d+)\\)",
     found = nodes.select("doc_id", F.col("node_id").alias("src_node_id"), "ord", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("seq", "marker"))
     found = found.withColumn("n", F.col("marker").cast("int"))
     return found.where(F.col("n") <= cap), found.where(F.col("n") > cap).select("doc_id", F.concat_ws("_", F.lit("refs:marker_above_cap"), "src_node_id", "marker").alias("text"))
+
+
+def keep_first(items: DataFrame, keys: list[str], order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """The first row of each key, and the repeated ones."""
+    numbered = items.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return numbered.where("__n = 1").drop("__n"), numbered.where("__n > 1").drop("__n")

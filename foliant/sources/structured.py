@@ -276,3 +276,27 @@ def read_pdf(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     return files.mapInPandas(run, schemas.SPANS)
+
+
+def write_contract(documents: DataFrame, path: str) -> None:
+    """One JSON text for each document, in files by document."""
+    documents.select("doc_id", F.col("json").alias("value")).write.partitionBy("doc_id").text(path)
+
+
+def document_summary(documents: DataFrame, nodes: DataFrame, warnings: DataFrame, version: str = SCHEMA_VERSION) -> DataFrame:
+    """Id, profile, version, pages, nodes and warnings of each document."""
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    pages = nodes.groupBy("doc_id").agg((F.max("page_index") + 1).alias("n_pages"), F.count("*").alias("n_nodes"))
+    return documents.select("doc_id", "profile_id").join(pages, "doc_id", "left").join(count(warnings, "n_warnings"), "doc_id", "left").fillna(0, ["n_pages", "n_nodes", "n_warnings"]).withColumn("schema_version", F.lit(version))
+
+
+def json_schema(ddl: str) -> str:
+    """A table's schema as JSON with sorted keys."""
+    from pyspark.sql.types import StructType
+
+    return json.dumps(StructType.fromDDL(ddl).jsonValue(), indent=2, sort_keys=True) + "\n"
+
+
+def write_snapshot(summary: DataFrame, path: str) -> None:
+    """Rows as JSON, one a line, nulls kept; columns in alphabetical order."""
+    summary.select(*sorted(summary.columns)).write.option("ignoreNullFields", "false").json(path)
