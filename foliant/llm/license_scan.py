@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.common import pinned
+
 #: Templates: notices and opening sentences that public licences ask for, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache": (
@@ -130,12 +132,13 @@ def scan_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     _, bias = train()
     lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "t"))
-    word = lines.withColumn("w", F.filter(F.split(F.lower("t"), "[^a-z0-9]+", -1), lambda x: x != "")).where(F.size("w") >= min(SIZES)).drop("t")
-    n = lambda k: F.greatest(F.size("w") - (k - 1), F.lit(0))
-    pair = F.zip_with(F.slice("w", 1, n(2)), F.slice("w", 2, n(2)), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
-    triple = F.transform(F.zip_with(F.slice("w", 1, n(3)), F.slice("w", 2, n(3)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x, i: F.xxhash64(F.concat(x, F.lit(" "), F.get("w", i + 2))))
-    triple = F.when(F.size("w") > 2, triple).otherwise(F.array().cast("array<bigint>"))
-    own = word.withColumn("grams", F.array_distinct(F.concat(pair, triple))).drop("w")
+    rest = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(F.size(c) - k, F.lit(0)))
+    own = lines.withColumn("w", pinned(F.filter(F.split(F.lower("t"), "[^a-z0-9]+", -1), lambda x: x != ""))).drop("t")
+    # zip_with pads the shorter side with null, and what is concatenated with null is null
+    own = own.withColumn("p2", pinned(F.zip_with("w", rest("w", 1), lambda a, b: F.concat(a, F.lit(" "), b))))
+    own = own.withColumn("p3", F.zip_with("p2", rest("w", 2), lambda a, b: F.concat(a, F.lit(" "), b)))
+    grams_ = F.array_distinct(F.transform(F.filter(F.concat("p2", "p3"), lambda x: x.isNotNull()), lambda x: F.xxhash64(x)))
+    own = own.withColumn("grams", pinned(grams_)).drop("w", "p2", "p3")
     own = own.select("doc_id", "line", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
     hits = own.join(F.broadcast(model_table(spark)), "gram").select("doc_id", "line", "n_grams", F.explode("families").alias("f"))
     sums = hits.groupBy("doc_id", "line", "n_grams", "f.family").agg(F.sum("f.weight").alias("weight"), F.sum("f.inside").alias("inside"))

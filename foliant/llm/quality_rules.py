@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import pinned
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
 #: Rules in the order of their bits. Percentages are compared in whole numbers.
@@ -62,8 +64,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc: acc["n"],
     )
     measured = {
-        # never a partition below 0: keeps filters on the ledger above this projection, where pushing them down would repeat its expressions
-        "n_words": F.when(F.spark_partition_id() < 0, 0).otherwise(F.size("__w")),
+        "n_words": pinned(F.size("__w")),
         "word_chars": F.length(F.array_join("__w", "")),
         "n_symbols": F.regexp_count("__t", F.lit("[#*$%&|<>]")),
         "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
