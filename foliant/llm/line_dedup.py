@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize
+from foliant.llm.common import materialize, pinned
 
 WINDOW = 3
 
 
-def _windows(lines: Column, width: int) -> Column:
-    """``pos, h1, h2`` of each window of ``width`` lines that aren't all blank; trailing blanks don't count."""
-    trimmed = F.transform(lines, lambda x: F.rtrim(x))
-    starts = F.when(F.size(trimmed) >= width, F.sequence(F.lit(0), F.size(trimmed) - width)).otherwise(F.array().cast("array<int>"))
+def _windows(width: int) -> Column:
+    """``pos, h1, h2`` of each window of ``width`` lines of ``__t`` that aren't all blank."""
+    starts = F.when(F.size("__t") >= width, F.sequence(F.lit(0), F.size("__t") - width)).otherwise(F.array().cast("array<int>"))
 
     def window(i: Column) -> Column:
-        part = [F.get(trimmed, i + k) for k in range(width)]
+        part = [F.get("__t", i + k) for k in range(width)]
         return F.struct(i.alias("pos"), F.xxhash64(*part).alias("h1"), F.xxhash64(F.lit(1), *part).alias("h2"), F.concat(*part).alias("t"))
 
     return F.transform(F.filter(F.transform(starts, window), lambda w: F.length(F.trim(w["t"])) > 0), lambda w: F.struct(w["pos"], w["h1"], w["h2"]))
@@ -24,9 +23,9 @@ def _windows(lines: Column, width: int) -> Column:
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """``doc_id, positions``: starts of windows of which an earlier one exists, by document id and then position."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    found = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(_windows(lines, width)).alias("w"))
-    found = found.select("doc_id", "w.pos", "w.h1", "w.h2")
+    # trailing blanks don't count
+    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), pinned(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.rtrim(x))).alias("__t"))
+    found = lines.select("doc_id", pinned(_windows(width)).alias("w")).select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.pos", "w.h1", "w.h2")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
     first = first.where("first <> last").select("h1", "h2", F.col("first.doc_id").alias("d0"), F.col("first.pos").alias("p0"))
     later = found.join(first, ["h1", "h2"]).where("doc_id <> d0 or pos <> p0")
@@ -47,7 +46,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = materialize(repeated_windows(docs, id_col, text_col, width), "windows").toDF("__id", "__at")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_spans")]
     joined = docs.select(*own).join(hits, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    at = F.coalesce("__at", F.array().cast("array<int>"))
+    joined = joined.withColumn("__at", pinned(F.coalesce("__at", F.array().cast("array<int>")))).withColumn("__lines", pinned(F.split(F.col(text_col), "\n", -1)))
+    at = F.col("__at")
     first = F.filter(at, lambda p, i: (i == 0) | (p - F.get(at, i - 1) > width))
     last = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - p > width))
     spans = F.zip_with(first, last, lambda p, q: F.struct(p.alias("start"), (q + width).alias("end")))
@@ -56,7 +56,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = F.concat(F.array(F.lit(0)), F.col("removed_spans.end"))
     starts = F.concat(F.col("removed_spans.start"), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
-    out = joined.withColumn("__lines", F.split(F.col(text_col), "\n", -1)).withColumn("removed_spans", spans)
+    out = joined.withColumn("removed_spans", pinned(spans))
     removed = F.aggregate("removed_spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
     out = out.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0))).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
     out = out.withColumn("n_removed", removed.cast("long"))
