@@ -8,8 +8,9 @@ sizes, give a joint likelihood of the similarity, which drops candidates that ar
 what remains is verified on the full sets.
 
 Equal sets are one class from the start. In each bucket every class is verified against the bucket's smallest
-one; buckets that then still hold two components are compared in blocks of a few hundred classes each, so that
-no group of copies is ever expanded into its pairs or gathered in one task.
+one. Where a bucket then still holds several components, plausible ties between them gather groups, and each group's
+components are compared on full sets, block by block: a task holds two blocks of bounded size, computes all intersections
+at once, and returns as many links as join components. So no group is gathered in one task and no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ from foliant.llm.components import connected_components
 
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.1, 20.0, 255
-#: Classes a block of a large bucket holds on average.
-BLOCK = 128
+#: Classes a block of a large bucket holds on average, and shingles a block of a group.
+BLOCK, BLOCK_SHINGLES = 128, 250_000
 #: Candidates are dropped when their likelihood at any similarity of the threshold or more is below the best one by this factor's logarithm.
 IMPLAUSIBLE = 16.0
 
+#: Equal registers without which a pair is implausible: eight deviations below what the least similarity gives.
+_LEAST_EQUAL = int(0.42 * REGISTERS)
+
 _MULT = (mix(np.arange(1001, 1001 + REGISTERS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SEED = (mix(np.arange(5001, 5001 + REGISTERS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -109,32 +113,109 @@ def _plausible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
-def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """``lo, hi, members``: plausible pairs between a bucket's blocks whose components differ."""
+class _Sets:
+    """Disjoint sets of labels within one task."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _block_ties(blocks: DataFrame, percent: int) -> DataFrame:
+    """Of ``lo, hi, members``, plausible pairs that tie components together, as few as span what hangs together in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: tuple[list, list] = ([], [])
             for lo, hi, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids, n, comp, blk = (np.array([m[k] for m in members]) for k in ("node", "n", "comp", "blk"))
                 regs = np.frombuffer(b"".join(m["r"] for m in members), np.uint8).reshape(-1, REGISTERS)
-                for i in range(len(ids)):
-                    if blk[i] != lo:
-                        continue
-                    j = np.flatnonzero((comp != comp[i]) & ((blk == hi) if lo != hi else (ids > ids[i])))
+                tied, place = _Sets(), comp.copy()
+                for i in np.flatnonzero(blk == lo).tolist():
+                    own = tied.root(int(comp[i]))
+                    j = np.flatnonzero((place != own) & ((blk == hi) if lo != hi else (ids > ids[i])))
+                    j = j[(regs[j] == regs[i]).sum(axis=1) >= _LEAST_EQUAL]
                     if len(j):
-                        keep = j[plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)]
-                        if len(keep):
-                            a, b = np.minimum(ids[i], ids[keep]), np.maximum(ids[i], ids[keep])
-                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                        j = j[plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)]
+                    for k in j.tolist():
+                        if tied.join(int(comp[i]), int(comp[k])):
+                            out[0].append(int(ids[i]))
+                            out[1].append(int(ids[k]))
+                    if len(j):
+                        place = np.array([tied.root(int(c)) for c in comp])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     return map_arrow(blocks, run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``a, b``, those whose full sets are similar enough. Texts travel, each only if it has a candidate."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    joined = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of their incidence matrices in bands of columns."""
+    sets = [*left, *right]
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    doc, column = doc[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    number = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        a, b = np.searchsorted(number, (start, start + 4096))
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[doc[a:b], number[a:b] - start] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _exact_links(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components of a group (``node, n, comp, grp``), found on full sets: blocks of a group meet in pairs.
+
+    A block holds about ``BLOCK_SHINGLES``, however long its texts. Of the links of a block, as many are returned as
+    join its components.
+    """
+    open_ = groups.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("total")).where("lo <> hi")
+    rows = groups.join(open_.select("grp", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb")), "grp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("grp", F.least("blk", "other").alias("b_lo"), F.greatest("blk", "other").alias("b_hi"), "node", "comp", "blk", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, tied, out = WordHashes(), _Sets(), ([], [])
+        node, comp, blk = (table[c].to_numpy() for c in ("node", "comp", "blk"))
+        lo, hi = (table[c][0].as_py() for c in ("b_lo", "b_hi"))
+        sets = [shingle_set(t, hashes, width) for t in as_bytes(table["text"].combine_chunks())]
+        left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        if len(left) and len(right):
+            both = common_counts([sets[i] for i in left], [sets[i] for i in right])
+            n = np.array([len(x) for x in sets])
+            linked = (both > 0) & (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                if tied.join(int(comp[left[i]]), int(comp[right[j]])):
+                    out[0].append(int(node[left[i]]))
+                    out[1].append(int(node[right[j]]))
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    return materialize(rows.groupBy("grp", "b_lo", "b_hi").applyInArrow(run, "a long, b long"), "links")
+
+
+def _texts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Texts of the documents in ``ends``, one for each id, as a table."""
+    return materialize(docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of ``a, b``, those whose full sets are similar enough."""
+    joined = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), OrderedDict()
@@ -149,8 +230,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
-            for x, y, tx, ty in zip(a, b, as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
-                # the bucket's smallest document recurs: look it up last, so that it stays
+            for x, tx, ty in zip(a, as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+                # rows of one leader stand together, so its set is made once
                 s, t = shingle_set(ty, hashes, width), full(x, tx)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
@@ -180,11 +261,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = classes.select("node", "n", "r")
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(nodes.toDF("b", "nb", "rb"), "b").join(nodes.toDF("a", "na", "ra"), "a").select("a", "b", "na", "nb", "ra", "rb")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = _texts(raw, members.select(F.col("node").alias("doc_id")).distinct())
     links = _verify(materialize(_plausible_pairs(stars, percent), "stars"), texts, width, percent)
-    # documents that repeat an id stand for one node, whatever their texts
     components = connected_components(links)
 
+    # buckets that still hold several components: tie what may be similar into groups, then compare each group's components on full sets
     named = members.where("size > 2").join(components, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("comp"))
     named = materialize(named, "named")
     open_bands = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
@@ -192,9 +274,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = named.join(open_bands, "band", "left_semi").join(nodes, "node").withColumn("nb", n_blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     blocks = rest.groupBy("band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi")).agg(F.collect_list(F.struct("node", "n", "r", "comp", "blk")).alias("members"))
-    more = materialize(_block_pairs(blocks.where(F.size("members") > 1).select("lo", "hi", "members"), percent).distinct().join(links, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        components = connected_components(links.unionByName(_verify(more, texts, width, percent)))
+    ties = materialize(_block_ties(blocks.where(F.size("members") > 1).select("lo", "hi", "members"), percent), "ties")
+    if not ties.isEmpty():
+        groups = connected_components(links.unionByName(ties)).withColumnRenamed("component", "grp")
+        placed = groups.join(components, "node", "left").join(nodes.select("node", "n"), "node").select("node", "n", "grp", F.coalesce("component", "node").alias("comp"))
+        components = connected_components(links.unionByName(_exact_links(placed, texts, width, percent)))
 
     by_class = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("class_component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
