@@ -8,66 +8,75 @@ find their place by length and rank.
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import map_arrow, materialize
+from foliant.llm.common import as_bytes, map_arrow, materialize
 
 CAPACITY, END = 4096, 1
-CACHE_PIECES = 150_000
+#: Distinct parts of texts whose ids a worker remembers; bytes of texts it encodes at once.
+CACHE_PARTS, BATCH_BYTES = 400_000, 2_000_000
 
 
 class Tokens:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Where the tokenizer splits texts by a pattern before it merges, each distinct piece is encoded once and remembered, up to a
-    bound; any other tokenizer, and any text that could hold a special token, is encoded whole.
+    Tokenizers that drop white space and never merge across it give a text the ids of its parts between ASCII white space, one part after the
+    other. Distinct parts are encoded in batches and remembered, up to a bound. Any other tokenizer encodes texts whole.
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.whole = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
-        self.split = None
-        steps = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or []) + [None, None]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.known: dict[bytes, bytes] = {}
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        first = steps[0] or {}
-        if first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and (steps[1] or {}).get("use_regex") is False and not spec["model"].get("dropout") and normal == ["NFC", "Replace", "Lowercase"]:
-            self.split = regex.compile(first["pattern"]["Regex"])
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_part = (
+            normal == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and steps[0]["pattern"].get("Regex") == _PATTERN
+            and not spec["model"].get("dropout") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
+        )
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_part:
+            return self._ids([t.decode() for t in texts])
+        parts = [t.split() for t in texts]
+        distinct = set().union(*parts)
+        new = [x for x in distinct if x not in self.known]
+        if len(self.known) + len(new) > CACHE_PARTS:
+            self.known = {x: self.known[x] for x in distinct if x in self.known}
+        self.known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
-    def encode(self, text: str) -> bytes:
-        if self.split is None or _ODD.search(text) or any(s in text for s in self.special):
-            return self._ids(text)
-        cache, out = self.cache, []
-        for piece in self.split.findall(text.lower()):
-            ids = cache.get(piece)
-            if ids is None:
-                if len(cache) >= CACHE_PIECES:
-                    cache.clear()
-                ids = cache[piece] = self._ids(piece)
-            out.append(ids)
-        return b"".join(out)
 
+#: Fixed value: a pattern whose pieces hold no white space.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_TOKENS: dict[str, Tokens] = {}
 
-#: Anything but letters, signs and spaces whose normal form and lower case are beyond doubt; texts with it are encoded whole.
-_ODD = regex.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u012f\\u0131-\\u017f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
+
+def tokens_of(path: str) -> Tokens:
+    """The worker's own tokenizer, kept from task to task."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
 
 
 def _tables(histogram: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -165,21 +174,35 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ranks = Tokens(tokenizer), Counter()
+        tokens, ranks = tokens_of(tokenizer), Counter()
         task = TaskContext.get().partitionId()
-        for batch in batches:
+        end = END.to_bytes(4, "little")
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary() if ids == "ids" else pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "data", "rank", "task"]
+
+        def emit(docs: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = tokens.encode(text or "") + END.to_bytes(4, "little")
+            for doc, data in zip(docs, tokens.encode(texts), strict=True):
+                data += end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     n = len(part) // 4
                     for column, value in zip(rows, (doc, piece, at // 4, n, part if ids == "ids" else zlib.crc32(part), ranks[n]), strict=True):
                         column.append(value)
                     ranks[n] += 1
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary() if ids == "ids" else pa.int64(), pa.int64()]
-            arrays = [pa.array(c, t) for c, t in zip(rows, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([task] * len(rows[0]), pa.int32())], names=["doc_id", "piece", "start", "length", "data", "rank", "task"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, types, strict=True)), pa.array([task] * len(rows[0]), pa.int32())], names=names)
+
+        for batch in batches:
+            held_docs, held_texts, size = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                held_docs.append(doc)
+                held_texts.append(text or b"")
+                size += len(held_texts[-1])
+                if size >= BATCH_BYTES:
+                    yield emit(held_docs, held_texts)
+                    held_docs, held_texts, size = [], [], 0
+            if held_docs:
+                yield emit(held_docs, held_texts)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     kind = "binary" if ids == "ids" else "long"
