@@ -9,20 +9,26 @@ from foliant.llm.common import materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest node reachable from each node that has an edge: columns ``node``, ``component``.
+    """Smallest node reachable from each node that has an edge to another: columns ``node``, ``component``.
 
-    Each round takes the least label among neighbours, then follows labels once (pointer jumping), so
-    long chains halve; it ends when no label changes. Each round's labels are a table in the shared folder.
-    No edges: no rows. Null ends are ignored.
+    The graph is contracted round by round: each node merges into the one of least hash among itself and its neighbours, and edges
+    are rewritten, so those within a merged set vanish and the rest shrink by a constant factor, whatever order a chain has. Each round's
+    tables are in the shared folder. No edges: no rows. Null ends and loops are ignored.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null")
-    both = materialize(both.unionAll(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
-    labels = materialize(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("component")), "labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        near = labels.join(seen, "node").select("node", F.least("component", "near").alias("hop"), F.col("component").alias("was"))
-        jump = labels.select(F.col("node").alias("hop"), F.col("component").alias("far"))
-        new = materialize(near.join(jump, "hop", "left").select("node", F.least("hop", F.coalesce("far", "hop")).alias("component"), "was"), "labels")
-        if new.where("component <> was").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+    ordered = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    left, labels = materialize(ordered.distinct(), "edges"), None
+    while not left.isEmpty():
+        ends = left.select(F.col("hi").alias("node"), F.col("lo").alias("other")).unionAll(left.select(F.col("lo").alias("node"), F.col("hi").alias("other")))
+        least = ends.groupBy("node").agg(F.min(F.struct(F.xxhash64("other").alias("h"), F.col("other").alias("to"))).alias("m"))
+        into = F.least(F.col("m"), F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("to")))
+        into = materialize(least.select("node", into["to"].alias("into")), "into")
+        if labels is None:
+            labels = into.select("node", F.col("into").alias("label"))
+        else:
+            labels = materialize(labels.join(into.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+        moved = left.join(into.toDF("hi", "x"), "hi").join(into.toDF("lo", "y"), "lo").where("x <> y")
+        left = materialize(moved.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "edges")
+    if labels is None:
+        return left.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
+    return materialize(labels.join(smallest, "label").select("node", "component"), "components")

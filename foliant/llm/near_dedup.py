@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, mix, split_words, windows
+from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, mix, partitions, split_words, windows
 from foliant.llm.components import connected_components
 
 REGISTERS, ROWS = 128, 4
@@ -133,7 +133,7 @@ class _Sets:
 
 
 def _block_ties(blocks: DataFrame, percent: int) -> DataFrame:
-    """Of ``lo, hi, members``, plausible pairs that tie components together, as few as span what hangs together in a block."""
+    """Of ``lo, hi, members``, ties of components by plausible pairs, as few as span what hangs together in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,19 +141,17 @@ def _block_ties(blocks: DataFrame, percent: int) -> DataFrame:
             for lo, hi, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids, n, comp, blk = (np.array([m[k] for m in members]) for k in ("node", "n", "comp", "blk"))
                 regs = np.frombuffer(b"".join(m["r"] for m in members), np.uint8).reshape(-1, REGISTERS)
-                tied, place = _Sets(), comp.copy()
+                place = comp.copy()
                 for i in np.flatnonzero(blk == lo).tolist():
-                    own = tied.root(int(comp[i]))
-                    j = np.flatnonzero((place != own) & ((blk == hi) if lo != hi else (ids > ids[i])))
+                    j = np.flatnonzero((place != place[i]) & ((blk == hi) if lo != hi else (ids > ids[i])))
                     j = j[(regs[j] == regs[i]).sum(axis=1) >= _LEAST_EQUAL]
                     if len(j):
                         j = j[plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)]
-                    for k in j.tolist():
-                        if tied.join(int(comp[i]), int(comp[k])):
-                            out[0].append(int(ids[i]))
-                            out[1].append(int(ids[k]))
                     if len(j):
-                        place = np.array([tied.root(int(c)) for c in comp])
+                        met = np.union1d(place[j], place[i : i + 1])
+                        out[0].extend(met[1:].tolist())
+                        out[1].extend([int(met[0])] * (len(met) - 1))
+                        place[np.isin(place, met)] = met[0]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     return map_arrow(blocks, run, "a long, b long")
@@ -182,7 +180,7 @@ def _exact_links(groups: DataFrame, texts: DataFrame, width: int, percent: int)
     """Links between components of a group (``node, n, comp, grp``), found on full sets: blocks of a group meet in pairs.
 
     A block holds about ``BLOCK_SHINGLES``, however long its texts. Of the links of a block, as many are returned as
-    join its components.
+    join its components, as pairs of components.
     """
     open_ = groups.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("total")).where("lo <> hi")
     rows = groups.join(open_.select("grp", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb")), "grp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
@@ -201,8 +199,8 @@ def _exact_links(groups: DataFrame, texts: DataFrame, width: int, percent: int)
             linked = (both > 0) & (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
             for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
                 if tied.join(int(comp[left[i]]), int(comp[right[j]])):
-                    out[0].append(int(node[left[i]]))
-                    out[1].append(int(node[right[j]]))
+                    out[0].append(int(comp[left[i]]))
+                    out[1].append(int(comp[right[j]]))
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     return materialize(rows.groupBy("grp", "b_lo", "b_hi").applyInArrow(run, "a long, b long"), "links")
@@ -273,12 +271,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rest = named.join(open_bands, "band", "left_semi").join(nodes, "node").withColumn("nb", n_blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    blocks = rest.groupBy("band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi")).agg(F.collect_list(F.struct("node", "n", "r", "comp", "blk")).alias("members"))
-    ties = materialize(_block_ties(blocks.where(F.size("members") > 1).select("lo", "hi", "members"), percent), "ties")
+    rest = rest.select("band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "node", "n", "r", "comp", "blk")
+    # the rows are few and the work on them much: by number, so that it isn't drawn together
+    blocks = rest.repartition(2 * partitions(docs.sparkSession), "band", "lo", "hi").groupBy("band", "lo", "hi").agg(F.collect_list(F.struct("node", "n", "r", "comp", "blk")).alias("members"))
+    ties = materialize(_block_ties(blocks.where(F.size("members") > 1).select("lo", "hi", "members"), percent).distinct(), "ties")
     if not ties.isEmpty():
-        groups = connected_components(links.unionByName(ties)).withColumnRenamed("component", "grp")
-        placed = groups.join(components, "node", "left").join(nodes.select("node", "n"), "node").select("node", "n", "grp", F.coalesce("component", "node").alias("comp"))
-        components = connected_components(links.unionByName(_exact_links(placed, texts, width, percent)))
+        groups = connected_components(ties).toDF("comp", "grp")
+        placed = nodes.join(components, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp")).join(groups, "comp")
+        joined = connected_components(_exact_links(placed, texts, width, percent)).toDF("component", "joined")
+        alone = joined.select(F.col("component").alias("node"), "component").join(components, "node", "left_anti")
+        components = components.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
     by_class = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("class_component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
