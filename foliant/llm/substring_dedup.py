@@ -26,8 +26,9 @@ WINDOW = ANCHOR + PERIOD - 1
 #: Hashes that a task holds before it sends them.
 FLUSH = 1_000_000
 _PACKED = "bucket int, sure boolean, n int, hashes binary, docs binary, places binary"
-#: Lower bytes of a hash that travel besides its bucket, which its upper bits give. Anchors that meet by chance are told apart when extended.
-ANCHOR_BYTES, WINDOW_BYTES = 6, 8
+#: Lower bytes of a hash that travel besides its bucket, which its upper bits give. Anchors that meet by chance are told apart when extended to
+#: windows; of a window's 64 bits, only those go that the bucket doesn't say.
+ANCHOR_BYTES, WINDOW_BYTES = 4, 7
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,12 +195,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     shared = _by_document(_meet(map_arrow(rows, send_anchors, _PACKED), both=True))
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_squeeze, as_bytes(batch.column(1))), pa.binary())], names=["doc_id", "text"])
+
     def near_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents' starts of windows to compare, as runs; those without any are done."""
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text, places in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                w = split_words(text)
+            for doc, text, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                w = split_words(_expand(text))
                 runs = np.empty((0, 2), np.int32)
                 if places and len(w) >= WINDOW:
                     mark = np.zeros(len(w) + 2, np.int32)
@@ -209,12 +214,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(mark) > 0).view(np.int8), [0]))))
                     runs = edges.reshape(-1, 2).astype(np.int32)
                 done = not len(runs)
-                for column, value in zip(out, (doc, len(w), None if done and not texts else _squeeze(text), runs.tobytes(), _digest(w) if done else None), strict=True):
+                for column, value in zip(out, (doc, len(w), None if done and not texts else text, runs.tobytes(), _digest(w) if done else None), strict=True):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_words", "text", "runs", "sha"])
 
-    judged = materialize(map_arrow(rows.join(shared, "doc_id", "left"), near_anchors, "doc_id long, n_words long, text binary, runs binary, sha string"), "judged")
+    judged = materialize(map_arrow(map_arrow(rows, squeeze, "doc_id long, text binary").join(shared, "doc_id", "left"), near_anchors, "doc_id long, n_words long, text binary, runs binary, sha string"), "judged")
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, entries = WordHashes(), _Entries(buckets, both=False)
