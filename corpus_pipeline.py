@@ -26,9 +26,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the smallest."""
+    """One document of each group, the smallest, and one row of each id; rows without an id stay."""
     groups = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(groups, "doc_id", "left_semi"))
+    # the join has brought the rows of an id together
+    return docs.where("doc_id is null").unionByName(docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

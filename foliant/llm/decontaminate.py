@@ -20,7 +20,7 @@ from foliant.llm.common import as_bytes, map_arrow
 
 WIDTH = 10
 #: Bytes of text in a shard, about; words of benchmark items searched in one pass.
-SHARD_BYTES, BLOCK_BYTES = 24_000_000, 16_000_000
+SHARD_BYTES, BLOCK_BYTES = 16_000_000, 16_000_000
 SAMPLE = 8
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes(0x20 if i in _SEPARATORS else i for i in range(256))
@@ -135,10 +135,9 @@ class Patterns:
         return symbols, at
 
 
-def _scan(shard: list[list[bytes]], patterns: Patterns) -> list[tuple[list[tuple[int, int]], set[str]]]:
-    """For each text of a shard: merged spans of words ``[start, end)`` that windows cover, and the items found."""
-    parts = [patterns.stretches(t) for t in shard]
-    found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in shard]
+def _scan(parts: list[tuple[np.ndarray, np.ndarray]], patterns: Patterns) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """For each text's stretches in a shard: merged spans of words ``[start, end)`` that windows cover, and the items found."""
+    found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in parts]
     if not sum(len(s) for s, _ in parts):
         return found
     text = np.concatenate([s for s, _ in parts])
@@ -211,26 +210,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
         def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names, cuts=cut and final) -> Iterator[pa.RecordBatch]:
             patterns = Patterns(shared.value, width)
 
-            def emit(held: list[tuple[pa.RecordBatch, list[bytes | None], list[list[bytes]]]]) -> Iterator[pa.RecordBatch]:
-                found = iter(_scan([w for _, _, texts in held for w in texts], patterns))
-                for batch, texts, split in held:
-                    n, spans, named, cleaned = [], [], [], []
-                    for text, w, old, had in zip(texts, split, batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            def emit(held: list[tuple[pa.RecordBatch, list[int], list[tuple[np.ndarray, np.ndarray]]]]) -> Iterator[pa.RecordBatch]:
+                found = iter(_scan([p for _, _, parts in held for p in parts], patterns))
+                for batch, n, _ in held:
+                    spans, named, cleaned = [], [], []
+                    for k, (old, had) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
                         new, got = next(found)
                         merged = merge_spans([(s["start"], s["end"]) for s in old] + new) if old else new
-                        n.append(len(w))
                         spans.append([{"start": s, "end": e} for s, e in merged])
                         named.append(sorted(got.union(had)))
                         if cuts:
-                            cleaned.append(cut_words(text, merged).decode() if merged else None if text is None else text.decode())
+                            text = batch.column(text_col)[k].as_py()
+                            cleaned.append(cut_words(text.encode(), merged).decode() if merged else text)
                     columns = [pa.array(cleaned, pa.string()) if cuts and c == text_col else batch.column(c) for c in names]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(named, pa.list_(pa.string()))], names=[*names, *_ADDED])
 
             held, size = [], 0
             for batch in batches:
-                texts = as_bytes(batch.column(text_col))
-                held.append((batch, texts, [words(t) for t in texts]))
-                size += sum(len(t) for t in texts if t)
+                counts, parts = [], []
+                for text in as_bytes(batch.column(text_col)):
+                    w = words(text)  # dropped when its stretches are known: most words don't stay
+                    counts.append(len(w))
+                    parts.append(patterns.stretches(w))
+                    size += len(text or b"")
+                held.append((batch.select([c for c in batch.schema.names if c != text_col or c in names]), counts, parts))
                 if size >= SHARD_BYTES:
                     yield from emit(held)
                     held, size = [], 0

@@ -138,9 +138,13 @@ def _block_ties(blocks: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            for lo, hi, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids, n, comp, blk = (np.array([m[k] for m in members]) for k in ("node", "n", "comp", "blk"))
-                regs = np.frombuffer(b"".join(m["r"] for m in members), np.uint8).reshape(-1, REGISTERS)
+            lists, every = batch.column(2), batch.column(2).flatten()
+            fields = [every.field(k).to_numpy() for k in ("node", "n", "comp", "blk")]
+            edges, own = lists.offsets.to_numpy() - lists.offsets[0].as_py(), every.field("r")
+            for k, (lo, hi) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                start, end = int(edges[k]), int(edges[k + 1])
+                ids, n, comp, blk = (f[start:end] for f in fields)
+                regs = np.frombuffer(b"".join(own.slice(start, end - start).to_pylist()), np.uint8).reshape(-1, REGISTERS)
                 place = comp.copy()
                 for i in np.flatnonzero(blk == lo).tolist():
                     j = np.flatnonzero((place != place[i]) & ((blk == hi) if lo != hi else (ids > ids[i])))
