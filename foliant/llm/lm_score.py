@@ -11,6 +11,7 @@ words too rare to be broadcast meet the documents that have them in buckets of h
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -118,13 +119,13 @@ class Ids(dict):
     """Number from 1 of each frequent word, 0 of others; remembers a bounded number of words."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+        self.hashes = hashes.tolist()  # single values are found faster in a list
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        h = np.uint64(xxhash.xxh3_64_intdigest(word))
-        at = int(np.searchsorted(self.hashes, h))
+        h = xxhash.xxh3_64_intdigest(word)
+        at = bisect.bisect_left(self.hashes, h)
         out = self[word] = at + 1 if at < len(self.hashes) and self.hashes[at] == h else 0
         return out
 
@@ -202,6 +203,11 @@ class Model:
         self.scale2, self.state2 = np.zeros(len(self.pairs)), np.zeros(len(self.pairs), bool)
         self.state2[pair[first[kept]]] = True
         self.scale2[pair[first[kept]]] = scale[kept]
+        # words that stand first or second in a state: what else isn't looked up
+        kept2 = self.pairs[np.flatnonzero(self.state2)]
+        self.first2, self.second2 = np.zeros(len(self.counts) + 1, bool), np.zeros(len(self.counts) + 1, bool)
+        self.first2[(kept2 >> np.uint64(32)).astype(np.int64)] = True
+        self.second2[(kept2 & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
         own = self.state2[pair]
         self.triples, self.ratio2 = keys[own], np.log10((c - DISCOUNT) / total / self.root[symbol])[own]
 
@@ -209,6 +215,8 @@ class Model:
         """log10 of P(symbol | context of one word) over the root's; symbol 0 is any that isn't frequent."""
         out = np.zeros(len(context))
         at = np.flatnonzero(self.state1[context])
+        if not len(at):
+            return out
         entry = _find(self.pairs, np.where(symbol[at] > 0, (context[at] << 32) | symbol[at], 0).astype(np.uint64))
         out[at] = np.where(entry >= 0, self.ratio1[entry] if len(self.ratio1) else 0.0, self.scale1[context[at]])
         return out
@@ -218,13 +226,14 @@ class Model:
         if len(ids) < 2:
             return 0.0
         out = self._level1(ids[:-1], ids[1:])
-        if len(ids) > 2 and self.state2.any():
-            pair = _find(self.pairs, pair_keys(ids[:-1]))
-            at = np.flatnonzero((pair >= 0) & self.state2[pair])
-            if len(at):
-                symbol = ids[2:][at]
-                entry = _find(self.triples, np.where(symbol > 0, ((pair[at] + 1) << 32) | symbol, 0).astype(np.uint64))
-                out[at + 1] = np.where(entry >= 0, self.ratio2[entry] if len(self.ratio2) else 0.0, self.scale2[pair[at]] + out[at + 1])
+        at = np.flatnonzero(self.first2[ids[:-2]] & self.second2[ids[1:-1]])
+        if len(at):
+            pair = _find(self.pairs, ((ids[at] << 32) | ids[at + 1]).astype(np.uint64))
+            own = (pair >= 0) & self.state2[pair]
+            at, pair = at[own], pair[own]
+            symbol = ids[at + 2]
+            entry = _find(self.triples, np.where(symbol > 0, ((pair + 1) << 32) | symbol, 0).astype(np.uint64))
+            out[at + 1] = np.where(entry >= 0, self.ratio2[entry] if len(self.ratio2) else 0.0, self.scale2[pair] + out[at + 1])
         return float(out.sum())
 
 
