@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import bisect
 import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,10 +31,6 @@ END = b"\n"
 HELD_OUT, FOLDS = 1, 5
 
 
-def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
-
-
 def tokens(text: bytes | None) -> list[bytes]:
     """Lower-cased words and the end token."""
     return [*split_words(text.lower() if text else text), END]
@@ -80,16 +75,16 @@ def _sum_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
-def _count(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.ndarray]], least: int) -> DataFrame:
-    """``key, c``: how often each key of the training documents occurs, from ``least`` times on."""
+def _count(docs: DataFrame, keys_of: Callable[[], Callable[[bytes | None], np.ndarray]], least: int) -> DataFrame:
+    """``key, c``: how often each key of the training documents occurs, from ``least`` times on. ``docs``: ``held_out`` and what keys are made of."""
     buckets = 4 * partitions(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, n = keys_of(), [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if not held_out(doc):
-                    held.append(keys(tokens(text)))
+            for out, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                if not out:
+                    held.append(keys(data))
                     n += len(held[-1])
                     if n >= FLUSH:
                         yield _pack(*np.unique(np.concatenate(held), return_counts=True), buckets, 0)
@@ -105,6 +100,16 @@ def _count(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.nda
     return _buckets(map_arrow(docs, send, _PACKED), settle, "key long, c long")
 
 
+def _code(ids: np.ndarray) -> bytes:
+    """Numbers of a text's words as they wait for the next pass: how many, and their bytes by place, compressed."""
+    return len(ids).to_bytes(8, "little") + pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _decode(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def _gather(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys in order and their counts; ``most`` is the proven bound of their number."""
     got = counts.toArrow()
@@ -247,43 +252,57 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p_min
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary = materialize(_count(rows, lambda: WordHashes().of, 1), "vocabulary")
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
+    rows = rows.withColumn("held_out", fold)
+
+    def words_of() -> Callable[[bytes | None], np.ndarray]:
+        hashes = WordHashes()
+        return lambda text: hashes.of(tokens(text))
+
+    vocabulary = materialize(_count(rows.select("held_out", "text"), words_of, 1), "vocabulary")
     v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     least, most = max(MIN_COUNT, math.ceil(p_min * n)), math.ceil(1 / p_min) + 1
     model = Model(n, v, _gather(vocabulary.where(F.col("c") >= least), most))
     words = spark.sparkContext.broadcast(model.hashes)
 
-    def pairs_of() -> Callable[[list[bytes]], np.ndarray]:
-        ids = Ids(words.value)
-        return lambda w: (k := pair_keys(ids.of(w)))[k > 0]
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as numbers of their frequent words, 0 for others, and hashes of those: made once for three passes."""
+        ids, at = Ids(words.value), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            coded, rare = [], []
+            for text in as_bytes(batch.column(1)):
+                w = tokens(text)
+                i = ids.of(w)
+                coded.append(_code(i))
+                rare.append(np.array([xxhash.xxh3_64_intdigest(w[k]) for k in np.flatnonzero(i == 0).tolist()], np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + batch.num_rows), pa.int64()), batch.column(0), batch.column(2), pa.array(coded, pa.binary()), pa.array(rare, pa.binary())], names=["row", "doc_id", "held_out", "ids", "rare"])
+            at += batch.num_rows
 
-    model.learn_pairs(_gather(_count(rows, pairs_of, least), most))
+    coded = materialize(map_arrow(rows.select("doc_id", "text", "held_out"), code, "row long, doc_id long, held_out boolean, ids binary, rare binary"), "coded")
+    model.learn_pairs(_gather(_count(coded.select("held_out", "ids"), lambda: lambda data: (k := pair_keys(_decode(data)))[k > 0], least), most))
     pairs = spark.sparkContext.broadcast(model.pairs)
 
-    def triples_of() -> Callable[[list[bytes]], np.ndarray]:
-        ids = Ids(words.value)
-        return lambda w: (k := triple_keys(ids.of(w), pairs.value))[k > 0] if len(w) > 2 else np.empty(0, np.uint64)
+    def triples_of() -> Callable[[bytes], np.ndarray]:
+        known = pairs.value
+        return lambda data: (k := triple_keys(i, known))[k > 0] if len(i := _decode(data)) > 2 else np.empty(0, np.uint64)
 
-    model.learn_triples(_gather(_count(rows, triples_of, least), most))
+    model.learn_triples(_gather(_count(coded.select("held_out", "ids"), triples_of, least), most))
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        ids, logs, at = Ids(m.hashes), np.log10(m.root), TaskContext.get().partitionId() << 33
+        logs = np.log10(m.root)
         logs[0] = 0.0
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                w = tokens(text)
-                i = ids.of(w)
-                rare = np.array([xxhash.xxh3_64_intdigest(w[k]) for k in np.flatnonzero(i == 0).tolist()], np.uint64)
-                for column, value in zip(out, (at, doc, held_out(doc), len(w), float(logs[i].sum()), m.gain(i), rare.tobytes()), strict=True):
+            out: tuple[list, list, list] = ([], [], [])
+            for data in batch.column(4).to_pylist():
+                i = _decode(data)
+                for column, value in zip(out, (len(i), float(logs[i].sum()), m.gain(i)), strict=True):
                     column.append(value)
-                at += 1
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row", "doc_id", "held_out", "n_tokens", "frequent", "gain", "rare"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["row", "doc_id", "held_out", "n_rare", "n_tokens", "frequent", "gain"])
 
-    judged = materialize(map_arrow(rows, judge, "row long, doc_id long, held_out boolean, n_tokens long, frequent double, gain double, rare binary"), "judged")
+    by_row = coded.select("row", "doc_id", "held_out", F.floor(F.length("rare") / 8).cast("long").alias("n_rare"), "ids")
+    judged = map_arrow(by_row, judge, "row long, doc_id long, held_out boolean, n_rare long, n_tokens long, frequent double, gain double")
     buckets = 4 * partitions(spark)
 
     def send_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,9 +340,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p_min
             first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.add.reduceat(np.log10((count + 0.5) / floor), first))], names=["row", "known", "logs"])
 
-    packed = map_arrow(judged.select("row", "rare"), send_rare, _PACKED).unionAll(map_arrow(vocabulary.where(F.col("c") < least), send_counts, _PACKED))
+    packed = map_arrow(coded.select("row", "rare"), send_rare, _PACKED).unionAll(map_arrow(vocabulary.where(F.col("c") < least), send_counts, _PACKED))
     sums = _buckets(packed, settle, "row long, known long, logs double").groupBy("row").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
-    n_rare = F.length("rare") / 8
     out = judged.join(sums, "row", "left")
     base = F.col("frequent") + F.coalesce("logs", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_tokens") - n_rare.cast("long") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_tokens") - F.col("n_rare") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
