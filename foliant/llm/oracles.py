@@ -44,11 +44,11 @@ win as (select doc_id, i, array_to_string(w[i:i+7], ' ') k from d, unnest(range(
 two as (select *, count(*) over (partition by doc_id, k) c from win),
 rep as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 8)) p from two where c > 1) group by 1),
 m as (select d.doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(rep.n, 0) n_repeat_words,
- len(l) n_lines, len(regexp_extract_all(t, '\p{{Lu}}')) n_upper, len(regexp_extract_all(t, '!')) n_exclaims, len(list_filter(l, lambda x: rtrim(x, ' ') like '%...' or rtrim(x, ' ') like '%…')) n_ellipsis, len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•‣]\s'))) n_bullet
+ len(l) n_lines, len(regexp_extract_all(t, '\p{{Lu}}')) n_upper, len(regexp_extract_all(t, '!')) n_exclaims, len(list_filter(l, lambda x: rtrim(x, ' ') like '%...' or rtrim(x, ' ') like '%…')) n_ellipsis, len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•‣]\s'))) n_bullet, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i+1])) n_stutters
  from d left join rep using (doc_id)),
-b as (select *, (case when n_words < 20 then 1 else 0 end) + (case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end) + (case when 100 * n_symbols > 10 * n_words then 4 else 0 end) + (case when 100 * n_dup_lines > 30 * n_lines then 8 else 0 end)
+b as (select *, (case when n_words < 20 then 1 else 0 end) + (case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end) + (case when 100 * n_symbols > 10 * n_words then 4 else 0 end) + (case when 100 * n_dup_lines > 50 * n_lines then 8 else 0 end)
  + (case when 100 * n_upper > 40 * word_chars then 16 else 0 end) + (case when 100 * n_exclaims > 25 * n_words then 32 else 0 end) + (case when word_chars < 2 * n_words then 64 else 0 end) + (case when word_chars > 15 * n_words then 128 else 0 end)
- + (case when 100 * n_ellipsis > 30 * n_lines then 256 else 0 end) + (case when 100 * n_bullet > 90 * n_lines then 512 else 0 end) bits from m)
+ + (case when 100 * n_ellipsis > 30 * n_lines then 256 else 0 end) + (case when 100 * n_bullet > 90 * n_lines then 512 else 0 end) + (case when 100 * n_stutters > 20 * n_words then 1024 else 0 end) bits from m)
 select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, bits & 3 <> 0 base_failed, bits = 0 kept, cast(bits as bigint) failed_bits from b
 """
 

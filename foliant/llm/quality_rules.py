@@ -14,17 +14,18 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "100 * n_symbols > 10 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
     "capitals": "100 * n_upper > 40 * word_chars",
     "exclamations": "100 * n_exclaims > 25 * n_words",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "ellipses": "100 * n_ellipsis_lines > 30 * n_lines",
     "bullets": "100 * n_bullet_lines > 90 * n_lines",
+    "stutters": "100 * n_stutters > 20 * n_words",
 }
 #: Rules of each version of the policy.
 POLICIES: dict[str, tuple[str, ...]] = {"base": ("few_words", "repeated_windows"), "v1": tuple(RULES)}
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaims", "n_ellipsis_lines", "n_bullet_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaims", "n_ellipsis_lines", "n_bullet_lines", "n_stutters")
 
 
 def mask(policy: str | tuple[str, ...]) -> int:
@@ -73,6 +74,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_upper": F.regexp_count("__t", F.lit("\\p{Lu}")),
         "n_exclaims": F.regexp_count("__t", F.lit("!")),
         "n_ellipsis_lines": F.size(F.filter("__l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
+        "n_stutters": F.size(F.filter(F.zip_with(F.slice("__h1", 1, F.greatest(F.size("__h1") - 1, F.lit(0))), F.slice("__h1", 2, F.greatest(F.size("__h1") - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)),
         "n_bullet_lines": F.size(F.filter("__l", lambda x: x.rlike("^\\s*[-*•‣]\\s"))),
     }
     return out.select(*own, *[v.cast("long").alias(k) for k, v in measured.items()])
