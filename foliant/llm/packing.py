@@ -16,24 +16,26 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import as_bytes, map_arrow, materialize
+from foliant.llm.common import as_bytes, map_arrow, materialize, mix
 
 CAPACITY, END = 4096, 1
-#: Distinct parts of texts whose ids a worker remembers; bytes of texts it encodes at once.
-CACHE_PARTS, BATCH_BYTES = 400_000, 2_000_000
+#: Distinct parts of texts whose ids a worker remembers, about 200 bytes each; bytes of texts it encodes at once.
+CACHE_PARTS, BATCH_BYTES = 500_000, 1_000_000
 
 
 class Tokens:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Tokenizers that drop white space and never merge across it give a text the ids of its parts between ASCII white space, one part after the
-    other. Distinct parts are encoded in batches and remembered, up to a bound. Any other tokenizer encodes texts whole.
+    other. Parts are told by a 64-bit hash, computed for a whole batch of texts at once; those not met before are encoded together and their ids
+    remembered, up to a bound. Any other tokenizer encodes texts whole.
     """
 
     def __init__(self, path: str):
@@ -43,30 +45,135 @@ class Tokens:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.known: dict[bytes, bytes] = {}
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), bool)
+        if self.suffix:
+            self.ends[[i for t, i in self.whole.get_vocab(with_added_tokens=True).items() if t.endswith(self.suffix)]] = True
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_part = (
             normal == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and steps[0]["pattern"].get("Regex") == _PATTERN
             and not spec["model"].get("dropout") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
         )
+        self._forget()
+
+    def _forget(self) -> None:
+        """Parts by hash: sorted hashes, and where each one's ids stand in one array."""
+        self.hashes, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.filled = np.empty(1 << 16, "<u4"), 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts. Words of plain letters are one piece each, whose last token says so: they are encoded as one text and told apart."""
+        plain = [k for k, x in enumerate(parts) if _LETTERS.fullmatch(x.decode())] if self.suffix else []
+        out: list[bytes] = [b""] * len(parts)
+        ids = np.array(self.whole.encode_batch_fast([b" ".join([parts[k] for k in plain]).decode()], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        rest = list(range(len(parts)))
+        if len(cuts) == len(plain):
+            data, edges = ids.tobytes(), (4 * np.concatenate(([0], cuts))).tolist()
+            for k, a, b in zip(plain, edges, edges[1:], strict=False):
+                out[k] = data[a:b]
+            done = set(plain)
+            rest = [k for k in rest if k not in done]
+        for k, x in zip(rest, self._ids([parts[k].decode() for k in rest]), strict=True):
+            out[k] = x
+        return out
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        if len(self.hashes) + len(hashes) > CACHE_PARTS:
+            self._forget()
+        encoded = self._encode_parts(parts)
+        count = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        new = np.frombuffer(b"".join(encoded), "<u4")
+        while self.filled + len(new) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(len(self.ids), "<u4")))
+        self.ids[self.filled : self.filled + len(new)] = new
+        first = self.filled + np.cumsum(count) - count
+        self.filled += len(new)
+        every = np.concatenate((self.hashes, hashes))
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.first, self.count = every[order], np.concatenate((self.first, first))[order], np.concatenate((self.count, count))[order]
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands among the known ones, and whether it does."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_part:
             return self._ids([t.decode() for t in texts])
-        parts = [t.split() for t in texts]
-        distinct = set().union(*parts)
-        new = [x for x in distinct if x not in self.known]
-        if len(self.known) + len(new) > CACHE_PARTS:
-            self.known = {x: self.known[x] for x in distinct if x in self.known}
-        self.known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
+        joined = b"\n".join(texts) + b"\n"
+        if b"<|" not in joined and b"\xcc" not in joined and b"\xcd" not in joined:
+            joined = joined.lower()  # no special tokens, no marks that join a letter of either case differently
+        starts, lengths = cut_parts(joined)
+        hashes = hash_parts(joined, starts, lengths)
+        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at, known = self._find(distinct)
+        if not known.all():
+            lost = len(self.hashes) + int((~known).sum()) > CACHE_PARTS
+            new = np.arange(len(distinct)) if lost else np.flatnonzero(~known)
+            self._learn(distinct[new], [joined[s : s + n] for s, n in zip(starts[where[new]].tolist(), lengths[where[new]].tolist(), strict=True)])
+            at, _ = self._find(distinct)
+        first, count = (x[at][inverse] if len(at) else x for x in (self.first, self.count))
+        past = np.cumsum(count)
+        ids = self.ids[np.repeat(first - (past - count), count) + np.arange(int(past[-1]) if len(past) else 0)]
+        # a text's parts are those that start before its end
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        upto = np.concatenate(([0], past))[np.searchsorted(starts, ends)]
+        data, edges = ids.tobytes(), (4 * np.concatenate(([0], upto))).tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def cut_parts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the parts of a text that ends with white space.
+
+    A letter and a sign after it are always split, and signs without a letter after them are one piece: so signs between an ASCII letter and white space are a
+    part of their own (but for those that end special tokens).
+    """
+    kind = _KIND[np.frombuffer(data, np.uint8)]
+    space = kind == 0
+    after_space = np.concatenate(([True], space[:-1]))
+    begins = ~space & after_space
+    sign_after_letter = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
+    other = np.flatnonzero(kind != 2)
+    stop = other[np.searchsorted(other, sign_after_letter)]
+    begins[sign_after_letter[space[stop]]] = True
+    starts = np.flatnonzero(begins)
+    # a part ends at the next white space or the next start
+    spaces = np.flatnonzero(space & ~after_space)
+    ends = spaces[np.searchsorted(spaces, starts)]
+    ends[:-1] = np.minimum(ends[:-1], starts[1:])
+    return starts, ends - starts
+
+
+def hash_parts(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of parts of a text, eight bytes at a time."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))
+    out = mix(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    left, at, open_ = lengths, starts, np.arange(len(starts))
+    while len(open_):
+        block = np.ascontiguousarray(eight[at]).view("<u8").ravel() & _MASKS[np.minimum(left, 8)]
+        out[open_] = mix((out[open_] ^ block) * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
+        keep = left > 8
+        open_, at, left = open_[keep], at[keep] + 8, left[keep] - 8
+    return out
+
+
+_SIGNS = b".,;:!?#*$%&|)]}\"'-/@+=~^_`"
+#: 0 white space, 1 ASCII letters, 2 signs, 3 anything else.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[list(_SIGNS)] = 2
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: Letters that are one code point in every normal form and in lower case.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+")
 #: Fixed value: a pattern whose pieces hold no white space.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TOKENS: dict[str, Tokens] = {}

@@ -209,7 +209,7 @@ def test_tokens_part_by_part(monkeypatch):
     for k in range(0, len(texts), 100):
         part = texts[k : k + 100]
         assert tokens.encode([t.encode() for t in part]) == tokens._ids(part)
-        assert len(tokens.known) <= 13_000
+        assert len(tokens.hashes) <= 13_000
     assert tokens.suffix == "</w>"
 
 
