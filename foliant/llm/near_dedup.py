@@ -30,7 +30,7 @@ from foliant.llm.components import connected_components
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.1, 20.0, 255
 #: Classes a block of a large bucket holds on average, and shingles a block of a group.
-BLOCK, BLOCK_SHINGLES = 128, 250_000
+BLOCK, BLOCK_SHINGLES = 512, 250_000
 #: Candidates are dropped when their likelihood at any similarity of the threshold or more is below the best one by this factor's logarithm.
 IMPLAUSIBLE = 16.0
 
