@@ -31,7 +31,10 @@ def sentence_ends(text: str) -> list[int]:
     out = []
     for m in _END.finditer(text):
         if text[m.start()] == ".":
-            word = re.search("[\\w.]*$", text[: m.start()]).group()
+            start = m.start()
+            while start and (text[start - 1].isalnum() or text[start - 1] in "._"):
+                start -= 1
+            word = text[start : m.start()]
             if word.lower() in ABBREVIATIONS or (len(word) == 1 and word.isalpha() and word.isupper()):
                 continue
         out.append(m.end())
