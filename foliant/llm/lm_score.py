@@ -1,32 +1,32 @@
 """Scores of texts under a probabilistic suffix tree over words.
 
-States are contexts of up to two words. As in the classic learner, a context and each of its next symbols must be at least as
-probable as ``P_MIN`` (and seen ``MIN_COUNT`` times), so a level has at most ``1 / P_MIN`` entries, however large the corpus: that bounds what
-is broadcast. A context becomes a state if its next-symbol distribution diverges from its parent's by more than
+States are contexts of up to ``DEPTH`` words. A context and each of its next symbols must be seen ``MIN_COUNT`` times, at every size of the
+corpus: the model grows with it. A context becomes a state if its next-symbol distribution diverges from its parent's by more than
 its entries cost (BIC). Symbols it has no entry for get the parent's probabilities, scaled to the mass left.
 
-The root is the smoothed unigram distribution over the full vocabulary. Counts of all words are kept in a table; counts of
-words too rare to be broadcast meet the documents that have them in buckets of hashes.
+The root is the smoothed unigram distribution over the full vocabulary. No table is held whole anywhere: an entry of d words is the key of its
+first d - 1 words and the key of its last d - 1, entries are counted in buckets of hashes, tested in joins, and meet blocks of texts
+in buckets again. What is broadcast are filters of fixed size that say which keys can't be entries; they save work and change no result.
 """
 
 from __future__ import annotations
 
-import bisect
-import math
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import CACHE_WORDS, WordHashes, as_bytes, map_arrow, materialize, mix, partitions, split_words
+from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, mix, partitions, split_words
 
-P_MIN, MIN_COUNT = 2.0**-21, 4
+#: Least count of an entry, words of the longest context.
+MIN_COUNT, DEPTH = 4, 2
 DISCOUNT = 0.5
-FLUSH = 1_000_000
+#: Words a task gathers before it sends what it counted; words of a block of texts.
+FLUSH, BLOCK = 2_000_000, 500_000
 END = b"\n"
 HELD_OUT, FOLDS = 1, 5
 
@@ -36,106 +36,159 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*split_words(text.lower() if text else text), END]
 
 
-def _pack(keys: np.ndarray, values: np.ndarray, buckets: int, kind: int) -> pa.RecordBatch:
-    """One row for each bucket of hashed keys."""
-    bucket = ((mix(keys) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def combine(keys: np.ndarray) -> np.ndarray:
+    """Keys of d + 1 words from the keys of all d neighbouring words, in order."""
+    return join_keys(keys[:-1], keys[1:])
+
+
+def join_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right + np.uint64(0xD1B54A32D192ED03)))
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of keys by bucket, and (bucket, first, last + 1) of each in that order; a bucket is a range of keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    b, keys, values = bucket[order], keys[order], values[order]
+    b = bucket[order]
     edges = np.append(np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))), len(b)).tolist() if len(b) else [0]
-    spans = list(zip(edges[:-1], edges[1:], strict=True))
-    columns = [pa.array([int(b[s]) for s, _ in spans], pa.int32()), pa.array([kind] * len(spans), pa.int32()), pa.array([keys[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([values[s:e].astype(np.int64).tobytes() for s, e in spans], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "keys", "vals"])
+    return order, [(int(b[s]), s, e) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+
+
+_PACKED = "bucket int, kind int, block long, keys binary, vals binary"
 
 
-_PACKED = "bucket int, kind int, keys binary, vals binary"
+def _pack(keys: np.ndarray, columns: tuple[np.ndarray, ...], buckets: int, kind: int, block: int = 0) -> pa.RecordBatch:
+    """One row for each bucket of keys; ``columns`` stand one after the other in ``vals``."""
+    order, spans = _bucket(keys, buckets)
+    keys, columns = keys[order], [c[order] for c in columns]
+    arrays = [
+        pa.array([b for b, _, _ in spans], pa.int32()), pa.array([kind] * len(spans), pa.int32()), pa.array([block] * len(spans), pa.int64()),
+        pa.array([keys[s:e].tobytes() for _, s, e in spans], pa.binary()), pa.array([b"".join(c[s:e].tobytes() for c in columns) for _, s, e in spans], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", "block", "keys", "vals"])
 
 
-def _buckets(packed: DataFrame, settle: Callable, schema: str) -> DataFrame:
-    """Apply ``settle`` to each bucket's packed rows, a list of (kind, keys, values)."""
+def _grouped(packed: DataFrame, by: str, settle: Callable, schema: str) -> DataFrame:
+    """Apply ``settle`` to all rows of each bucket or block, a list of (bucket, kind, block, keys, vals)."""
+    place = ["bucket", "kind", "block", "keys", "vals"].index(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for bucket, kind, keys, vals in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if bucket != now and held:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if row[place] != now and held:
                     yield from settle(held)
                     held = []
-                now = bucket
-                held.append((kind, np.frombuffer(keys, np.uint64), np.frombuffer(vals, np.int64)))
+                now = row[place]
+                held.append(row)
         if held:
             yield from settle(held)
 
-    return map_arrow(packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket"), run, schema)
+    return map_arrow(packed.repartition(partitions(packed.sparkSession), by).sortWithinPartitions(by), run, schema)
 
 
-def _sum_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(values, first) if len(first) else values
+def _count(rows: DataFrame, level: int, filters: list[Filter]) -> DataFrame:
+    """``key, left, right, c``: how often each entry of ``level`` words stands in the training texts, from ``MIN_COUNT`` times on (words: all).
 
-
-def _count(docs: DataFrame, keys_of: Callable[[], Callable[[bytes | None], np.ndarray]], least: int) -> DataFrame:
-    """``key, c``: how often each key of the training documents occurs, from ``least`` times on. ``docs``: ``held_out`` and what keys are made of."""
-    buckets = 4 * partitions(docs.sparkSession)
+    ``filters[d]`` knows the entries of d + 1 words; those of more words are made of them.
+    """
+    buckets, least = 4 * partitions(rows.sparkSession), 1 if level == 1 else MIN_COUNT
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, n = keys_of(), [], 0
+        hashes, held, n = WordHashes(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            left, right = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            keys = left if level == 1 else join_keys(left, right)
+            keys, first, c = np.unique(keys, return_index=True, return_counts=True)
+            yield _pack(keys, (c,) if level == 1 else (left[first], right[first], c), buckets, 0)
+
         for batch in batches:
-            for out, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if not out:
-                    held.append(keys(data))
-                    n += len(held[-1])
-                    if n >= FLUSH:
-                        yield _pack(*np.unique(np.concatenate(held), return_counts=True), buckets, 0)
-                        held, n = [], 0
+            for out, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                if out:
+                    continue
+                keys, known = _keys(hashes.of(tokens(text)), max(level - 1, 1), filters)
+                pair = (keys[-1], keys[-1]) if level == 1 else (keys[-1][:-1][ok := known[:-1] & known[1:]], keys[-1][1:][ok])
+                held.append(pair)
+                n += len(pair[0])
+                if n >= FLUSH:
+                    yield from flush()
+                    held, n = [], 0
         if n:
-            yield _pack(*np.unique(np.concatenate(held), return_counts=True), buckets, 0)
+            yield from flush()
 
-    def settle(rows: list) -> Iterator[pa.RecordBatch]:
-        k, c = _sum_by_key(np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]))
+    def settle(packed: list) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([np.frombuffer(r[3], np.uint64) for r in packed])
+        vals = [np.frombuffer(r[4], np.int64).reshape(-1, len(r[3]) // 8) for r in packed]
+        order = np.argsort(keys, kind="stable")
+        vals = np.concatenate(vals, axis=1)[:, order]
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        c = np.add.reduceat(vals[-1], first)
         keep = c >= least
-        yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(c[keep])], names=["key", "c"])
+        first, c = first[keep], c[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(vals[0][first]), pa.array(vals[-2 if level > 1 else 0][first]), pa.array(c)], names=["key", "left", "right", "c"])
 
-    return _buckets(map_arrow(docs, send, _PACKED), settle, "key long, c long")
+    return _grouped(map_arrow(rows.select("held_out", "text"), send, _PACKED), "bucket", settle, "key long, left long, right long, c long")
 
 
-def _code(ids: np.ndarray) -> bytes:
-    """Numbers of a text's words as they wait for the next pass: how many, and their bytes by place, compressed."""
-    return len(ids).to_bytes(8, "little") + pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+def _keys(hashes: np.ndarray, levels: int, filters: list[Filter]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of a text's 1, 2, .. ``levels`` neighbouring words, and which of the longest may be entries."""
+    out, known = [hashes], np.ones(len(hashes), bool)
+    for level in range(1, levels + 1):
+        if level > 1:
+            out.append(combine(out[-1]))
+            known = known[:-1] & known[1:]
+        if level <= len(filters):
+            known = known & filters[level - 1].value.may(out[-1])
+    return out, known
 
 
-def _decode(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+class Bits:
+    """Top bits of known keys: at most 2^28 bits, however many keys there are. Says no only of keys that aren't among them."""
 
+    def __init__(self, width: int, data: bytes):
+        self.width, self.bits = width, np.frombuffer(data, np.uint8)
 
-def _gather(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and their counts; ``most`` is the proven bound of their number."""
-    got = counts.toArrow()
-    if got.num_rows > most:
-        raise AssertionError("more entries than their least count allows")
-    k, c = got["key"].to_numpy().view(np.uint64), got["c"].to_numpy()
-    order = np.argsort(k)
-    return k[order], c[order]
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.width)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-class Ids(dict):
-    """Number from 1 of each frequent word, 0 of others; remembers a bounded number of words."""
+Filter = Broadcast  # of Bits
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes.tolist()  # single values are found faster in a list
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        at = bisect.bisect_left(self.hashes, h)
-        out = self[word] = at + 1 if at < len(self.hashes) and self.hashes[at] == h else 0
-        return out
+def _filter(entries: DataFrame) -> Filter:
+    """Filter of a table's keys. Buckets are ranges of keys, so each makes its own stretch of bits."""
+    spark = entries.sparkSession
+    width = min(28, max(16, (16 * entries.count()).bit_length()))
+    buckets = 4 * partitions(spark)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _pack(batch.column(0).to_numpy().view(np.uint64), (), buckets, 0)
+
+    def settle(packed: list) -> Iterator[pa.RecordBatch]:
+        at = np.concatenate([np.frombuffer(r[3], np.uint64) for r in packed]) >> np.uint64(64 - width)
+        low = int(at.min()) >> 3
+        bits = np.zeros(8 * ((int(at.max()) >> 3) - low + 1), bool)
+        bits[at.astype(np.int64) - 8 * low] = True
+        yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["low", "bits"])
+
+    out = np.zeros(1 << (width - 3), np.uint8)
+    for low, bits in _grouped(map_arrow(entries.select("key"), send, _PACKED), "bucket", settle, "low long, bits binary").toLocalIterator():
+        out[low : low + len(bits)] |= np.frombuffer(bits, np.uint8)
+    return spark.sparkContext.broadcast(Bits(width, out.tobytes()))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+def _code(ids: np.ndarray) -> bytes:
+    """Numbers of a block's words as they wait for the next pass: how many, and their bytes by place, compressed."""
+    return len(ids).to_bytes(8, "little") + pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _decode(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -177,7 +230,7 @@ def _states(context: np.ndarray, c: np.ndarray, total: np.ndarray, parent: np.nd
 
 
 class Model:
-    """Frequent words with root probabilities, and the states of both levels."""
+    """The model with contexts of two words, held whole: what ``score`` computes in joins, for small tables and tests."""
 
     def __init__(self, n: int, v: int, words: tuple[np.ndarray, np.ndarray]):
         self.n, self.v = n, v
@@ -242,11 +295,34 @@ class Model:
         return float(out.sum())
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN) -> DataFrame:
+def _grow(entries: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """States among the contexts of entries (``key, scale``), and the entries as ``key, c, root, ratio``.
+
+    ``below``: the same of one word less. ``root`` is log10 of the last word's root probability, ``ratio`` log10 of its probability after the longest state among the
+    words before it over that.
+    """
+    left = below.select(F.col("key").alias("left"), F.col("c").alias("total"))
+    right = below.select(F.col("key").alias("right"), "root", F.col("ratio").alias("parent"))
+    known = materialize(entries.join(left, "left").join(right, "right").select("key", "left", "c", "total", "root", "parent"), "entries")
+    p, share = F.pow(F.lit(10.0), F.col("root") + F.col("parent")), F.col("c") / F.col("total")
+    sums = known.groupBy("left").agg(
+        F.first("total").cast("double").alias("n"), F.count("*").alias("size"), F.sum("c").alias("seen"), F.sum((F.col("c") - DISCOUNT) / F.col("total")).alias("own"),
+        F.sum(p).alias("theirs"), F.sum(F.col("c") * F.log(share / p)).alias("gain"),
+    )
+    rest, rest_parent = F.greatest(1 - F.greatest("own", F.lit(1e-12)), F.lit(1e-12)), 1 - F.least("theirs", F.lit(1 - 1e-9))
+    left_over = F.greatest(F.col("n") - F.col("seen"), F.lit(0.0))
+    gain = F.col("gain") + F.when(left_over > 0, left_over * F.log(left_over / F.col("n") / rest_parent)).otherwise(0.0)
+    states = materialize(sums.where(gain > F.col("size") * (1 + F.log("n")) / 2 + 4).select(F.col("left").alias("key"), F.log10(rest / rest_parent).alias("scale")), "states")
+    own = F.log10((F.col("c") - DISCOUNT) / F.col("total")) - F.col("root")
+    joined = known.join(states.withColumnRenamed("key", "left"), "left", "left")
+    return states, materialize(joined.select("key", "c", "root", F.when(F.col("scale").isNotNull(), own).otherwise(F.col("parent")).alias("ratio")), "model")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row.
 
     The model learns from rows that aren't held out: those whose crc32 of the id as text, modulo 5, isn't 1. ``score`` is the log10
-    probability of the whole text with its end under the suffix tree, ``base_score`` that under the root alone. Null texts are
+    probability of the whole text with its end under the suffix tree with contexts of up to ``depth`` words, ``base_score`` that under the root alone. Null texts are
     empty (the end token only), null ids count as the empty text and are learned from, rows that repeat count as often as they stand. Other columns aren't
     read. An empty table gives no rows; a table of held-out rows only is scored by an empty model.
     """
@@ -254,94 +330,121 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p_min
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
     rows = rows.withColumn("held_out", fold)
-
-    def words_of() -> Callable[[bytes | None], np.ndarray]:
-        hashes = WordHashes()
-        return lambda text: hashes.of(tokens(text))
-
-    vocabulary = materialize(_count(rows.select("held_out", "text"), words_of, 1), "vocabulary")
-    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    least, most = max(MIN_COUNT, math.ceil(p_min * n)), math.ceil(1 / p_min) + 1
-    model = Model(n, v, _gather(vocabulary.where(F.col("c") >= least), most))
-    words = spark.sparkContext.broadcast(model.hashes)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as numbers of their frequent words, 0 for others, and hashes of those: made once for three passes."""
-        ids, at = Ids(words.value), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            coded, rare = [], []
-            for text in as_bytes(batch.column(1)):
-                w = tokens(text)
-                i = ids.of(w)
-                coded.append(_code(i))
-                rare.append(np.array([xxhash.xxh3_64_intdigest(w[k]) for k in np.flatnonzero(i == 0).tolist()], np.uint64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + batch.num_rows), pa.int64()), batch.column(0), batch.column(2), pa.array(coded, pa.binary()), pa.array(rare, pa.binary())], names=["row", "doc_id", "held_out", "ids", "rare"])
-            at += batch.num_rows
-
-    coded = materialize(map_arrow(rows.select("doc_id", "text", "held_out"), code, "row long, doc_id long, held_out boolean, ids binary, rare binary"), "coded")
-    model.learn_pairs(_gather(_count(coded.select("held_out", "ids"), lambda: lambda data: (k := pair_keys(_decode(data)))[k > 0], least), most))
-    pairs = spark.sparkContext.broadcast(model.pairs)
-
-    def triples_of() -> Callable[[bytes], np.ndarray]:
-        known = pairs.value
-        return lambda data: (k := triple_keys(i, known))[k > 0] if len(i := _decode(data)) > 2 else np.empty(0, np.uint64)
-
-    model.learn_triples(_gather(_count(coded.select("held_out", "ids"), triples_of, least), most))
-    shared = spark.sparkContext.broadcast(model)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        logs = np.log10(m.root)
-        logs[0] = 0.0
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for data in batch.column(4).to_pylist():
-                i = _decode(data)
-                for column, value in zip(out, (len(i), float(logs[i].sum()), m.gain(i)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["row", "doc_id", "held_out", "n_rare", "n_tokens", "frequent", "gain"])
-
-    by_row = coded.select("row", "doc_id", "held_out", F.floor(F.length("rare") / 8).cast("long").alias("n_rare"), "ids")
-    judged = map_arrow(by_row, judge, "row long, doc_id long, held_out boolean, n_rare long, n_tokens long, frequent double, gain double")
     buckets = 4 * partitions(spark)
 
-    def send_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    vocabulary = materialize(_count(rows, 1, []), "vocabulary")
+    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    floor = n + 0.5 * (v + 1)
+    words = vocabulary.select("key", "c", F.log10((F.col("c") + 0.5) / F.lit(floor)).alias("root"), F.lit(0.0).alias("ratio"))
+    model, filters = [words], [_filter(vocabulary.where(F.col("c") >= MIN_COUNT))]
+    states: list[DataFrame] = []
+    for level in range(2, depth + 2):
+        entries = materialize(_count(rows, level, filters), "counts")
+        found, grown = _grow(entries, model[-1].where(F.col("c") >= MIN_COUNT))
+        states.append(found)
+        model.append(grown)
+        filters.append(_filter(grown))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of texts (kind 0, by block) and the keys they ask for (kind -1, by bucket, with their levels)."""
+        hashes, held, size, block = WordHashes(), [], 0, TaskContext.get().partitionId() << 33
 
         def flush() -> Iterator[pa.RecordBatch]:
-            yield _pack(np.concatenate([h for h, _ in held]), np.concatenate([np.full(len(h), r, np.int64) for h, r in held]), buckets, 1)
+            asked: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
+            for _, _, h in held:
+                asked[0].append(h)
+                keys, known = h, filters[0].value.may(h)
+                for level in range(1, depth + 1):
+                    keys, known = combine(keys), known[:-1] & known[1:]
+                    known = known & filters[level].value.may(keys)
+                    asked[level].append(keys[known])
+            unique = [np.unique(np.concatenate(a)) for a in asked]
+            at = np.searchsorted(unique[0], np.concatenate([h for _, _, h in held]))
+            about = pickle.dumps(([d for d, _, _ in held], [o for _, o, _ in held], [len(h) for _, _, h in held], unique[0].tobytes(), _code(at)))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.array([about], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "kind", "block", "keys", "vals"])
+            yield _pack(np.concatenate(unique), (np.repeat(np.arange(depth + 1, dtype=np.uint8), [len(u) for u in unique]),), buckets, -1, block)
 
         for batch in batches:
-            for row, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((np.frombuffer(rare, np.uint64), row))
-                size += len(held[-1][0])
-                if size >= FLUSH:
+            for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                held.append((doc, out, hashes.of(tokens(text))))
+                size += len(held[-1][2])
+                if size >= BLOCK:
                     yield from flush()
-                    held, size = [], 0
-        if size:
+                    held, size, block = [], 0, block + 1
+        if held:
             yield from flush()
 
-    def send_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _pack(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), buckets, 0)
-
-    floor = model.floor
-
-    def settle(parts: list) -> Iterator[pa.RecordBatch]:
-        known, c = (np.concatenate([np.empty(0, t), *[r[k] for r in parts if r[0] == 0]]) for k, t in ((1, np.uint64), (2, np.int64)))
-        keys, row = (np.concatenate([np.empty(0, t), *[r[k] for r in parts if r[0] == 1]]) for k, t in ((1, np.uint64), (2, np.int64)))
-        if len(keys):
-            order = np.argsort(known)
-            known, c = known[order], c[order]
-            entry = _find(known, keys)
-            count = np.where(entry >= 0, c[entry] if len(c) else 0, 0)
-            order = np.argsort(row, kind="stable")
-            row, count = row[order], count[order]
-            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.add.reduceat(np.log10((count + 0.5) / floor), first))], names=["row", "known", "logs"])
-
-    packed = map_arrow(coded.select("row", "rare"), send_rare, _PACKED).unionAll(map_arrow(vocabulary.where(F.col("c") < least), send_counts, _PACKED))
-    sums = _buckets(packed, settle, "row long, known long, logs double").groupBy("row").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
-    out = judged.join(sums, "row", "left")
-    base = F.col("frequent") + F.coalesce("logs", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_tokens") - F.col("n_rare") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    sent = materialize(map_arrow(rows.select("doc_id", "held_out", "text"), blocks, _PACKED), "blocks")
+    offered = sent.where("kind = -1")
+    for level, table in enumerate(model):
+        value = F.col("root") if level == 0 else F.col("ratio")
+        if level < depth:
+            table = table.join(states[level], "key", "left")
+        else:
+            table = table.withColumn("scale", F.lit(None).cast("double"))
+
+        def offer(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _pack(batch.column(0).to_numpy().view(np.uint64), (batch.column(1).to_numpy(), batch.column(2).to_numpy()), buckets, level)
+
+        table = table.select("key", value.alias("value"), F.coalesce("scale", F.lit(float("nan"))).alias("scale"))
+        offered = offered.unionAll(map_arrow(table, offer, _PACKED))
+
+    def answer(packed: list) -> Iterator[pa.RecordBatch]:
+        known = []
+        for level in range(depth + 1):
+            own = [r for r in packed if r[1] == level]
+            keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r[3], np.uint64) for r in own)])
+            vals = np.concatenate([np.empty((2, 0)), *(np.frombuffer(r[4], np.float64).reshape(2, -1) for r in own)], axis=1)
+            order = np.argsort(keys)
+            known.append((keys[order], vals[:, order]))
+        for _, kind, block, keys, levels in packed:
+            if kind >= 0:
+                continue
+            keys, levels = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8)
+            got: list[tuple] = []
+            for level in range(depth + 1):
+                asked = keys[levels == level]
+                at = _find(known[level][0], asked)
+                got.append((asked[at >= 0], known[level][1][:, at[at >= 0]]))
+            data = pickle.dumps([(k.tobytes(), x.tobytes()) for k, x in got])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "kind", "block", "keys", "vals"])
+
+    unseen = float(np.log10(0.5 / floor))
+
+    def judge(packed: list) -> Iterator[pa.RecordBatch]:
+        parts = [pickle.loads(r[3]) for r in packed if r[1] == 1]
+        tables = []
+        for level in range(depth + 1):
+            keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(p[level][0], np.uint64) for p in parts)])
+            vals = np.concatenate([np.empty((2, 0)), *(np.frombuffer(p[level][1], np.float64).reshape(2, -1) for p in parts)], axis=1)
+            order = np.argsort(keys)
+            # the last place stands for keys that aren't entries
+            tables.append((keys[order], np.append(vals[0][order], np.nan), np.append(vals[1][order], np.nan)))
+        for r in packed:
+            if r[1] != 0:
+                continue
+            docs_, held, lengths, words_, at = pickle.loads(r[3])
+            keys = np.frombuffer(words_, np.uint64)[_decode(at)]
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            entry = _find(tables[0][0], keys)
+            base = np.where(entry >= 0, tables[0][1][entry], unseen)
+            # log10 of each word's probability over the root's, by ever longer contexts; texts stand one after the other
+            gain, scale = np.zeros(len(keys)), tables[0][2][entry]
+            for level in range(1, depth + 1):
+                keys = combine(keys)
+                inside = text[level:] == text[: len(text) - level]
+                entry = np.where(inside, _find(tables[level][0], keys), -1)
+                context = np.where(inside, scale[: len(keys)], np.nan)
+                value = tables[level][1][entry]
+                before = gain[level:]
+                gain[level:] = np.where(np.isnan(context), before, np.where(entry >= 0, value, context + before))
+                scale = tables[level][2][entry]
+            known = np.where(_find(tables[0][0], np.frombuffer(words_, np.uint64)) >= 0, 1, 0)[_decode(at)]
+            sums = [np.add.reduceat(x, starts) for x in (known, base, base + gain)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), *(pa.array(x) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    answers = _grouped(offered, "bucket", answer, _PACKED)
+    out = _grouped(sent.where("kind = 0").unionAll(answers), "block", judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -143,6 +143,42 @@ def test_scores_are_probabilities():
             assert math.isclose(total, 1, rel_tol=1e-9)
 
 
+def test_scores_have_one_least_count_at_every_size(spark, monkeypatch):
+    """What is seen four times is an entry however many words there are: the distributed model is the one held whole, without a share of the words."""
+    monkeypatch.setattr(lm_score, "BLOCK", 150)
+    monkeypatch.setattr(lm_score, "FLUSH", 400)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choices(words, range(60, 0, -1), k=rng.randint(0, 40)) + rng.choice(([], ["qa", "qb", "qc"] * 3, ["qd", "qb", "qe"] * 3)))) for k in range(300)] + [(400, None)]
+    got = {r["doc_id"]: r for r in lm_score.score(documents(spark, rows)).collect()}
+    texts = {d: lm_score.tokens((t or "").encode()) for d, t in rows}
+    train = [texts[d] for d in texts if not got[d]["held_out"]]
+    count = collections.Counter(w for t in train for w in t)
+    frequent = sorted(w for w in count if count[w] >= 4)
+    number = {w: k + 1 for k, w in enumerate(frequent)}
+    ids = {d: np.array([number.get(w, 0) for w in t]) for d, t in texts.items()}
+    learn = [ids[d] for d in ids if not got[d]["held_out"]]
+    m = lm_score.Model(sum(count.values()), len(count), (np.arange(len(frequent)).astype(np.uint64), np.array([count[w] for w in frequent])))
+    keys, c = np.unique(np.concatenate([lm_score.pair_keys(i) for i in learn]), return_counts=True)
+    m.learn_pairs((keys[(keys > 0) & (c >= 4)], c[(keys > 0) & (c >= 4)]))
+    keys, c = np.unique(np.concatenate([lm_score.triple_keys(i, m.pairs) for i in learn if len(i) > 2]), return_counts=True)
+    m.learn_triples((keys[(keys > 0) & (c >= 4)], c[(keys > 0) & (c >= 4)]))
+    assert m.state1.any() and m.state2.any()
+    for d, i in ids.items():
+        assert math.isclose(got[d]["score"] - got[d]["base_score"], m.gain(i), abs_tol=1e-6)
+
+
+def test_scores_keep_rare_entries_of_many_words(spark):
+    """A pair seen four times among nine million words is an entry, as it is in a small table."""
+    phrase = [(k, "qa qb") for k in range(10) if zlib.crc32(str(k).encode()) % 5 != 1][:4]
+    held = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 5 == 1)
+    many = spark.range(1000, 1200).selectExpr("id doc_id", "repeat('x ', 60000) text")
+    docs = spark.createDataFrame([*phrase, (held, "qa qb")], "doc_id long, text string").unionAll(many)
+    got = lm_score.score(docs).where(F.col("doc_id") == held).first()
+    assert got["train_tokens"] > 2**23
+    assert got["score"] - got["base_score"] > 10
+
+
 def test_licenses(spark):
     rows = [(1, "Some words.\nReleased under the MIT License.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."), (4, "Licensed under the Apache License, Version 2.0."), (5, "The driver has a license."), (6, None), (7, "All rights reserved."), (8, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.")]
     got = {r["doc_id"]: (r["license"], r["licenses"]) for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
