@@ -186,62 +186,48 @@ def tokens_of(path: str) -> Tokens:
     return _TOKENS[path]
 
 
-def _tables(histogram: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings of bins, each with how many bins are filled so; all lengths of the histogram are used up.
+Fillings = list[tuple[tuple[int, ...], int]]
+
 
-    Bin completion: the largest remaining length is filled up with an undominated set of others. Fillings of one, two
-    and three further lengths are enumerated from the tightest down; a filling is dominated if one of its lengths can be replaced by a
-    larger one that fits, so only the largest fitting last length is tried. A branch ends when its waste can't go below
-    the best found (the waste bound), and the first perfect filling ends the search. The best-fit filling (largest fitting length, again and again) is the incumbent,
-    and stands if nothing wastes less. Equal bins are filled at once, as often as the counts allow.
+def _fullest(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
+    """The parts, of those left, that come nearest to ``room`` from below: an exact subset sum over all lengths and as many parts as fit.
+
+    Bit t of ``sums`` is set if some parts make t; parts of one length go in by powers of two. The sums before each step are kept
+    to go back from the best one. The first exact sum ends the search.
     """
-    left = Counter({k: v for k, v in histogram.items() if v > 0})
-    lengths = sorted(left)
-    used: list[tuple[tuple[int, ...], int]] = []
+    sums, steps, within = 1, [], (1 << (room + 1)) - 1
+    for x in lengths:
+        n, times = min(left[x], room // x), 1
+        while n > 0:
+            k = min(times, n)
+            steps.append((x, k, sums))
+            sums |= (sums << (k * x)) & within
+            n -= k
+            times *= 2
+        if sums >> room:
+            break
+    at, out = sums.bit_length() - 1, []
+    for x, k, before in reversed(steps):
+        if not before >> at & 1:
+            out += [x] * k
+            at -= k * x
+    return out
+
 
-    def fitting(limit: int, spent: Counter) -> int | None:
-        """Largest remaining length up to the limit."""
-        at = bisect.bisect_right(lengths, limit) - 1
-        while at >= 0 and left[lengths[at]] - spent[lengths[at]] <= 0:
-            at -= 1
-        return lengths[at] if at >= 0 else None
+def _tables(histogram: Counter, capacity: int, large_first: bool = True) -> Fillings:
+    """Fillings of bins, each with how many bins are filled so; all lengths of the histogram are used up.
 
+    Bin completion: the largest remaining length is filled up with the others that leave the least waste, however many they are; of
+    equal ones those with large parts, or with small ones. Equal bins are filled at once, as often as the counts allow: each filling uses up a length.
+    """
+    left = {k: v for k, v in histogram.items() if v > 0}
+    lengths = sorted(left)
+    used: Fillings = []
     while lengths:
         top = lengths[-1]
-        room = capacity - top
-        # incumbent: best fit
-        fill, spent, free = [], Counter({top: 1}), room
-        while free > 0 and (x := fitting(free, spent)) is not None:
-            fill.append(x)
-            spent[x] += 1
-            free -= x
-        best, waste = tuple(fill), free
-        nodes = 0
-
-        def search(limit: int, most: int, chosen: tuple[int, ...], spent: Counter, depth: int) -> None:
-            nonlocal best, waste, nodes
-            x = fitting(min(limit, most), spent)
-            while x is not None and waste and nodes < 4000:
-                nodes += 1
-                # lengths go down from here: if even depth copies of x can't come within the best waste, nothing smaller can
-                if limit - depth * x >= waste:
-                    return
-                if limit - x < waste:
-                    best, waste = (*chosen, x), limit - x
-                if depth == 1:  # a smaller last length is dominated
-                    return
-                if limit - x > 0 and waste:
-                    spent[x] += 1
-                    search(limit - x, x, (*chosen, x), spent, depth - 1)
-                    spent[x] -= 1
-                x = fitting(x - 1, spent)
-
-        if waste:
-            for depth in (1, 2, 3, 4):
-                search(room, room, (), Counter({top: 1}), depth)
-                if not waste:
-                    break
-        filling = (top, *best)
+        left[top] -= 1
+        filling = (top, *_fullest(lengths[::-1] if large_first else lengths, left, capacity - top))
+        left[top] += 1
         need = Counter(filling)
         times = min(left[k] // v for k, v in need.items())
         used.append((filling, times))
@@ -252,11 +238,48 @@ def _tables(histogram: Counter, capacity: int) -> list[tuple[tuple[int, ...], in
     return used
 
 
-def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """The fewest bins that bin completion finds for a histogram of lengths, as (lengths in a bin, number of such bins)."""
+def _bins(found: Fillings) -> int:
+    return sum(times for _, times in found)
+
+
+def _reopened(found: Fillings, capacity: int, share: int, large_first: bool) -> Fillings:
+    """All bins with waste, and ``share`` times as many of the full ones (the last filled first), emptied and filled anew."""
+    wasteful = [f for f in found if sum(f[0]) < capacity]
+    budget, kept, again = share * _bins(wasteful), [], Counter()
+    for filling, times in reversed([f for f in found if sum(f[0]) == capacity]):
+        n = min(times, budget)
+        budget -= n
+        if times > n:
+            kept.append((filling, times - n))
+        if n:
+            wasteful.append((filling, n))
+    for filling, times in wasteful:
+        for x in filling:
+            again[x] += times
+    return kept[::-1] + _tables(again, capacity, large_first)
+
+
+def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> Fillings:
+    """The fewest bins found for a histogram of lengths, as (lengths in a bin, number of such bins).
+
+    Bins are completed exactly, with large and with small parts. Where that doesn't end at the lower bound, bins are reopened as long as it
+    saves any. What still lies above the bound need not be the least: the bound may not be reached by any packing.
+    """
     if any(k > capacity or k <= 0 for k in histogram):
         raise ValueError("lengths must be from 1 to the capacity")
-    return _tables(Counter(histogram), capacity)
+    low = lower_bound({k: v for k, v in histogram.items() if v > 0}, capacity)
+    best = _tables(Counter(histogram), capacity)
+    if _bins(best) > low:
+        best = min(best, _tables(Counter(histogram), capacity, False), key=_bins)
+    better = True
+    while better and _bins(best) > low:
+        better = False
+        for share in (0, 1, 4, 16):
+            for large_first in (True, False):
+                tried = _reopened(best, capacity, share, large_first)
+                if _bins(tried) < _bins(best):
+                    best, better = tried, True
+    return best
 
 
 def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:

@@ -220,6 +220,19 @@ def test_packing(spark):
     assert all(len(r["ids"]) == 4 * r["length"] for r in full)
 
 
+def test_bins_are_completed_to_any_depth():
+    """Seven parts fill a bin exactly: 5 x 650 + 2 x 423 = 4096."""
+    histogram = {650: 60_000, 423: 20_000}
+    found = packing.fillings(histogram)
+    used = collections.Counter()
+    for filling, times in found:
+        assert sum(filling) <= 4096
+        for x in filling:
+            used[x] += times
+    assert used == histogram
+    assert sum(times for _, times in found) == 11_667
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=60))
 def test_fillings_use_everything_once(lengths):
