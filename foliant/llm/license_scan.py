@@ -1,7 +1,8 @@
 """Licence families of paragraphs: sparse n-gram logistic regression, a calibrated unknown class, and template comparison.
 
 The classifier is trained on the small table below. At scan time everything is built-in functions: word pairs and triples of each line
-meet the model's n-grams in a join on their hash, and weights are summed for each line and family.
+meet the model's n-grams in a join on their hash, and weights are summed for each line and family. Notices inside longer lines are found
+by windows: a template stands in a line if a window of twice its words holds enough of its n-grams.
 """
 
 from __future__ import annotations
@@ -76,7 +77,9 @@ OTHER: tuple[str, ...] = (
 )
 UNKNOWN = "unknown"
 SIZES = (2, 3)
-#: Calibrated on altered templates and on the other lines: least probability of a family, least share of the line's n-grams in its templates.
+#: Words that name a family. Templates with other names in their place are negatives.
+NAMES = {"apache", "bsd", "cc", "by", "nc", "sa", "creative", "commons", "sharealike", "noncommercial", "gnu", "lesser", "mit", "mozilla", "public"}
+#: For whole lines, set by hand: least probability of a family, least share of the line's n-grams in its templates.
 THRESHOLD, COVERAGE = 0.5, 0.5
 
 
@@ -112,22 +115,42 @@ def train(rounds: int = 120, rate: float = 0.5) -> tuple[dict[str, dict[str, flo
     return weights, bias
 
 
+@lru_cache
+def templates() -> list[tuple[str, int, frozenset[str], int]]:
+    """Each template's family, words, n-grams, and how many of them a window must hold.
+
+    Fitted on labelled negatives, each of them in prose: the other lines, templates of other families and all templates with the names replaced. The least share
+    is halfway between the negative that holds the most and the whole template.
+    """
+    around = ("the authors of the library", "read more on the page")
+    other = [*OTHER, *(" ".join("acme" if w in NAMES else w for w in re.split("[^a-z0-9]+", line.lower())) for lines in TEMPLATES.values() for line in lines if NAMES & set(re.split("[^a-z0-9]+", line.lower())))]
+    out = []
+    for family, lines in TEMPLATES.items():
+        negatives = other + [line for k, rest in TEMPLATES.items() if k != family for line in rest]
+        for line in lines:
+            own = frozenset(grams(line))
+            most = max(len(own & set(grams(f"{around[0]} {x} {around[1]}"))) for x in negatives)
+            out.append((family, len([w for w in re.split("[^a-z0-9]+", line.lower()) if w]), own, -(-(len(own) + most) // 2)))
+    return out
+
+
 def model_table(spark: SparkSession) -> DataFrame:
-    """``gram, family, weight, in_template``: of each n-gram of the training table and each class; a few thousand rows, as long as that table is."""
+    """``gram, families, templates``: each n-gram of the training table with its weights by class and the templates it stands in; as long as that table is."""
     weights, _ = train()
     inside = {k: {g for line in lines for g in grams(line)} for k, lines in TEMPLATES.items()}
     rows = []
     for g, by in sorted(weights.items()):
         h = xxhash.xxh64_intdigest(g.encode(), seed=42)
-        rows.append((h - (1 << 64) if h >> 63 else h, [(c, round(w, 6), int(g in inside.get(c, ()))) for c, w in sorted(by.items())]))
-    return spark.createDataFrame(rows, "gram long, families array<struct<family:string,weight:double,inside:int>>")
+        rows.append((h - (1 << 64) if h >> 63 else h, [(c, round(w, 6), int(g in inside.get(c, ()))) for c, w in sorted(by.items())], [(k, family, words, len(own), need) for k, (family, words, own, need) in enumerate(templates()) if g in own]))
+    return spark.createDataFrame(rows, "gram long, families array<struct<family:string,weight:double,inside:int>>, templates array<struct<template:int,family:string,words:int,size:int,need:int>>")
 
 
 def scan_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line, n_grams, family, probability, coverage, confirmed`` of each line that shares an n-gram with the model.
+    """``doc_id, line, n_grams, family, probability, coverage, confirmed, families`` of each line that shares an n-gram with the model.
 
     ``family`` is the likeliest class. Unless its probability reaches ``THRESHOLD`` it is ``unknown``. ``confirmed``: a family's templates hold at
-    least ``COVERAGE`` of the line's n-grams. Lines without any n-gram of the model score as the bias says, unknown, and aren't returned.
+    least ``COVERAGE`` of the line's n-grams, or a window of the line holds a template; then ``family`` and ``coverage`` are those of the window with the largest share
+    of its template. ``families``: all that are confirmed. Lines without any n-gram of the model score as the bias says, unknown, and aren't returned.
     """
     spark = docs.sparkSession
     _, bias = train()
@@ -137,21 +160,44 @@ def scan_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # zip_with pads the shorter side with null, and what is concatenated with null is null
     own = own.withColumn("p2", pinned(F.zip_with("w", rest("w", 1), lambda a, b: F.concat(a, F.lit(" "), b))))
     own = own.withColumn("p3", F.zip_with("p2", rest("w", 2), lambda a, b: F.concat(a, F.lit(" "), b)))
-    grams_ = F.array_distinct(F.transform(F.filter(F.concat("p2", "p3"), lambda x: x.isNotNull()), lambda x: F.xxhash64(x)))
-    own = own.withColumn("grams", pinned(grams_)).drop("w", "p2", "p3")
-    own = own.select("doc_id", "line", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
-    hits = own.join(F.broadcast(model_table(spark)), "gram").select("doc_id", "line", "n_grams", F.explode("families").alias("f"))
-    sums = hits.groupBy("doc_id", "line", "n_grams", "f.family").agg(F.sum("f.weight").alias("weight"), F.sum("f.inside").alias("inside"))
+    # both arrays are as long as the words, so places in them are places of words
+    hashes = F.transform(F.concat("p2", "p3"), lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
+    own = own.withColumn("m", F.size("w")).withColumn("grams", pinned(hashes)).drop("w", "p2", "p3")
+    own = own.withColumn("n_grams", pinned(F.size(F.array_compact(F.array_distinct("grams")))))
+    own = own.select("doc_id", "line", "n_grams", "m", F.posexplode("grams").alias("at", "gram"))
+    model = model_table(spark)
+    hits = own.join(F.broadcast(model.select("gram")), "gram").groupBy("doc_id", "line", "n_grams", "gram").agg(F.collect_list(F.col("at") % F.col("m")).alias("at"))
+    hits = hits.join(F.broadcast(model), "gram")
+
+    def windows(t):
+        """Windows of twice the template's words, one for each of its lengths, that hold the n-gram."""
+        at = F.transform("at", lambda p: F.floor(p / t["words"]).cast("int"))
+        return F.transform(F.array_union(at, F.transform(at, lambda k: k - 1)), lambda k: F.struct(t["family"].alias("family"), t["template"].alias("template"), k.alias("window"), t["size"].alias("size"), t["need"].alias("need"), F.lit(0.0).alias("weight"), F.lit(1).alias("inside")))
+
+    none = F.lit(-1)
+    whole = F.transform("families", lambda f: F.struct(f["family"].alias("family"), none.alias("template"), none.alias("window"), none.alias("size"), none.alias("need"), f["weight"].alias("weight"), f["inside"].alias("inside")))
+    parts = hits.select("doc_id", "line", "n_grams", F.explode(F.concat(whole, F.flatten(F.transform("templates", windows)))).alias("f"))
+    sums = parts.groupBy("doc_id", "line", "n_grams", "f.family", "f.template", "f.window", "f.size", "f.need").agg(F.sum("f.weight").alias("weight"), F.sum("f.inside").alias("inside"))
+    sums = sums.where((F.col("template") < 0) | (F.col("inside") >= F.col("need")))
     base = F.when(F.col("family") == UNKNOWN, F.lit(bias[UNKNOWN])).otherwise(F.lit(0.0))
     logit = sums.withColumn("logit", base + F.col("weight") / F.sqrt(F.col("n_grams").cast("double")))
-    per = logit.groupBy("doc_id", "line", "n_grams").agg(F.collect_list(F.struct("logit", "family", "inside")).alias("all"))
+    per = logit.groupBy("doc_id", "line", "n_grams").agg(
+        F.collect_list(F.when(F.col("template") < 0, F.struct("logit", "family", "inside"))).alias("all"),
+        F.collect_list(F.when(F.col("template") >= 0, F.struct((F.col("inside") / F.col("size")).alias("share"), "family"))).alias("found"),
+    )
     best = F.array_max("all")
     z = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x["logit"] - best["logit"]))
-    out = per.select("doc_id", "line", "n_grams", best.alias("best"), (F.lit(1.0) / z).alias("probability"))
-    coverage = F.col("best.inside") / F.col("n_grams")
+    out = per.select("doc_id", "line", "n_grams", "found", best.alias("best"), (F.lit(1.0) / z).alias("probability"))
     family = F.when(F.col("probability") >= THRESHOLD, F.col("best.family")).otherwise(UNKNOWN)
-    out = out.select("doc_id", "line", "n_grams", family.alias("family"), "probability", F.when(family == UNKNOWN, 0.0).otherwise(coverage).alias("coverage"))
-    return out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("coverage") >= COVERAGE))
+    out = out.withColumn("family", family).withColumn("coverage", F.when(family == UNKNOWN, 0.0).otherwise(F.col("best.inside") / F.col("n_grams")))
+    line = (F.col("family") != UNKNOWN) & (F.col("coverage") >= COVERAGE)
+    window = ~line & (F.size("found") > 0)
+    top = F.array_max("found")
+    families = F.array_sort(F.array_union(F.when(line, F.array("family")).otherwise(F.array().cast("array<string>")), F.transform("found", lambda x: x["family"])))
+    return out.select(
+        "doc_id", "line", "n_grams", F.when(window, top["family"]).otherwise(F.col("family")).alias("family"), "probability",
+        F.when(window, top["share"]).otherwise(F.col("coverage")).alias("coverage"), (line | window).alias("confirmed"), families.alias("families"),
+    )
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +210,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = scan_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col("family") != UNKNOWN)
     per = found.groupBy("doc_id").agg(
         F.min(F.when(F.col("confirmed"), F.struct("line", "family"))).alias("first"),
-        F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("licenses"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))).alias("licenses"),
         F.countDistinct(F.when(F.col("confirmed"), F.col("line"))).alias("n"),
         F.countDistinct(F.when(~F.col("confirmed"), F.col("line"))).alias("d"),
     )

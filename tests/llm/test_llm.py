@@ -185,6 +185,21 @@ def test_licenses(spark):
     assert got == {1: ("mit", ["mit"]), 2: ("gpl", ["gpl"]), 3: ("cc", ["cc"]), 4: ("apache", ["apache"]), 5: (None, []), 6: (None, []), 7: (None, []), 8: ("mit", ["cc", "mit"])}
 
 
+def test_licenses_inside_longer_lines(spark):
+    """A notice in prose is found wherever it stands in its line; the same notice with another name is not."""
+    prose = " ".join(random.Random(3).choices(vocabulary(), k=200))
+    named = "Copyright 2020 by the authors of the library. {} Read more on the page."
+    lines = [(f, line) for f, own in license_scan.TEMPLATES.items() for line in own]
+    rows = [(0, named.format("Released under the MIT License.")), (1, named.format("Released under the Acme License.")), (2, named.format("This software is licensed under the Acme License."))]
+    rows += [(3, f"{prose} Released under the MIT License. {prose} Licensed under CC BY 4.0. {prose}")]
+    rows += [(10 + k, f"{prose} {line} {prose}") for k, (_, line) in enumerate(lines)] + [(100 + k, f"{prose} {line} {prose}") for k, line in enumerate(license_scan.OTHER)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    assert [got[d]["license"] for d in range(3)] == ["mit", None, None]
+    assert got[3]["licenses"] == ["cc", "mit"]
+    assert [got[10 + k]["license"] for k in range(len(lines))] == [f for f, _ in lines]
+    assert all(got[100 + k]["license"] is None for k in range(len(license_scan.OTHER)))
+
+
 def test_licenses_on_altered_templates(spark):
     """Held-out accuracy: templates with a word dropped are still named, other prose is not."""
     rng = random.Random(7)
