@@ -1,12 +1,17 @@
 """Scores of texts under a probabilistic suffix tree over words.
 
-States are contexts of up to ``DEPTH`` words. A context and each of its next symbols must be seen ``MIN_COUNT`` times, at every size of the
-corpus: the model grows with it. A context becomes a state if its next-symbol distribution diverges from its parent's by more than
-its entries cost (BIC). Symbols it has no entry for get the parent's probabilities, scaled to the mass left.
+Contexts are of variable length, up to ``DEPTH`` words. A word sequence is an entry if the training texts have it ``MIN_COUNT`` times, at every size of
+the corpus. A context becomes a state if the distribution of its next symbols diverges from that of its longest shorter state by more than its entries
+cost (BIC). A state gives symbols it has no entry for its parent's probabilities, scaled to the mass left. The root is the smoothed
+distribution of single words. A symbol is scored under the longest state that its context ends with.
 
-The root is the smoothed unigram distribution over the full vocabulary. No table is held whole anywhere: an entry of d words is the key of its
-first d - 1 words and the key of its last d - 1, entries are counted in buckets of hashes, tested in joins, and meet blocks of texts
-in buckets again. What is broadcast are filters of fixed size that say which keys can't be entries; they save work and change no result.
+The tree is held whole nowhere. Texts stand in blocks of about ``BLOCK`` words, a row of a table each. In each round blocks ask
+buckets of a hash about their distinct sequences, and buckets add up and answer in the order of the questions:
+
+* counts of sequences of d words, asked only where both sequences of d - 1 words within are entries (no other can be one);
+* the divergence test of contexts: each entry's share in its context's sums is told by one block, its owner, and added up by the context's bucket.
+
+A bucket's key is the hash of a whole sequence, and a block asks once about each, however often it stands there, so no word or pair makes a bucket large.
 """
 
 from __future__ import annotations
@@ -16,19 +21,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, mix, partitions, split_words
+from foliant.llm.common import WordHashes, as_bytes, discard, map_arrow, materialize, mix, partitions, split_words
 
 #: Least count of an entry, words of the longest context.
-MIN_COUNT, DEPTH = 4, 2
+MIN_COUNT, DEPTH = 2, 4
 DISCOUNT = 0.5
-#: Words a task gathers before it sends what it counted; words of a block of texts.
-FLUSH, BLOCK = 2_000_000, 500_000
+#: Words of a block of texts, and questions of a bucket, about.
+BLOCK, BUCKET = 1_500_000, 3_000_000
+#: A sequence is told by so many bits more than the corpus' number of words has, up to 64.
+SPARE_BITS = 26
 END = b"\n"
 HELD_OUT, FOLDS = 1, 5
+_BLOCKS = "block long, size long, train long, payload binary"
+_ASKED = "bucket long, block long, kind int, n int, keys binary, vals binary"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -36,286 +45,263 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*split_words(text.lower() if text else text), END]
 
 
-def combine(keys: np.ndarray) -> np.ndarray:
-    """Keys of d + 1 words from the keys of all d neighbouring words, in order."""
-    return join_keys(keys[:-1], keys[1:])
-
-
 def join_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Key of a sequence from those of its parts without the last and without the first word."""
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right + np.uint64(0xD1B54A32D192ED03)))
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of keys by bucket, and (bucket, first, last + 1) of each in that order; a bucket is a range of keys."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    edges = np.append(np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))), len(b)).tolist() if len(b) else [0]
-    return order, [(int(b[s]), s, e) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by place of their bytes, compressed: places that hardly change take hardly any room."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True)
 
 
-_PACKED = "bucket int, kind int, block long, keys binary, vals binary"
+def unplane(data: bytes, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T.copy().view(kind).ravel()
 
 
-def _pack(keys: np.ndarray, columns: tuple[np.ndarray, ...], buckets: int, kind: int, block: int = 0) -> pa.RecordBatch:
-    """One row for each bucket of keys; ``columns`` stand one after the other in ``vals``."""
-    order, spans = _bucket(keys, buckets)
-    keys, columns = keys[order], [c[order] for c in columns]
-    arrays = [
-        pa.array([b for b, _, _ in spans], pa.int32()), pa.array([kind] * len(spans), pa.int32()), pa.array([block] * len(spans), pa.int64()),
-        pa.array([keys[s:e].tobytes() for _, s, e in spans], pa.binary()), pa.array([b"".join(c[s:e].tobytes() for c in columns) for _, s, e in spans], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", "block", "keys", "vals"])
+class Plan:
+    """What all rounds share: words in all and in training, distinct training words, depth, and how questions are dealt."""
 
+    def __init__(self, total: int, train: int, depth: int, parts: int):
+        self.total, self.train, self.depth, self.vocabulary = total, train, depth, 0
+        self.buckets = max(parts, -(-total // BUCKET))
+        self.edges = (np.arange(self.buckets, dtype=object) * (1 << 64) // self.buckets).astype(np.uint64)
+        self.shift = np.uint64(max(0, 64 - SPARE_BITS - max(1, total).bit_length()))
 
-def _grouped(packed: DataFrame, by: str, settle: Callable, schema: str) -> DataFrame:
-    """Apply ``settle`` to all rows of each bucket or block, a list of (bucket, kind, block, keys, vals)."""
-    place = ["bucket", "kind", "block", "keys", "vals"].index(by)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if row[place] != now and held:
-                    yield from settle(held)
-                    held = []
-                now = row[place]
-                held.append(row)
-        if held:
-            yield from settle(held)
+    @property
+    def floor(self) -> float:
+        return self.train + 0.5 * (self.vocabulary + 1)
 
-    return map_arrow(packed.repartition(partitions(packed.sparkSession), by).sortWithinPartitions(by), run, schema)
+    def deal(self, block: int, kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Sorted keys and what is told about them, in one row for each bucket; a bucket is a range of keys."""
+        edges = [*np.searchsorted(keys, self.edges).tolist(), len(keys)]
+        keys = keys >> self.shift
+        rows = []
+        for bucket, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
+            if e > s:
+                told = pickle.dumps([planes(c[s:e]) for c in columns])
+                rows.append((bucket, block, kind, e - s, planes(np.diff(keys[s:e], prepend=np.zeros(1, np.uint64))), told))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "kind", "n", "keys", "vals"])
 
 
-def _count(rows: DataFrame, level: int, filters: list[Filter]) -> DataFrame:
-    """``key, left, right, c``: how often each entry of ``level`` words stands in the training texts, from ``MIN_COUNT`` times on (words: all).
+class Replay:
+    """A block's texts, one after the other, with all that is known of them after the rounds so far.
 
-    ``filters[d]`` knows the entries of d + 1 words; those of more words are made of them.
+    Arrays are indexed by the place of a sequence's last word. ``counts[d]``: training count of the sequence of d words there, 0 if it is no entry
+    (words: always). ``log_p``: log10 probability of the word under the states found so far.
     """
-    buckets, least = 4 * partitions(rows.sparkSession), 1 if level == 1 else MIN_COUNT
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            left, right = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            keys = left if level == 1 else join_keys(left, right)
-            keys, first, c = np.unique(keys, return_index=True, return_counts=True)
-            yield _pack(keys, (c,) if level == 1 else (left[first], right[first], c), buckets, 0)
-
-        for batch in batches:
-            for out, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if out:
-                    continue
-                keys, known = _keys(hashes.of(tokens(text)), max(level - 1, 1), filters)
-                pair = (keys[-1], keys[-1]) if level == 1 else (keys[-1][:-1][ok := known[:-1] & known[1:]], keys[-1][1:][ok])
-                held.append(pair)
-                n += len(pair[0])
-                if n >= FLUSH:
-                    yield from flush()
-                    held, n = [], 0
-        if n:
-            yield from flush()
-
-    def settle(packed: list) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([np.frombuffer(r[3], np.uint64) for r in packed])
-        vals = [np.frombuffer(r[4], np.int64).reshape(-1, len(r[3]) // 8) for r in packed]
+    def __init__(self, payload: bytes, plan: Plan):
+        self.docs, self.held, lengths, words, ids, answers = pickle.loads(payload)
+        self.plan, self.lengths = plan, np.frombuffer(lengths, np.int64)
+        self.words = np.frombuffer(words, np.uint64)
+        n = int(self.lengths.sum())
+        ids = unplane(ids, "<u4", n).astype(np.int64)
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.starts, self.place = starts, np.arange(n) - np.repeat(starts, self.lengths)
+        self.learned = ~np.repeat(np.array(self.held, bool), self.lengths)
+        # by number of words: keys, distinct keys asked about, which of them each place has (-1: none)
+        self.keys, self.asked, self.which = {1: self.words[ids]}, {1: self.words}, {1: ids}
+        self.first = {1: None}
+        self.counts: dict[int, np.ndarray] = {}
+        self.owned: dict[int, np.ndarray] = {}
+        self.log_p = np.zeros(n)
+        for round_, got in enumerate(answers, 1):
+            self._learn(round_, got)
+
+    def _learn(self, round_: int, answers: dict[int, list[tuple[int, bytes]]]) -> None:
+        if 0 in answers:
+            if round_ > 1:
+                self._sequences(round_)
+            got = np.concatenate([np.zeros(0, np.int64), *(unplane(data, "<i8", n) for n, data in answers[0])])
+            c = np.where(self.which[round_] >= 0, np.append(got >> 1, 0)[self.which[round_]], 0)
+            self.counts[round_], self.owned[round_] = c, (got & 1).astype(bool)
+            if round_ == 1:
+                self.log_p = np.log10((c + 0.5) / self.plan.floor)
+        elif round_ <= self.plan.depth + 1:
+            self._sequences(round_)
+            self.counts[round_], self.owned[round_] = np.zeros(len(self.place), np.int64), np.zeros(0, bool)
+        if round_ >= 3:
+            self._states(round_ - 2, answers.get(1, []))
+
+    def _sequences(self, d: int) -> None:
+        """Keys of d words, and which of them are asked about: those whose two parts are entries."""
+        below, c = self.keys[d - 1], self.counts[d - 1]
+        key = np.zeros(len(below), np.uint64)
+        key[1:] = join_keys(below[:-1], below[1:])
+        ok = np.zeros(len(below), bool)
+        ok[1:] = (c[:-1] >= MIN_COUNT) & (c[1:] >= MIN_COUNT)
+        at = np.flatnonzero(ok & (self.place >= d - 1))
+        asked, first, which = np.unique(key[at], return_index=True, return_inverse=True)
+        self.keys[d], self.asked[d], self.first[d] = key, asked, at[first]
+        self.which[d] = np.full(len(below), -1)
+        self.which[d][at] = which
+
+    def _contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose d words before are an entry, and which of the distinct keys of d words are such contexts."""
+        at = np.flatnonzero(self.place >= d)
+        at = at[self.counts[d][at - 1] >= MIN_COUNT]
+        used = np.zeros(len(self.asked[d]), bool)
+        used[self.which[d][at - 1]] = True
+        return at, used
+
+    def _states(self, d: int, answers: list[tuple[int, bytes]]) -> None:
+        """Score places under contexts of d words that are states."""
+        at, used = self._contexts(d)
+        scale = np.full(len(used), np.nan)
+        scale[used] = np.concatenate([np.zeros(0), *(unplane(data, "<f8", n) for n, data in answers)])
+        scale = scale[self.which[d][at - 1]]
+        at, scale = at[~np.isnan(scale)], scale[~np.isnan(scale)]
+        c, n = self.counts[d + 1][at], self.counts[d][at - 1]
+        self.log_p[at] = np.where(c >= MIN_COUNT, np.log10(np.maximum(c - DISCOUNT, DISCOUNT) / n), self.log_p[at] + scale)
+
+    def questions(self, round_: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Kind 0: keys of ``round_`` words and how often this block's training texts have each. Kind 1: contexts of two words less and this block's share in their sums."""
+        if round_ <= self.plan.depth + 1:
+            if round_ > 1:
+                self._sequences(round_)
+            which = self.which[round_]
+            yield 0, self.asked[round_], [np.bincount(which[(which >= 0) & self.learned], minlength=len(self.asked[round_]))]
+        if round_ >= 3:
+            d = round_ - 2
+            _, used = self._contexts(d)
+            number = np.cumsum(used) - 1
+            entries = self.first[d + 1]
+            c = self.counts[d + 1][entries]
+            own = self.owned[d + 1] & (c >= MIN_COUNT)
+            entries, c = entries[own], c[own]
+            n, context = self.counts[d][entries - 1], number[self.which[d][entries - 1]]
+            p = 10.0 ** self.log_p[entries]
+            m = int(used.sum())
+            add = lambda w: np.bincount(context, w, minlength=m)
+            total = np.zeros(m, np.int64)
+            total[context] = n
+            yield 1, self.asked[d][used], [total, add(c).astype(np.int64), add(None), add(p), add(c * np.log(c / n / p))]
+
+
+def settle(packed: list, plan: Plan) -> Iterator[tuple[int, int, int, bytes]]:
+    """Answers of a bucket as (block, kind, n, data), in the order of each question; kind 2 (block -1): how many distinct training keys of kind 0."""
+    for kind in (0, 1):
+        own = [r for r in packed if r[2] == kind]
+        if not own:
+            continue
+        keys = np.concatenate([np.cumsum(unplane(r[4], "<u8", r[3]), dtype=np.uint64) for r in own])
+        columns = [np.concatenate(c) for c in zip(*([unplane(data, k, r[3]) for data, k in zip(pickle.loads(r[5]), ("<i8", "<i8", "<i8", "<f8", "<f8"), strict=False)] for r in own), strict=True)]
         order = np.argsort(keys, kind="stable")
-        vals = np.concatenate(vals, axis=1)[:, order]
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        c = np.add.reduceat(vals[-1], first)
-        keep = c >= least
-        first, c = first[keep], c[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(vals[0][first]), pa.array(vals[-2 if level > 1 else 0][first]), pa.array(c)], names=["key", "left", "right", "c"])
-
-    return _grouped(map_arrow(rows.select("held_out", "text"), send, _PACKED), "bucket", settle, "key long, left long, right long, c long")
-
-
-def _keys(hashes: np.ndarray, levels: int, filters: list[Filter]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of a text's 1, 2, .. ``levels`` neighbouring words, and which of the longest may be entries."""
-    out, known = [hashes], np.ones(len(hashes), bool)
-    for level in range(1, levels + 1):
-        if level > 1:
-            out.append(combine(out[-1]))
-            known = known[:-1] & known[1:]
-        if level <= len(filters):
-            known = known & filters[level - 1].value.may(out[-1])
-    return out, known
-
-
-class Bits:
-    """Top bits of known keys: at most 2^28 bits, however many keys there are. Says no only of keys that aren't among them."""
-
-    def __init__(self, width: int, data: bytes):
-        self.width, self.bits = width, np.frombuffer(data, np.uint8)
+        in_order = keys[order]
+        del keys
+        first = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1])))
+        run = np.empty(len(order), np.int64)
+        run[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        del in_order
+        if kind == 0:
+            c = np.add.reduceat(columns[0][order], first)
+            answer = c[run] << 1
+            answer[order[first]] |= 1  # the first block that asks is the entry's owner
+            yield -1, 2, 0, int((c > 0).sum()).to_bytes(8, "little")
+        else:
+            n = np.maximum.reduceat(columns[0][order], first)
+            seen, size, theirs, gain = (np.add.reduceat(c[order], first) for c in columns[1:])
+            answer = states(n, seen, size, theirs, gain)[run]
+        edges = np.cumsum([0, *(r[3] for r in own)]).tolist()
+        for r, s, e in zip(own, edges, edges[1:], strict=False):
+            yield r[1], kind, r[3], planes(answer[s:e])
 
-    def may(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> np.uint64(64 - self.width)
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+def states(n: np.ndarray, seen: np.ndarray, size: np.ndarray, theirs: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Divergence test of contexts: the log10 scale of their parent's probabilities for symbols without an entry, nan where a context is no state.
 
-Filter = Broadcast  # of Bits
+    ``n``: a context's count, ``seen`` and ``size``: its entries' counts and number, ``theirs``: the entries' probability under the parent, ``gain``: their share
+    of the log likelihood ratio.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest, rest_parent = 1 - (seen - DISCOUNT * size) / n, 1 - np.minimum(theirs, 1 - 1e-9)
+        left = n - seen
+        gain = gain + np.where(left > 0, left * np.log(np.maximum(left, 1) / n / rest_parent), 0.0)
+        kept = (size > 0) & (gain > size * (1 + np.log(n)) / 2 + 4)
+        return np.where(kept, np.log10(rest / rest_parent), np.nan)
 
 
-def _filter(entries: DataFrame) -> Filter:
-    """Filter of a table's keys. Buckets are ranges of keys, so each makes its own stretch of bits."""
-    spark = entries.sparkSession
-    width = min(28, max(16, (16 * entries.count()).bit_length()))
-    buckets = 4 * partitions(spark)
+def _grouped(rows: DataFrame, by: str, parts: int, fn: Callable, schema: str) -> DataFrame:
+    """Apply ``fn`` to all rows of each bucket or block at once."""
+    place = rows.columns.index(by)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for batch in batches:
-            yield _pack(batch.column(0).to_numpy().view(np.uint64), (), buckets, 0)
-
-    def settle(packed: list) -> Iterator[pa.RecordBatch]:
-        at = np.concatenate([np.frombuffer(r[3], np.uint64) for r in packed]) >> np.uint64(64 - width)
-        low = int(at.min()) >> 3
-        bits = np.zeros(8 * ((int(at.max()) >> 3) - low + 1), bool)
-        bits[at.astype(np.int64) - 8 * low] = True
-        yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["low", "bits"])
-
-    out = np.zeros(1 << (width - 3), np.uint8)
-    for low, bits in _grouped(map_arrow(entries.select("key"), send, _PACKED), "bucket", settle, "low long, bits binary").toLocalIterator():
-        out[low : low + len(bits)] |= np.frombuffer(bits, np.uint8)
-    return spark.sparkContext.broadcast(Bits(width, out.tobytes()))
-
-
-def _code(ids: np.ndarray) -> bytes:
-    """Numbers of a block's words as they wait for the next pass: how many, and their bytes by place, compressed."""
-    return len(ids).to_bytes(8, "little") + pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+                if row[place] != now and held:
+                    yield from fn(held)
+                    held = []
+                now = row[place]
+                held.append(row)
+        if held:
+            yield from fn(held)
 
+    return map_arrow(rows.repartition(parts, by).sortWithinPartitions(by), run, schema)
 
-def _decode(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Texts as blocks of whole documents."""
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key in a sorted table, -1 where it isn't there."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size, block = WordHashes(), [], 0, TaskContext.get().partitionId() << 33
 
+        def flush() -> pa.RecordBatch:
+            lengths = np.array([len(h) for _, _, h in held], np.int64)
+            words, ids = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True)
+            payload = pickle.dumps(([d for d, _, _ in held], [o for _, o, _ in held], lengths.tobytes(), words.tobytes(), planes(ids.astype("<u4")), []))
+            train = int(lengths[~np.array([o for _, o, _ in held], bool)].sum())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((block, pa.int64()), (int(lengths.sum()), pa.int64()), (train, pa.int64()), (payload, pa.binary()))], names=["block", "size", "train", "payload"])
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    """Keys of neighbouring frequent words, 0 where one isn't frequent."""
-    return np.where((ids[:-1] > 0) & (ids[1:] > 0), (ids[:-1] << 32) | ids[1:], 0).astype(np.uint64)
+        for batch in batches:
+            for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                held.append((doc, out, hashes.of(tokens(text))))
+                size += len(held[-1][2])
+                if size >= BLOCK:
+                    yield flush()
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield flush()
 
+    return map_arrow(rows.select("doc_id", "held_out", "text"), run, _BLOCKS)
 
-def triple_keys(ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Keys (number of the first pair, last word) of three words whose two pairs are both frequent, else 0."""
-    at = _find(pairs, pair_keys(ids)) + 1
-    return np.where((at[:-1] > 0) & (at[1:] > 0), (at[:-1] << 32) | ids[2:], 0).astype(np.uint64)
 
+def _round(blocks: DataFrame, round_: int, plan: Plan, parts: int) -> DataFrame:
+    """The blocks with the answers to one round's questions; after the first, ``plan`` knows the vocabulary's size."""
 
-def _states(context: np.ndarray, c: np.ndarray, total: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Divergence test. For entries in order of context: each context's first entry, whether it is a state, and its log10 scale for other symbols.
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for kind, keys, columns in Replay(payload, plan).questions(round_):
+                    yield from plan.deal(block, kind, keys, columns)
 
-    ``total``: the context's count, ``parent``: the symbol's probability under the parent.
-    """
-    if not len(c):
-        return np.empty(0, np.int64), np.empty(0, bool), np.empty(0)
-    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    n = total[first].astype(float)
-    sizes = np.diff(np.append(first, len(c)))
-    own = np.maximum(np.add.reduceat((c - DISCOUNT) / total, first), 1e-12)
-    theirs = np.minimum(np.add.reduceat(parent, first), 1 - 1e-9)
-    rest, rest_parent = np.maximum(1 - own, 1e-12), 1 - theirs
-    gain = np.add.reduceat(c * np.log(c / total / parent), first)
-    left = np.maximum(n - np.add.reduceat(c, first), 0)
-    gain += np.where(left > 0, left * np.log(np.maximum(left / n, 1e-300) / rest_parent), 0.0)
-    return first, gain > sizes * (1 + np.log(n)) / 2 + 4, np.log10(rest / rest_parent)
-
-
-class Model:
-    """The model with contexts of two words, held whole: what ``score`` computes in joins, for small tables and tests."""
-
-    def __init__(self, n: int, v: int, words: tuple[np.ndarray, np.ndarray]):
-        self.n, self.v = n, v
-        self.hashes, self.counts = words
-        self.floor = n + 0.5 * (v + 1)
-        self.root = np.concatenate(([np.nan], (self.counts + 0.5) / self.floor))
-        self.pairs, self.pair_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def learn_pairs(self, pairs: tuple[np.ndarray, np.ndarray]) -> None:
-        self.pairs, self.pair_counts = pairs
-        context, symbol = (self.pairs >> np.uint64(32)).astype(np.int64), (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        total = self.counts[context - 1]
-        first, kept, scale = _states(context, self.pair_counts, total, self.root[symbol])
-        self.scale1 = np.zeros(len(self.counts) + 1)
-        self.state1 = np.zeros(len(self.counts) + 1, bool)
-        self.state1[context[first[kept]]] = True
-        self.scale1[context[first[kept]]] = scale[kept]
-        self.ratio1 = np.log10((self.pair_counts - DISCOUNT) / total / self.root[symbol])
-
-    def learn_triples(self, triples: tuple[np.ndarray, np.ndarray]) -> None:
-        keys, c = triples
-        pair, symbol = (keys >> np.uint64(32)).astype(np.int64) - 1, (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        total = self.pair_counts[pair]
-        middle = (self.pairs[pair] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        level1 = self._level1(middle, symbol)
-        parent = self.root[symbol] * 10.0**level1
-        first, kept, scale = _states(pair, c, total, parent)
-        self.scale2, self.state2 = np.zeros(len(self.pairs)), np.zeros(len(self.pairs), bool)
-        self.state2[pair[first[kept]]] = True
-        self.scale2[pair[first[kept]]] = scale[kept]
-        # words that stand first or second in a state: what else isn't looked up
-        kept2 = self.pairs[np.flatnonzero(self.state2)]
-        self.first2, self.second2 = np.zeros(len(self.counts) + 1, bool), np.zeros(len(self.counts) + 1, bool)
-        self.first2[(kept2 >> np.uint64(32)).astype(np.int64)] = True
-        self.second2[(kept2 & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        own = self.state2[pair]
-        self.triples, self.ratio2 = keys[own], np.log10((c - DISCOUNT) / total / self.root[symbol])[own]
-
-    def _level1(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 of P(symbol | context of one word) over the root's; symbol 0 is any that isn't frequent."""
-        out = np.zeros(len(context))
-        at = np.flatnonzero(self.state1[context])
-        if not len(at):
-            return out
-        entry = _find(self.pairs, np.where(symbol[at] > 0, (context[at] << 32) | symbol[at], 0).astype(np.uint64))
-        out[at] = np.where(entry >= 0, self.ratio1[entry] if len(self.ratio1) else 0.0, self.scale1[context[at]])
-        return out
-
-    def gain(self, ids: np.ndarray) -> float:
-        """log10 of a text's probability under the longest states, over the root's."""
-        if len(ids) < 2:
-            return 0.0
-        out = self._level1(ids[:-1], ids[1:])
-        at = np.flatnonzero(self.first2[ids[:-2]] & self.second2[ids[1:-1]])
-        if len(at):
-            pair = _find(self.pairs, ((ids[at] << 32) | ids[at + 1]).astype(np.uint64))
-            own = (pair >= 0) & self.state2[pair]
-            at, pair = at[own], pair[own]
-            symbol = ids[at + 2]
-            entry = _find(self.triples, np.where(symbol > 0, ((pair + 1) << 32) | symbol, 0).astype(np.uint64))
-            out[at + 1] = np.where(entry >= 0, self.ratio2[entry] if len(self.ratio2) else 0.0, self.scale2[pair] + out[at + 1])
-        return float(out.sum())
-
-
-def _grow(entries: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States among the contexts of entries (``key, scale``), and the entries as ``key, c, root, ratio``.
-
-    ``below``: the same of one word less. ``root`` is log10 of the last word's root probability, ``ratio`` log10 of its probability after the longest state among the
-    words before it over that.
-    """
-    left = below.select(F.col("key").alias("left"), F.col("c").alias("total"))
-    right = below.select(F.col("key").alias("right"), "root", F.col("ratio").alias("parent"))
-    known = materialize(entries.join(left, "left").join(right, "right").select("key", "left", "c", "total", "root", "parent"), "entries")
-    p, share = F.pow(F.lit(10.0), F.col("root") + F.col("parent")), F.col("c") / F.col("total")
-    sums = known.groupBy("left").agg(
-        F.first("total").cast("double").alias("n"), F.count("*").alias("size"), F.sum("c").alias("seen"), F.sum((F.col("c") - DISCOUNT) / F.col("total")).alias("own"),
-        F.sum(p).alias("theirs"), F.sum(F.col("c") * F.log(share / p)).alias("gain"),
-    )
-    rest, rest_parent = F.greatest(1 - F.greatest("own", F.lit(1e-12)), F.lit(1e-12)), 1 - F.least("theirs", F.lit(1 - 1e-9))
-    left_over = F.greatest(F.col("n") - F.col("seen"), F.lit(0.0))
-    gain = F.col("gain") + F.when(left_over > 0, left_over * F.log(left_over / F.col("n") / rest_parent)).otherwise(0.0)
-    states = materialize(sums.where(gain > F.col("size") * (1 + F.log("n")) / 2 + 4).select(F.col("left").alias("key"), F.log10(rest / rest_parent).alias("scale")), "states")
-    own = F.log10((F.col("c") - DISCOUNT) / F.col("total")) - F.col("root")
-    joined = known.join(states.withColumnRenamed("key", "left"), "left", "left")
-    return states, materialize(joined.select("key", "c", "root", F.when(F.col("scale").isNotNull(), own).otherwise(F.col("parent")).alias("ratio")), "model")
+    def answer(packed: list) -> Iterator[pa.RecordBatch]:
+        for block, kind, n, data in settle(packed, plan):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((packed[0][0], pa.int64()), (block, pa.int64()), (kind, pa.int32()), (n, pa.int32()), (data, pa.binary()), (b"", pa.binary()))], names=["bucket", "block", "kind", "n", "keys", "vals"])
+
+    def attach(rows: list) -> Iterator[pa.RecordBatch]:
+        """Put a block's answers into its payload, by bucket."""
+        got: dict[int, list] = {}
+        for bucket, _, kind, n, data, _ in sorted((r for r in rows if r[0] >= 0), key=lambda r: r[0]):
+            got.setdefault(kind, []).append((n, data))
+        for r in rows:
+            if r[0] < 0:
+                *most, answers = pickle.loads(r[5])
+                payload = pickle.dumps((*most, [*answers, got]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((r[1], pa.int64()), (0, pa.int64()), (0, pa.int64()), (payload, pa.binary()))], names=["block", "size", "train", "payload"])
+
+    answers = _grouped(map_arrow(blocks.select("block", "payload"), ask, _ASKED), "bucket", parts, answer, _ASKED)
+    if round_ == 1:
+        answers = materialize(answers, "answers")
+        plan.vocabulary = sum(int.from_bytes(r[0], "little") for r in answers.where("kind = 2").select("keys").toLocalIterator())  # a number for each bucket
+    old = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(-1).alias("kind"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("keys"), F.col("payload").alias("vals"))
+    out = materialize(_grouped(old.unionAll(answers.where("kind < 2")), "block", parts, attach, _BLOCKS), "blocks")
+    discard(blocks, answers)
+    return out
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -324,127 +310,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     The model learns from rows that aren't held out: those whose crc32 of the id as text, modulo 5, isn't 1. ``score`` is the log10
     probability of the whole text with its end under the suffix tree with contexts of up to ``depth`` words, ``base_score`` that under the root alone. Null texts are
     empty (the end token only), null ids count as the empty text and are learned from, rows that repeat count as often as they stand. Other columns aren't
-    read. An empty table gives no rows; a table of held-out rows only is scored by an empty model.
+    read. An empty table gives no rows; a table of held-out rows only is scored by an empty model. Ids are numbers.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
-    rows = rows.withColumn("held_out", fold)
-    buckets = 4 * partitions(spark)
-
-    vocabulary = materialize(_count(rows, 1, []), "vocabulary")
-    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    floor = n + 0.5 * (v + 1)
-    words = vocabulary.select("key", "c", F.log10((F.col("c") + 0.5) / F.lit(floor)).alias("root"), F.lit(0.0).alias("ratio"))
-    model, filters = [words], [_filter(vocabulary.where(F.col("c") >= MIN_COUNT))]
-    states: list[DataFrame] = []
-    for level in range(2, depth + 2):
-        entries = materialize(_count(rows, level, filters), "counts")
-        found, grown = _grow(entries, model[-1].where(F.col("c") >= MIN_COUNT))
-        states.append(found)
-        model.append(grown)
-        filters.append(_filter(grown))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of texts (kind 0, by block) and the keys they ask for (kind -1, by bucket, with their levels)."""
-        hashes, held, size, block = WordHashes(), [], 0, TaskContext.get().partitionId() << 33
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            asked: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
-            for _, _, h in held:
-                asked[0].append(h)
-                keys, known = h, filters[0].value.may(h)
-                for level in range(1, depth + 1):
-                    keys, known = combine(keys), known[:-1] & known[1:]
-                    known = known & filters[level].value.may(keys)
-                    asked[level].append(keys[known])
-            unique = [np.unique(np.concatenate(a)) for a in asked]
-            at = np.searchsorted(unique[0], np.concatenate([h for _, _, h in held]))
-            about = pickle.dumps(([d for d, _, _ in held], [o for _, o, _ in held], [len(h) for _, _, h in held], unique[0].tobytes(), _code(at)))
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.array([about], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "kind", "block", "keys", "vals"])
-            yield _pack(np.concatenate(unique), (np.repeat(np.arange(depth + 1, dtype=np.uint8), [len(u) for u in unique]),), buckets, -1, block)
-
+    blocks = materialize(_blocks(rows.withColumn("held_out", fold)), "blocks")
+    total, train = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
+    parts = partitions(spark)
+    plan = Plan(total, train, depth, parts)
+    for round_ in range(1, depth + 3 if depth else 2):
+        blocks = _round(blocks, round_, plan, parts)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-                held.append((doc, out, hashes.of(tokens(text))))
-                size += len(held[-1][2])
-                if size >= BLOCK:
-                    yield from flush()
-                    held, size, block = [], 0, block + 1
-        if held:
-            yield from flush()
-
-    sent = materialize(map_arrow(rows.select("doc_id", "held_out", "text"), blocks, _PACKED), "blocks")
-    offered = sent.where("kind = -1")
-    for level, table in enumerate(model):
-        value = F.col("root") if level == 0 else F.col("ratio")
-        if level < depth:
-            table = table.join(states[level], "key", "left")
-        else:
-            table = table.withColumn("scale", F.lit(None).cast("double"))
-
-        def offer(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _pack(batch.column(0).to_numpy().view(np.uint64), (batch.column(1).to_numpy(), batch.column(2).to_numpy()), buckets, level)
-
-        table = table.select("key", value.alias("value"), F.coalesce("scale", F.lit(float("nan"))).alias("scale"))
-        offered = offered.unionAll(map_arrow(table, offer, _PACKED))
-
-    def answer(packed: list) -> Iterator[pa.RecordBatch]:
-        known = []
-        for level in range(depth + 1):
-            own = [r for r in packed if r[1] == level]
-            keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r[3], np.uint64) for r in own)])
-            vals = np.concatenate([np.empty((2, 0)), *(np.frombuffer(r[4], np.float64).reshape(2, -1) for r in own)], axis=1)
-            order = np.argsort(keys)
-            known.append((keys[order], vals[:, order]))
-        for _, kind, block, keys, levels in packed:
-            if kind >= 0:
-                continue
-            keys, levels = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8)
-            got: list[tuple] = []
-            for level in range(depth + 1):
-                asked = keys[levels == level]
-                at = _find(known[level][0], asked)
-                got.append((asked[at >= 0], known[level][1][:, at[at >= 0]]))
-            data = pickle.dumps([(k.tobytes(), x.tobytes()) for k, x in got])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "kind", "block", "keys", "vals"])
-
-    unseen = float(np.log10(0.5 / floor))
-
-    def judge(packed: list) -> Iterator[pa.RecordBatch]:
-        parts = [pickle.loads(r[3]) for r in packed if r[1] == 1]
-        tables = []
-        for level in range(depth + 1):
-            keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(p[level][0], np.uint64) for p in parts)])
-            vals = np.concatenate([np.empty((2, 0)), *(np.frombuffer(p[level][1], np.float64).reshape(2, -1) for p in parts)], axis=1)
-            order = np.argsort(keys)
-            # the last place stands for keys that aren't entries
-            tables.append((keys[order], np.append(vals[0][order], np.nan), np.append(vals[1][order], np.nan)))
-        for r in packed:
-            if r[1] != 0:
-                continue
-            docs_, held, lengths, words_, at = pickle.loads(r[3])
-            keys = np.frombuffer(words_, np.uint64)[_decode(at)]
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-            text = np.repeat(np.arange(len(lengths)), lengths)
-            entry = _find(tables[0][0], keys)
-            base = np.where(entry >= 0, tables[0][1][entry], unseen)
-            # log10 of each word's probability over the root's, by ever longer contexts; texts stand one after the other
-            gain, scale = np.zeros(len(keys)), tables[0][2][entry]
-            for level in range(1, depth + 1):
-                keys = combine(keys)
-                inside = text[level:] == text[: len(text) - level]
-                entry = np.where(inside, _find(tables[level][0], keys), -1)
-                context = np.where(inside, scale[: len(keys)], np.nan)
-                value = tables[level][1][entry]
-                before = gain[level:]
-                gain[level:] = np.where(np.isnan(context), before, np.where(entry >= 0, value, context + before))
-                scale = tables[level][2][entry]
-            known = np.where(_find(tables[0][0], np.frombuffer(words_, np.uint64)) >= 0, 1, 0)[_decode(at)]
-            sums = [np.add.reduceat(x, starts) for x in (known, base, base + gain)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), *(pa.array(x) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    answers = _grouped(offered, "bucket", answer, _PACKED)
-    out = _grouped(sent.where("kind = 0").unionAll(answers), "block", judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+            for payload in batch.column(0).to_pylist():
+                block = Replay(payload, plan)
+                known, base = block.counts[1] > 0, np.log10((block.counts[1] + 0.5) / plan.floor)
+                sums = [np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), base, block.log_p)]
+                yield pa.RecordBatch.from_arrays([pa.array(block.docs, pa.int64()), pa.array(block.held, pa.bool_()), pa.array(block.lengths), *(pa.array(x) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = map_arrow(blocks.select("payload"), judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")

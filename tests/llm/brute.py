@@ -131,3 +131,41 @@ def packed(docs, tokenizer, capacity=4096):
             part = ids[s : s + capacity]
             out[d, p] = (s, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)))
     return out
+
+
+def tree_scores(docs, depth, least=2, discount=0.5):
+    """log10 probability of each text under a suffix tree, by plain counting of all sequences."""
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs}
+    split = {d: (*words((t or "").translate(ASCII)), None) for d, t in docs}
+    counts = {}
+    for d, w in split.items():
+        if not held[d]:
+            for m in range(1, depth + 2):
+                for i in range(len(w) - m + 1):
+                    counts[w[i : i + m]] = counts.get(w[i : i + m], 0) + 1
+    single = {k: c for k, c in counts.items() if len(k) == 1}
+    floor = sum(single.values()) + 0.5 * (len(single) + 1)
+    after = {}
+    for k, c in counts.items():
+        if len(k) > 1 and c >= least:
+            after.setdefault(k[:-1], {})[k[-1]] = c
+    states = {}
+
+    def p(context, s):
+        if not context:
+            return (single.get((s,), 0) + 0.5) / floor
+        parent = p(context[1:], s)
+        if context not in states:
+            return parent
+        c = after[context].get(s)
+        return (c - discount) / counts[context] if c else states[context] * parent
+
+    for context in sorted(after, key=len):
+        own, n = after[context], counts[context]
+        theirs = {s: p(context[1:], s) for s in own}
+        rest, rest_parent = 1 - sum(c - discount for c in own.values()) / n, 1 - min(sum(theirs.values()), 1 - 1e-9)
+        left = n - sum(own.values())
+        gain = sum(c * math.log(c / n / theirs[s]) for s, c in own.items()) + (left * math.log(left / n / rest_parent) if left else 0)
+        if gain > len(own) * (1 + math.log(n)) / 2 + 4:
+            states[context] = rest / rest_parent
+    return {d: sum(math.log10(p(w[max(0, i - depth) : i], w[i])) for i in range(len(w))) for d, w in split.items()}, states, p, [k[0] for k in single]

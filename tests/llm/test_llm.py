@@ -122,55 +122,36 @@ def test_scores(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_scores_are_probabilities():
-    """Next-symbol probabilities of a state sum to 1 over the vocabulary and the unknown word."""
-    rng = random.Random(6)
-    hashes = np.sort(np.array([rng.getrandbits(64) for _ in range(6)], np.uint64))
-    text = rng.choices(range(1, 7), [9, 5, 3, 2, 1, 1], k=300) + [1, 2, 3] * 60
-    count = collections.Counter(text)
-    m = lm_score.Model(len(text), 6, (hashes, np.array([count[i] for i in range(1, 7)])))
-    ids = np.array(text)
-    keys, c = np.unique(lm_score.pair_keys(ids), return_counts=True)
-    m.learn_pairs((keys[c >= 4], c[c >= 4]))
-    keys, c = np.unique(lm_score.triple_keys(ids, m.pairs), return_counts=True)
-    m.learn_triples((keys[(keys > 0) & (c >= 4)], c[(keys > 0) & (c >= 4)]))
-    assert m.state1.any()
-    unknown = 0.5 / m.floor
-    for a in range(1, 7):
-        for b in range(1, 7):
-            before = m.gain(np.array([a, b]))
-            total = sum((m.root[s] if s else unknown) * 10 ** (m.gain(np.array([a, b, s])) - before) for s in range(7))
-            assert math.isclose(total, 1, rel_tol=1e-9)
-
-
-def test_scores_have_one_least_count_at_every_size(spark, monkeypatch):
-    """What is seen four times is an entry however many words there are: the distributed model is the one held whole, without a share of the words."""
+@pytest.mark.parametrize("depth", [0, 1, 2, 4, 6])
+def test_scores_are_those_of_a_plain_tree(spark, monkeypatch, depth):
+    """Blocks and buckets of a few words give the scores of a tree held whole, at every depth."""
     monkeypatch.setattr(lm_score, "BLOCK", 150)
-    monkeypatch.setattr(lm_score, "FLUSH", 400)
+    monkeypatch.setattr(lm_score, "BUCKET", 40)
     rng = random.Random(11)
-    words = [f"w{k}" for k in range(60)]
-    rows = [(k, " ".join(rng.choices(words, range(60, 0, -1), k=rng.randint(0, 40)) + rng.choice(([], ["qa", "qb", "qc"] * 3, ["qd", "qb", "qe"] * 3)))) for k in range(300)] + [(400, None)]
-    got = {r["doc_id"]: r for r in lm_score.score(documents(spark, rows)).collect()}
-    texts = {d: lm_score.tokens((t or "").encode()) for d, t in rows}
-    train = [texts[d] for d in texts if not got[d]["held_out"]]
-    count = collections.Counter(w for t in train for w in t)
-    frequent = sorted(w for w in count if count[w] >= 4)
-    number = {w: k + 1 for k, w in enumerate(frequent)}
-    ids = {d: np.array([number.get(w, 0) for w in t]) for d, t in texts.items()}
-    learn = [ids[d] for d in ids if not got[d]["held_out"]]
-    m = lm_score.Model(sum(count.values()), len(count), (np.arange(len(frequent)).astype(np.uint64), np.array([count[w] for w in frequent])))
-    keys, c = np.unique(np.concatenate([lm_score.pair_keys(i) for i in learn]), return_counts=True)
-    m.learn_pairs((keys[(keys > 0) & (c >= 4)], c[(keys > 0) & (c >= 4)]))
-    keys, c = np.unique(np.concatenate([lm_score.triple_keys(i, m.pairs) for i in learn if len(i) > 2]), return_counts=True)
-    m.learn_triples((keys[(keys > 0) & (c >= 4)], c[(keys > 0) & (c >= 4)]))
-    assert m.state1.any() and m.state2.any()
-    for d, i in ids.items():
-        assert math.isclose(got[d]["score"] - got[d]["base_score"], m.gain(i), abs_tol=1e-6)
+    some = [f"w{k}" for k in range(60)]
+    phrases = ([], ["qa", "qb", "qc", "qd", "qe", "qf"] * 2, ["qd", "qb", "qc", "qe"] * 3, ["W1"])
+    rows = [(k, " ".join(rng.choices(some, range(60, 0, -1), k=rng.randint(0, 40)) + rng.choice(phrases))) for k in range(200)] + [(400, None), (401, "")]
+    rows += [(500 + k, rows[k][1]) for k in range(30)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(documents(spark, rows), depth=depth).collect()}
+    want, states, _, _ = brute.tree_scores(rows, depth)
+    assert max(map(len, states), default=0) >= min(depth, 2)
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[d], want[d], abs_tol=1e-6) for d in want)
+
+
+def test_scores_are_probabilities():
+    """Next-symbol probabilities of every state sum to 1 over the vocabulary and the unknown word."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices("abcdef", [9, 5, 3, 2, 1, 1], k=12)) + " a b c a b c") for k in range(60)]
+    _, states, p, vocabulary = brute.tree_scores(rows, 3)
+    assert {len(s) for s in states} >= {1, 2}
+    for s in states:
+        assert math.isclose(sum(p(s, x) for x in [*vocabulary, "unknown"]), 1, rel_tol=1e-9)
 
 
 def test_scores_keep_rare_entries_of_many_words(spark):
-    """A pair seen four times among nine million words is an entry, as it is in a small table."""
-    phrase = [(k, "qa qb") for k in range(10) if zlib.crc32(str(k).encode()) % 5 != 1][:4]
+    """What stands twice among nine million words is an entry, as it is in a small table."""
+    phrase = [(k, "qa qb") for k in range(10) if zlib.crc32(str(k).encode()) % 5 != 1][:2]
     held = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 5 == 1)
     many = spark.range(1000, 1200).selectExpr("id doc_id", "repeat('x ', 60000) text")
     docs = spark.createDataFrame([*phrase, (held, "qa qb")], "doc_id long, text string").unionAll(many)
