@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 #: Distinct words whose hashes a worker remembers before it starts over.
 CACHE_WORDS = 250_000
+#: Spark removes the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,21 +39,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, whatever executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # the table is written: its shuffles need not stay on executors' disks
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing reads any more, and let go of the shuffles that made them."""
-    spark = tables[0].sparkSession
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
     for table in tables:
         if path := getattr(table, "table_path", None):
+            spark = table.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()  # the driver forgets plans; the JVM's cleaner then removes their shuffle files
-    spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
@@ -127,6 +131,15 @@ def windows(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def sort_order(keys: np.ndarray) -> np.ndarray:
+    """An order in which 64-bit keys ascend: their upper bits and their places are sorted as one number, which is quicker than to sort places."""
+    bits = np.uint64(max(1, len(keys).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    in_order = keys[order]
+    return order if (in_order[1:] >= in_order[:-1]).all() else np.argsort(keys)
+
+
 def split_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text; null has none."""
     return text.split() if text else []

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordHashes, as_bytes, discard, map_arrow, materialize, mix, partitions, split_words
+from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, mix, partitions, sort_order, split_words
 
 #: Least count of an entry, words of the longest context.
 MIN_COUNT, DEPTH = 2, 4
@@ -38,6 +38,7 @@ END = b"\n"
 HELD_OUT, FOLDS = 1, 5
 _BLOCKS = "block long, size long, train long, payload binary"
 _ASKED = "bucket long, block long, kind int, n int, keys binary, vals binary"
+_ANSWERED = "bucket long, block long, round int, kind int, n int, data binary"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -61,10 +62,10 @@ def unplane(data: bytes, kind: str, n: int) -> np.ndarray:
 
 
 class Plan:
-    """What all rounds share: words in all and in training, distinct training words, depth, and how questions are dealt."""
+    """What all rounds share: words in all and in training, distinct training words, depth, rounds done, and how questions are dealt."""
 
     def __init__(self, total: int, train: int, depth: int, parts: int):
-        self.total, self.train, self.depth, self.vocabulary = total, train, depth, 0
+        self.total, self.train, self.depth, self.vocabulary, self.done = total, train, depth, 0, 0
         self.buckets = max(parts, -(-total // BUCKET))
         self.edges = (np.arange(self.buckets, dtype=object) * (1 << 64) // self.buckets).astype(np.uint64)
         self.shift = np.uint64(max(0, 64 - SPARE_BITS - max(1, total).bit_length()))
@@ -94,38 +95,43 @@ class Replay:
     (words: always). ``log_p``: log10 probability of the word under the states found so far.
     """
 
-    def __init__(self, payload: bytes, plan: Plan):
-        self.docs, self.held, lengths, words, ids, answers = pickle.loads(payload)
+    def __init__(self, rows: list, plan: Plan):
+        """``rows`` of one block: its texts (round 0) and the answers it got."""
+        (payload,) = (r[5] for r in rows if r[2] == 0)
+        self.docs, self.held, lengths, words, ids = pickle.loads(payload)
         self.plan, self.lengths = plan, np.frombuffer(lengths, np.int64)
-        self.words = np.frombuffer(words, np.uint64)
+        words = np.frombuffer(words, np.uint64)
         n = int(self.lengths.sum())
         ids = unplane(ids, "<u4", n).astype(np.int64)
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
         starts = np.cumsum(self.lengths) - self.lengths
         self.starts, self.place = starts, np.arange(n) - np.repeat(starts, self.lengths)
         self.learned = ~np.repeat(np.array(self.held, bool), self.lengths)
         # by number of words: keys, distinct keys asked about, which of them each place has (-1: none)
-        self.keys, self.asked, self.which = {1: self.words[ids]}, {1: self.words}, {1: ids}
+        self.keys, self.asked, self.which = {1: words[ids]}, {1: words[order]}, {1: place[ids]}
         self.first = {1: None}
         self.counts: dict[int, np.ndarray] = {}
         self.owned: dict[int, np.ndarray] = {}
         self.log_p = np.zeros(n)
-        for round_, got in enumerate(answers, 1):
-            self._learn(round_, got)
+        got: dict[tuple[int, int], list] = {}
+        for _, _, round_, kind, n, data in sorted((r for r in rows if r[2] > 0), key=lambda r: r[0]):
+            got.setdefault((round_, kind), []).append((n, data))
+        for round_ in range(1, plan.done + 1):
+            self._learn(round_, got.get((round_, 0), []), got.get((round_, 1), []))
 
-    def _learn(self, round_: int, answers: dict[int, list[tuple[int, bytes]]]) -> None:
-        if 0 in answers:
+    def _learn(self, round_: int, counts: list[tuple[int, bytes]], scales: list[tuple[int, bytes]]) -> None:
+        if round_ <= self.plan.depth + 1:
             if round_ > 1:
                 self._sequences(round_)
-            got = np.concatenate([np.zeros(0, np.int64), *(unplane(data, "<i8", n) for n, data in answers[0])])
+            got = np.concatenate([np.zeros(0, np.int64), *(unplane(data, "<i8", n) for n, data in counts)])
             c = np.where(self.which[round_] >= 0, np.append(got >> 1, 0)[self.which[round_]], 0)
             self.counts[round_], self.owned[round_] = c, (got & 1).astype(bool)
             if round_ == 1:
                 self.log_p = np.log10((c + 0.5) / self.plan.floor)
-        elif round_ <= self.plan.depth + 1:
-            self._sequences(round_)
-            self.counts[round_], self.owned[round_] = np.zeros(len(self.place), np.int64), np.zeros(0, bool)
         if round_ >= 3:
-            self._states(round_ - 2, answers.get(1, []))
+            self._states(round_ - 2, scales)
 
     def _sequences(self, d: int) -> None:
         """Keys of d words, and which of them are asked about: those whose two parts are entries."""
@@ -135,10 +141,12 @@ class Replay:
         ok = np.zeros(len(below), bool)
         ok[1:] = (c[:-1] >= MIN_COUNT) & (c[1:] >= MIN_COUNT)
         at = np.flatnonzero(ok & (self.place >= d - 1))
-        asked, first, which = np.unique(key[at], return_index=True, return_inverse=True)
-        self.keys[d], self.asked[d], self.first[d] = key, asked, at[first]
+        at = at[sort_order(key[at])]
+        in_order = key[at]
+        new = np.concatenate((np.ones(min(1, len(at)), bool), in_order[1:] != in_order[:-1]))
+        self.keys[d], self.asked[d], self.first[d] = key, in_order[new], at[new]
         self.which[d] = np.full(len(below), -1)
-        self.which[d][at] = which
+        self.which[d][at] = np.cumsum(new) - 1
 
     def _contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
         """Places whose d words before are an entry, and which of the distinct keys of d words are such contexts."""
@@ -152,7 +160,7 @@ class Replay:
         """Score places under contexts of d words that are states."""
         at, used = self._contexts(d)
         scale = np.full(len(used), np.nan)
-        scale[used] = np.concatenate([np.zeros(0), *(unplane(data, "<f8", n) for n, data in answers)])
+        scale[used] = np.concatenate([np.zeros(0), *(unplane(data, "<f4", n) for n, data in answers)])
         scale = scale[self.which[d][at - 1]]
         at, scale = at[~np.isnan(scale)], scale[~np.isnan(scale)]
         c, n = self.counts[d + 1][at], self.counts[d][at - 1]
@@ -190,7 +198,7 @@ def settle(packed: list, plan: Plan) -> Iterator[tuple[int, int, int, bytes]]:
             continue
         keys = np.concatenate([np.cumsum(unplane(r[4], "<u8", r[3]), dtype=np.uint64) for r in own])
         columns = [np.concatenate(c) for c in zip(*([unplane(data, k, r[3]) for data, k in zip(pickle.loads(r[5]), ("<i8", "<i8", "<i8", "<f8", "<f8"), strict=False)] for r in own), strict=True)]
-        order = np.argsort(keys, kind="stable")
+        order = sort_order(keys << plan.shift)
         in_order = keys[order]
         del keys
         first = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1])))
@@ -205,7 +213,7 @@ def settle(packed: list, plan: Plan) -> Iterator[tuple[int, int, int, bytes]]:
         else:
             n = np.maximum.reduceat(columns[0][order], first)
             seen, size, theirs, gain = (np.add.reduceat(c[order], first) for c in columns[1:])
-            answer = states(n, seen, size, theirs, gain)[run]
+            answer = states(n, seen, size, theirs, gain).astype(np.float32)[run]
         edges = np.cumsum([0, *(r[3] for r in own)]).tolist()
         for r, s, e in zip(own, edges, edges[1:], strict=False):
             yield r[1], kind, r[3], planes(answer[s:e])
@@ -252,8 +260,11 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(h) for _, _, h in held], np.int64)
-            words, ids = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True)
-            payload = pickle.dumps(([d for d, _, _ in held], [o for _, o, _ in held], lengths.tobytes(), words.tobytes(), planes(ids.astype("<u4")), []))
+            words, ids, count = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True, return_counts=True)
+            often = np.argsort(-count)  # small numbers for frequent words
+            number = np.empty(len(words), "<u4")
+            number[often] = np.arange(len(words))
+            payload = pickle.dumps(([d for d, _, _ in held], [o for _, o, _ in held], lengths.tobytes(), words[often].tobytes(), planes(number[ids])))
             train = int(lengths[~np.array([o for _, o, _ in held], bool)].sum())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((block, pa.int64()), (int(lengths.sum()), pa.int64()), (train, pa.int64()), (payload, pa.binary()))], names=["block", "size", "train", "payload"])
 
@@ -270,38 +281,29 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("doc_id", "held_out", "text"), run, _BLOCKS)
 
 
-def _round(blocks: DataFrame, round_: int, plan: Plan, parts: int) -> DataFrame:
-    """The blocks with the answers to one round's questions; after the first, ``plan`` knows the vocabulary's size."""
+def _known(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """All that is known of blocks: their texts as round 0, and the answers so far."""
+    none = F.lit(0)
+    out = blocks.select(none.cast("long").alias("bucket"), "block", none.alias("round"), none.alias("kind"), none.alias("n"), F.col("payload").alias("data"))
+    for table in answers:
+        out = out.unionAll(table.where("kind < 2"))
+    return out
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for kind, keys, columns in Replay(payload, plan).questions(round_):
-                    yield from plan.deal(block, kind, keys, columns)
+
+def _round(blocks: DataFrame, answers: list[DataFrame], round_: int, plan: Plan, parts: int) -> DataFrame:
+    """Answers to one round's questions."""
+
+    def ask(rows: list) -> Iterator[pa.RecordBatch]:
+        for kind, keys, columns in Replay(rows, plan).questions(round_):
+            yield from plan.deal(rows[0][1], kind, keys, columns)
 
     def answer(packed: list) -> Iterator[pa.RecordBatch]:
         for block, kind, n, data in settle(packed, plan):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((packed[0][0], pa.int64()), (block, pa.int64()), (kind, pa.int32()), (n, pa.int32()), (data, pa.binary()), (b"", pa.binary()))], names=["bucket", "block", "kind", "n", "keys", "vals"])
-
-    def attach(rows: list) -> Iterator[pa.RecordBatch]:
-        """Put a block's answers into its payload, by bucket."""
-        got: dict[int, list] = {}
-        for bucket, _, kind, n, data, _ in sorted((r for r in rows if r[0] >= 0), key=lambda r: r[0]):
-            got.setdefault(kind, []).append((n, data))
-        for r in rows:
-            if r[0] < 0:
-                *most, answers = pickle.loads(r[5])
-                payload = pickle.dumps((*most, [*answers, got]))
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((r[1], pa.int64()), (0, pa.int64()), (0, pa.int64()), (payload, pa.binary()))], names=["block", "size", "train", "payload"])
-
-    answers = _grouped(map_arrow(blocks.select("block", "payload"), ask, _ASKED), "bucket", parts, answer, _ASKED)
-    if round_ == 1:
-        answers = materialize(answers, "answers")
-        plan.vocabulary = sum(int.from_bytes(r[0], "little") for r in answers.where("kind = 2").select("keys").toLocalIterator())  # a number for each bucket
-    old = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(-1).alias("kind"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("keys"), F.col("payload").alias("vals"))
-    out = materialize(_grouped(old.unionAll(answers.where("kind < 2")), "block", parts, attach, _BLOCKS), "blocks")
-    discard(blocks, answers)
-    return out
+            columns = ((packed[0][0], pa.int64()), (block, pa.int64()), (round_, pa.int32()), (kind, pa.int32()), (n, pa.int32()), (data, pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], names=["bucket", "block", "round", "kind", "n", "data"])
+
+    asked = _grouped(_known(blocks, answers), "block", parts, ask, _ASKED)
+    return materialize(_grouped(asked, "bucket", parts, answer, _ANSWERED), "answers")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -319,16 +321,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     total, train = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     parts = partitions(spark)
     plan = Plan(total, train, depth, parts)
+    answers: list[DataFrame] = []
     for round_ in range(1, depth + 3 if depth else 2):
-        blocks = _round(blocks, round_, plan, parts)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                block = Replay(payload, plan)
-                known, base = block.counts[1] > 0, np.log10((block.counts[1] + 0.5) / plan.floor)
-                sums = [np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), base, block.log_p)]
-                yield pa.RecordBatch.from_arrays([pa.array(block.docs, pa.int64()), pa.array(block.held, pa.bool_()), pa.array(block.lengths), *(pa.array(x) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    out = map_arrow(blocks.select("payload"), judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        answers.append(_round(blocks, answers, round_, plan, parts))
+        plan.done = round_
+        if round_ == 1:  # a number for each bucket
+            plan.vocabulary = sum(int.from_bytes(r[0], "little") for r in answers[0].where("kind = 2").select("data").toLocalIterator())
+
+    def judge(rows: list) -> Iterator[pa.RecordBatch]:
+        block = Replay(rows, plan)
+        known, base = block.counts[1] > 0, np.log10((block.counts[1] + 0.5) / plan.floor)
+        sums = [np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), base, block.log_p)]
+        yield pa.RecordBatch.from_arrays([pa.array(block.docs, pa.int64()), pa.array(block.held, pa.bool_()), pa.array(block.lengths), *(pa.array(x) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = _grouped(_known(blocks, answers), "block", parts, judge, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -169,3 +169,20 @@ def tree_scores(docs, depth, least=2, discount=0.5):
         if gain > len(own) * (1 + math.log(n)) / 2 + 4:
             states[context] = rest / rest_parent
     return {d: sum(math.log10(p(w[max(0, i - depth) : i], w[i])) for i in range(len(w))) for d, w in split.items()}, states, p, [k[0] for k in single]
+
+
+def notices(text, model, templates, cues, passage):
+    """Confirmed families of a text, how many passages have one, and how many with a cue are classified but not confirmed."""
+    number = {g: k for k, g in enumerate(model.grams)}
+    found, doubtful = [], 0
+    for paragraph in re.split(r"\n[ \t\r\f]*\n", text or ""):
+        w = re.findall("[a-z0-9]+", paragraph.lower())
+        for start in range(0, max(1, -(-2 * len(w) // passage) - 1) * passage // 2, passage // 2):
+            part = w[start : start + passage]
+            own = {" ".join(part[i : i + n]) for n in (2, 3) for i in range(len(part) - n + 1)}
+            p = model.probabilities([[number[g] for g in own if g in number]])[0]
+            if 1 - p[-1] >= model.threshold:
+                held = {f for f, all_, need, marks, need_marks in templates if len(all_ & own) >= need and len(marks & own) >= need_marks}
+                found += [held] if held else []
+                doubtful += not held and bool(set(part) & set(cues))
+    return sorted(set().union(*found)), len(found), doubtful
