@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, mix, partitions, sort_order, split_words
 
 #: Least count of an entry, words of the longest context.
-MIN_COUNT, DEPTH = 2, 4
+MIN_COUNT, DEPTH = 2, 3
 DISCOUNT = 0.5
 #: Words of a block of texts, and questions of a bucket, about.
 BLOCK, BUCKET = 1_500_000, 3_000_000
@@ -52,13 +52,17 @@ def join_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers by place of their bytes, compressed: places that hardly change take hardly any room."""
-    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True)
+    """Numbers by place of their bytes, compressed; of whole numbers (none is negative) only the places that any has."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8)) if x.dtype.kind in "iu" else x.dtype.itemsize
+    own = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width]
+    return bytes([width]) + pa.compress(np.ascontiguousarray(own.T), "zstd", asbytes=True)
 
 
 def unplane(data: bytes, kind: str, n: int) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T.copy().view(kind).ravel()
+    width = data[0]
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(memoryview(data)[1:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(kind).ravel()
 
 
 class Plan:
@@ -109,8 +113,8 @@ class Replay:
         starts = np.cumsum(self.lengths) - self.lengths
         self.starts, self.place = starts, np.arange(n) - np.repeat(starts, self.lengths)
         self.learned = ~np.repeat(np.array(self.held, bool), self.lengths)
-        # by number of words: keys, distinct keys asked about, which of them each place has (-1: none)
-        self.keys, self.asked, self.which = {1: words[ids]}, {1: words[order]}, {1: place[ids]}
+        # keys of the sequences asked about last; by number of words: distinct keys, and which of them each place has (-1: none)
+        self.key, self.asked, self.which = words[ids], {1: words[order]}, {1: place[ids].astype(np.int32)}
         self.first = {1: None}
         self.counts: dict[int, np.ndarray] = {}
         self.owned: dict[int, np.ndarray] = {}
@@ -135,23 +139,21 @@ class Replay:
 
     def _sequences(self, d: int) -> None:
         """Keys of d words, and which of them are asked about: those whose two parts are entries."""
-        below, c = self.keys[d - 1], self.counts[d - 1]
-        key = np.zeros(len(below), np.uint64)
-        key[1:] = join_keys(below[:-1], below[1:])
-        ok = np.zeros(len(below), bool)
-        ok[1:] = (c[:-1] >= MIN_COUNT) & (c[1:] >= MIN_COUNT)
-        at = np.flatnonzero(ok & (self.place >= d - 1))
-        at = at[sort_order(key[at])]
-        in_order = key[at]
+        entry = self.counts[d - 1] >= MIN_COUNT
+        at = np.flatnonzero(entry[1:] & entry[:-1] & (self.place[1:] >= d - 1)) + 1
+        key = join_keys(self.key[at - 1], self.key[at])
+        self.key = np.zeros(len(self.place), np.uint64)
+        self.key[at] = key
+        order = sort_order(key)
+        in_order, at = key[order], at[order]
         new = np.concatenate((np.ones(min(1, len(at)), bool), in_order[1:] != in_order[:-1]))
-        self.keys[d], self.asked[d], self.first[d] = key, in_order[new], at[new]
-        self.which[d] = np.full(len(below), -1)
-        self.which[d][at] = np.cumsum(new) - 1
+        self.asked[d], self.first[d] = in_order[new], at[new]
+        self.which[d] = np.full(len(self.place), -1, np.int32)
+        self.which[d][at] = np.cumsum(new, dtype=np.int32) - 1
 
     def _contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
         """Places whose d words before are an entry, and which of the distinct keys of d words are such contexts."""
-        at = np.flatnonzero(self.place >= d)
-        at = at[self.counts[d][at - 1] >= MIN_COUNT]
+        at = np.flatnonzero((self.counts[d][:-1] >= MIN_COUNT) & (self.place[1:] >= d)) + 1
         used = np.zeros(len(self.asked[d]), bool)
         used[self.which[d][at - 1]] = True
         return at, used
