@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, mix, partitions, sort_order, split_words
+from foliant.llm.common import WordHashes, as_bytes, discard, map_arrow, materialize, mix, partitions, sort_order, split_words
 
 #: Least count of an entry, words of the longest context.
 MIN_COUNT, DEPTH = 2, 3
+#: Counts too small for an entry; so many numbers of words stand for all words of these counts.
+RARE = MIN_COUNT
 DISCOUNT = 0.5
 #: Words of a block of texts, and questions of a bucket, about.
 BLOCK, BUCKET = 1_500_000, 3_000_000
@@ -102,38 +104,54 @@ class Replay:
     def __init__(self, rows: list, plan: Plan):
         """``rows`` of one block: its texts (round 0) and the answers it got."""
         (payload,) = (r[5] for r in rows if r[2] == 0)
-        self.docs, self.held, lengths, words, ids = pickle.loads(payload)
+        self.docs, self.held, lengths, words, ids, known = pickle.loads(payload)
         self.plan, self.lengths = plan, np.frombuffer(lengths, np.int64)
         words = np.frombuffer(words, np.uint64)
         n = int(self.lengths.sum())
         ids = unplane(ids, "<u4", n).astype(np.int64)
-        order = np.argsort(words)
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.starts, self.place = starts, np.arange(n) - np.repeat(starts, self.lengths)
+        order = np.argsort(words[RARE:]) + RARE
+        place = np.full(len(words), -1, np.int32)
+        place[order] = np.arange(len(order))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place = np.arange(n) - np.repeat(self.starts, self.lengths)
         self.learned = ~np.repeat(np.array(self.held, bool), self.lengths)
         # keys of the sequences asked about last; by number of words: distinct keys, and which of them each place has (-1: none)
-        self.key, self.asked, self.which = words[ids], {1: words[order]}, {1: place[ids].astype(np.int32)}
-        self.first = {1: None}
+        self.key, self.asked, self.which = words[ids], {1: words[order]}, {1: place[ids]}
+        self.first: dict[int, np.ndarray] = {}
         self.counts: dict[int, np.ndarray] = {}
         self.owned: dict[int, np.ndarray] = {}
         self.log_p = np.zeros(n)
         got: dict[tuple[int, int], list] = {}
-        for _, _, round_, kind, n, data in sorted((r for r in rows if r[2] > 0), key=lambda r: r[0]):
-            got.setdefault((round_, kind), []).append((n, data))
-        for round_ in range(1, plan.done + 1):
+        for _, _, round_, kind, m, data in sorted((r for r in rows if r[2] > 0), key=lambda r: r[0]):
+            got.setdefault((round_, kind), []).append((m, data))
+        if known is not None:
+            self.counts[1] = unplane(known, "<i8", len(words))[ids]
+            self.log_p = np.log10((self.counts[1] + 0.5) / plan.floor)
+        for round_ in range(1 if known is None else 2, plan.done + 1):
             self._learn(round_, got.get((round_, 0), []), got.get((round_, 1), []))
 
+    def compact(self) -> bytes:
+        """Payload after the first round: words that are no entries lose their keys, as nothing is asked about them again."""
+        c = np.zeros(len(self.asked[1]), np.int64)
+        c[self.which[1]] = self.counts[1]
+        kept = np.flatnonzero(c >= MIN_COUNT)
+        # the first numbers are those of all rare words, by their counts
+        number = np.minimum(c, RARE - 1).astype("<u4")
+        number[kept] = RARE + np.arange(len(kept))
+        used = np.bincount(number[self.which[1]], minlength=RARE + len(kept))
+        often = np.argsort(-used[RARE:])
+        again = np.arange(RARE + len(kept), dtype="<u4")
+        again[RARE + often] = RARE + np.arange(len(kept))
+        words = np.concatenate((np.zeros(RARE, np.uint64), self.asked[1][kept][often]))
+        counts = np.concatenate((np.arange(RARE), c[kept][often]))
+        return pickle.dumps((self.docs, self.held, self.lengths.tobytes(), words.tobytes(), planes(again[number][self.which[1]]), planes(counts)))
+
     def _learn(self, round_: int, counts: list[tuple[int, bytes]], scales: list[tuple[int, bytes]]) -> None:
         if round_ <= self.plan.depth + 1:
             if round_ > 1:
                 self._sequences(round_)
             got = np.concatenate([np.zeros(0, np.int64), *(unplane(data, "<i8", n) for n, data in counts)])
-            c = np.where(self.which[round_] >= 0, np.append(got >> 1, 0)[self.which[round_]], 0)
-            self.counts[round_], self.owned[round_] = c, (got & 1).astype(bool)
-            if round_ == 1:
-                self.log_p = np.log10((c + 0.5) / self.plan.floor)
+            self.counts[round_], self.owned[round_] = np.append(got >> 1, 0)[self.which[round_]], (got & 1).astype(bool)
         if round_ >= 3:
             self._states(round_ - 2, scales)
 
@@ -265,8 +283,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
             words, ids, count = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True, return_counts=True)
             often = np.argsort(-count)  # small numbers for frequent words
             number = np.empty(len(words), "<u4")
-            number[often] = np.arange(len(words))
-            payload = pickle.dumps(([d for d, _, _ in held], [o for _, o, _ in held], lengths.tobytes(), words[often].tobytes(), planes(number[ids])))
+            number[often] = RARE + np.arange(len(words))
+            words = np.concatenate((np.zeros(RARE, np.uint64), words[often]))
+            payload = pickle.dumps(([d for d, _, _ in held], [o for _, o, _ in held], lengths.tobytes(), words.tobytes(), planes(number[ids]), None))
             train = int(lengths[~np.array([o for _, o, _ in held], bool)].sum())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((block, pa.int64()), (int(lengths.sum()), pa.int64()), (train, pa.int64()), (payload, pa.binary()))], names=["block", "size", "train", "payload"])
 
@@ -283,6 +302,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("doc_id", "held_out", "text"), run, _BLOCKS)
 
 
+def _compact(rows: list, plan: Plan) -> Iterator[pa.RecordBatch]:
+    block = Replay(rows, plan)
+    values = ((rows[0][1], pa.int64()), (0, pa.int64()), (0, pa.int64()), (block.compact(), pa.binary()))
+    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in values], names=["block", "size", "train", "payload"])
+
+
 def _known(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
     """All that is known of blocks: their texts as round 0, and the answers so far."""
     none = F.lit(0)
@@ -329,6 +354,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         plan.done = round_
         if round_ == 1:  # a number for each bucket
             plan.vocabulary = sum(int.from_bytes(r[0], "little") for r in answers[0].where("kind = 2").select("data").toLocalIterator())
+            whole = blocks
+            blocks = materialize(_grouped(_known(whole, answers), "block", parts, lambda rows: _compact(rows, plan), _BLOCKS), "blocks")
+            discard(whole, *answers)
+            answers = []
 
     def judge(rows: list) -> Iterator[pa.RecordBatch]:
         block = Replay(rows, plan)
