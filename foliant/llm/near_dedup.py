@@ -34,8 +34,12 @@ BLOCK, BLOCK_SHINGLES = 512, 250_000
 #: Candidates are dropped when their likelihood at any similarity of the threshold or more is below the best one by this factor's logarithm.
 IMPLAUSIBLE = 16.0
 
-#: Equal registers without which a pair is implausible: eight deviations below what the least similarity gives.
-_LEAST_EQUAL = int(0.42 * REGISTERS)
+
+def least_equal(percent: int) -> int:
+    """Equal registers without which a pair is implausible: eight deviations below what the least similarity gives."""
+    j = percent / 100
+    return max(0, int(REGISTERS * j - 8 * (REGISTERS * j * (1 - j)) ** 0.5))
+
 
 _MULT = (mix(np.arange(1001, 1001 + REGISTERS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SEED = (mix(np.arange(5001, 5001 + REGISTERS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -83,20 +87,25 @@ def plausible(ru: np.ndarray, rv: np.ndarray, nu: np.ndarray, nv: np.ndarray, pe
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, digest, registers`` of each document; digests are equal when the sets are."""
+    """``doc_id, text_hash, n_shingles, digest, registers`` of each row; digests are equal when the sets are. ``text_hash`` tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             n, digests, regs = [], [], []
-            for text in as_bytes(batch.column(1)):
+            for text in as_bytes(batch.column(2)):
                 s = shingle_set(text, hashes, width)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "digest", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "digest", "registers"])
+
+    return map_arrow(_rows(docs, id_col, text_col), run, "doc_id long, text_hash long, n_shingles long, digest binary, registers binary")
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_shingles long, digest binary, registers binary")
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _plausible_pairs(pairs: DataFrame, percent: int) -> DataFrame:
@@ -148,7 +157,7 @@ def _block_ties(blocks: DataFrame, percent: int) -> DataFrame:
                 place = comp.copy()
                 for i in np.flatnonzero(blk == lo).tolist():
                     j = np.flatnonzero((place != place[i]) & ((blk == hi) if lo != hi else (ids > ids[i])))
-                    j = j[(regs[j] == regs[i]).sum(axis=1) >= _LEAST_EQUAL]
+                    j = j[(regs[j] == regs[i]).sum(axis=1) >= least_equal(percent)]
                     if len(j):
                         j = j[plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)]
                     if len(j):
@@ -188,7 +197,7 @@ def _exact_links(groups: DataFrame, texts: DataFrame, width: int, percent: int)
     """
     open_ = groups.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("total")).where("lo <> hi")
     rows = groups.join(open_.select("grp", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb")), "grp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    rows = rows.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("grp", F.least("blk", "other").alias("b_lo"), F.greatest("blk", "other").alias("b_hi"), "node", "comp", "blk", "text")
 
     def run(table: pa.Table) -> pa.Table:
@@ -210,9 +219,18 @@ def _exact_links(groups: DataFrame, texts: DataFrame, width: int, percent: int)
     return materialize(rows.groupBy("grp", "b_lo", "b_hi").applyInArrow(run, "a long, b long"), "links")
 
 
-def _texts(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """Texts of the documents in ``ends``, one for each id, as a table."""
-    return materialize(docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+def _texts(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """``node, text`` of classes, from the row that is each class's first: rows that have its id and hash have its text."""
+    found = rows.join(first.select("node", "first.doc_id", "first.text_hash"), ["doc_id", "text_hash"])
+    return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def _own_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: classes that rows of one id belong to."""
+    ids = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    pairs = rows.join(ids, "doc_id").where("digest <> lo").select("lo", F.col("digest").alias("hi")).distinct()
+    node = classes.select("digest", "node")
+    return pairs.join(node.toDF("lo", "a"), "lo").join(node.toDF("hi", "b"), "hi").select("a", "b")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -242,20 +260,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return materialize(map_arrow(joined, run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """Groups of documents linked by shingle similarity: ``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, one_document: bool = True) -> DataFrame:
+    """Groups of documents linked by shingle similarity: ``doc_id, n_shingles, component_id, kept, text_hash, chosen``, one row per row of ``docs``.
 
     Documents are linked when ``100 * |A & B| >= percent * |A | B|``. ``component_id`` is the smallest id
-    reachable over links, ``kept`` marks the row that has it. Null and blank texts have no shingles and no links.
-    Rows that repeat an id are one document (linked to themselves; each row is returned); rows with a null id are linked with
-    nothing, keep a null ``component_id`` and are kept. An empty table gives no rows. Other columns of ``docs`` are not read.
-    ``percent`` must be 60 or more: below it, 32 bands of 4 registers would miss links.
+    reachable over links, ``kept`` marks the rows that have it. Null and blank texts have no shingles and no links. Rows that repeat an id are
+    one document with several texts, and so linked, unless ``one_document`` is false: then each text is linked by its own likeness only.
+    ``chosen`` marks the rows of one text of each component, the smallest by (id, ``text_hash``, the text's xxhash64): rows equal in both are all marked.
+    Rows with a null id are linked with nothing, keep a null ``component_id``, and are kept and chosen. An empty table gives no rows. Other columns of ``docs`` are not
+    read. Ids are numbers. ``percent`` must be 60 or more: below it, 32 bands of 4 registers would miss links.
     """
     if percent < 60:
         raise ValueError("bands are chosen for similarities of 0.6 and more")
     rows = materialize(sketch(docs, id_col, text_col, width), "sketch")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles", "registers").agg(F.min("doc_id").alias("node"))
-    classes = materialize(classes.select("digest", "node", F.col("n_shingles").alias("n"), F.col("registers").alias("r")), "classes")
+    some = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = some.groupBy("digest", "n_shingles", "registers").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    # numbers of classes are given once, as the table is written
+    classes = materialize(classes.select("digest", "first", F.col("n_shingles").alias("n"), F.col("registers").alias("r"), F.monotonically_increasing_id().alias("node")), "classes")
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("r", ROWS * k + 1, ROWS)) for k in range(REGISTERS // ROWS)])
     buckets = classes.select("node", F.explode(bands).alias("band"))
     leaders = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("size")).where("leader <> last")
@@ -263,10 +284,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = classes.select("node", "n", "r")
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(nodes.toDF("b", "nb", "rb"), "b").join(nodes.toDF("a", "na", "ra"), "a").select("a", "b", "na", "nb", "ra", "rb")
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = _texts(raw, members.select(F.col("node").alias("doc_id")).distinct())
+    texts = _texts(_rows(docs, id_col, text_col), classes.join(members.select("node").distinct(), "node", "left_semi"))
     links = _verify(materialize(_plausible_pairs(stars, percent), "stars"), texts, width, percent)
-    components = connected_components(links)
+    components = connected_components(links.unionAll(_own_links(some.select("doc_id", "digest"), classes)) if one_document else links)
 
     # buckets that still hold several components: tie what may be similar into groups, then compare each group's components on full sets
     named = members.where("size > 2").join(components, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("comp"))
@@ -286,7 +306,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         alone = joined.select(F.col("component").alias("node"), "component").join(components, "node", "left_anti")
         components = components.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
-    by_class = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("class_component"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = classes.select("node", "digest", "first").join(components, "node")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    by_class = materialize(linked.join(least, "component").select("digest", "least"), "linked").withColumnRenamed("digest", "__digest")
+    alone = classes.select(F.col("digest").alias("__digest"), F.col("first").alias("least")).join(by_class, "__digest", "left_anti")
+    out = rows.join(by_class.unionByName(alone), (F.col("digest") == F.col("__digest")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    own = F.struct("doc_id", "text_hash")
+    least = F.coalesce("least", own)
+    return out.select("doc_id", "n_shingles", least["doc_id"].alias("component_id"), F.col("doc_id").eqNullSafe(least["doc_id"]).alias("kept"), "text_hash", (F.col("doc_id").isNull() | (own == least)).alias("chosen"))
