@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import materialize, pinned
 
 WINDOW = 3
+#: A window with more than this part of all repeats is hot; there are fewer than one over it. Its occurrences meet in ``SALTS`` parts.
+HOT, SALTS = 1 / 1000, 64
 
 
 def _windows(width: int) -> Column:
@@ -22,14 +24,25 @@ def _windows(width: int) -> Column:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """``doc_id, positions``: starts of windows of which an earlier one exists, by document id and then position."""
+    """``doc_id, text_hash, positions``: starts of windows of which an earlier one exists, by document id, hash of the text, and position."""
     # trailing blanks don't count
-    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), pinned(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.rtrim(x))).alias("__t"))
-    found = lines.select("doc_id", pinned(_windows(width)).alias("w")).select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.pos", "w.h1", "w.h2")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
-    first = first.where("first <> last").select("h1", "h2", F.col("first.doc_id").alias("d0"), F.col("first.pos").alias("p0"))
-    later = found.join(first, ["h1", "h2"]).where("doc_id <> d0 or pos <> p0")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+    text = F.col(text_col).cast("string")
+    lines = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), pinned(F.transform(F.split(text, "\n", -1), lambda x: F.rtrim(x))).alias("__t"))
+    found = lines.select("doc_id", "text_hash", pinned(_windows(width)).alias("w")).select("doc_id", "text_hash", F.explode("w").alias("w")).select("doc_id", "text_hash", "w.pos", "w.h1", "w.h2")
+    place = F.struct("doc_id", "text_hash", "pos")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    first = materialize(first.where("first <> last").select("h1", "h2", "first", "n"), "first")
+    hot = _hot(first)
+    first = first.withColumn("salt", F.explode(F.when(F.col("h1").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0))
+    found = found.withColumn("salt", F.when(F.col("h1").isin(hot), F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0))
+    later = found.join(first.drop("n"), ["h1", "h2", "salt"]).where(place != F.col("first"))
+    return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+
+
+def _hot(first: DataFrame) -> list[int]:
+    """Hashes of windows with more than ``HOT`` of all repeats: fewer than 1 / HOT."""
+    total = first.agg(F.sum("n")).first()[0] or 0
+    return [r["h1"] for r in first.where(F.col("n") > HOT * total).select("h1").distinct().collect()]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -39,13 +52,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blank lines only don't count. Of equal windows the one with the smallest (id, position) stays; lines covered by any
     other are removed, covered positions being merged into spans ``[start, end)``. Windows are judged on the input.
 
-    Texts of fewer than ``width`` lines, null texts and rows with a null id pass unchanged. Rows that repeat an id are one
-    document: what is removed is removed from each. Every input column is kept; the three added ones replace columns of the
+    Texts of fewer than ``width`` lines, null texts and rows with a null id pass unchanged. Rows that repeat an id with another text are
+    documents of their own, in the order of the text's xxhash64; rows equal in both are one document, and what is removed is removed from each. Every input column is kept; the three added ones replace columns of the
     same name. An empty table stays empty.
     """
-    hits = materialize(repeated_windows(docs, id_col, text_col, width), "windows").toDF("__id", "__at")
+    hits = materialize(repeated_windows(docs, id_col, text_col, width), "windows").toDF("__id", "__hash", "__at")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_spans")]
-    joined = docs.select(*own).join(hits, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    joined = docs.select(*own).join(hits, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash")), "left").drop("__id", "__hash")
     joined = joined.withColumn("__at", pinned(F.coalesce("__at", F.array().cast("array<int>")))).withColumn("__lines", pinned(F.split(F.col(text_col), "\n", -1)))
     at = F.col("__at")
     first = F.filter(at, lambda p, i: (i == 0) | (p - F.get(at, i - 1) > width))
