@@ -25,10 +25,21 @@ PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 WINDOW = ANCHOR + PERIOD - 1
 #: Hashes that a task holds before it sends them.
 FLUSH = 1_000_000
-_PACKED = "bucket int, sure boolean, n int, hashes binary, docs binary, places binary"
-#: Lower bytes of a hash that travel besides its bucket, which its upper bits give. Anchors that meet by chance are told apart when extended to
-#: windows; of a window's 64 bits, only those go that the bucket doesn't say.
-ANCHOR_BYTES, WINDOW_BYTES = 4, 7
+#: Entries of a bucket, about.
+BUCKET = 2_000_000
+_PACKED = "bucket int, sure boolean, n int, hashes binary, more binary, docs binary, places binary"
+#: An anchor's hash has so many bits more than the number of anchors, so that few meet by chance; those that do are told apart when extended to windows.
+#: A window's hash has 64 bits and ``MORE`` bytes of a second one: with a million million windows, the odds that any two differ and agree are about one in a hundred thousand.
+SPARE_BITS, MORE = 10, 4
+
+
+class Widths:
+    """How many buckets hashes go to, and how many lower bytes of an anchor's hash travel besides its bucket, which its upper bits give: both from the number of words."""
+
+    def __init__(self, n_words: int, parts: int):
+        self.buckets = max(4 * parts, -(-n_words // BUCKET))
+        bits = max(n_words, 1).bit_length() + SPARE_BITS - (self.buckets.bit_length() - 1)
+        self.anchor = min(8, max(1, -(-bits // 8)))
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,100 +74,99 @@ def _from_low_bytes(data: bytes, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _starts(runs: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
+def _starts(runs: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    new = runs[1:] != runs[:-1]
+    return np.flatnonzero(np.concatenate(([True], new if more is None else new | (more[1:] != more[:-1]))))
 
 
-def _send(h: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int, both: bool) -> Iterator[pa.RecordBatch]:
+def _send(h: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, widths: Widths, both: bool) -> Iterator[pa.RecordBatch]:
     """What a task sends of its entries: those it can decide alone (``sure``), and of each hash the smallest document's.
 
     Decided are entries whose hash a smaller document has or, with ``both``, any other document.
     """
-    order = np.lexsort((place, doc, h))
-    h, doc, place = h[order], doc[order], place[order]
-    first = _starts(h)
+    order = np.lexsort((place, doc, more, h)) if MORE and not both else np.lexsort((place, doc, h))
+    h, more, doc, place = h[order], more[order], doc[order], place[order]
+    first = _starts(h, more)
     run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
     least = doc[first][run]
     later = doc != least
     most = doc[np.append(first[1:], len(h)) - 1][run]
-    bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    rows: list[list] = [[], [], [], [], [], []]
-    width = ANCHOR_BYTES if both else WINDOW_BYTES
+    bucket = (((h >> np.uint64(32)) * np.uint64(widths.buckets)) >> np.uint64(32)).astype(np.int64)
+    rows: list[list] = [[], [], [], [], [], [], []]
     for kind in (False, True):
         chosen = ((most != least) if both else later) if kind else ~later
-        b, hs, ds, ps = (x[chosen] for x in (bucket, h, doc, place))
+        b, hs, ms, ds, ps = (x[chosen] for x in (bucket, h, more, doc, place))
         if not len(b):
             continue
         order = np.lexsort((ps, ds, b))
-        b, hs, ds, ps = b[order], hs[order], ds[order], ps[order]
+        b, hs, ms, ds, ps = b[order], hs[order], ms[order], ds[order], ps[order]
         edges = np.append(_starts(b), len(b))
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            for column, value in zip(rows, (int(b[s]), kind, e - s, b"" if kind else _low_bytes(hs[s:e], width), _planes(ds[s:e], "<i8", 8), _planes(ps[s:e], "<i4", 4)), strict=True):
+            # of decided anchors only the place matters; a decided window's hash tells rows of one id apart
+            hashes = (b"" if kind else _low_bytes(hs[s:e], widths.anchor)) if both else _low_bytes(hs[s:e], 8)
+            values = (int(b[s]), kind, e - s, hashes, b"" if both or kind else _low_bytes(ms[s:e], MORE), _planes(ds[s:e], "<i8", 8), _planes(ps[s:e], "<i4", 4))
+            for column, value in zip(rows, values, strict=True):
                 column.append(value)
-    types = (pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["bucket", "sure", "n", "hashes", "docs", "places"])
+    types = (pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["bucket", "sure", "n", "hashes", "more", "docs", "places"])
 
 
 class _Entries:
     """Entries of a task, sent when there are many."""
 
-    def __init__(self, buckets: int, both: bool):
-        self.buckets, self.both, self.held, self.n = buckets, both, [], 0
+    def __init__(self, widths: Widths, both: bool):
+        self.widths, self.both, self.held, self.n = widths, both, [], 0
 
-    def add(self, h: np.ndarray, doc: int, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((h, np.full(len(h), doc, np.int64), place))
+    def add(self, h: np.ndarray, more: np.ndarray, doc: int, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((h, more, np.full(len(h), doc, np.int64), place))
         self.n += len(h)
         if self.n >= FLUSH:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            yield from _send(*(np.concatenate([x[k] for x in self.held]) for k in range(3)), self.buckets, self.both)
+            yield from _send(*(np.concatenate([x[k] for x in self.held]) for k in range(4)), self.widths, self.both)
         self.held, self.n = [], 0
 
 
-def _meet(packed: DataFrame, both: bool) -> DataFrame:
-    """``doc_id, place`` of entries whose hash a smaller document has, or, with ``both``, any other document."""
+def _meet(packed: DataFrame, widths: Widths, both: bool) -> DataFrame:
+    """``doc_id, place`` of entries whose hash any other document has or, without ``both``, ``doc_id, place, hash`` of those whose hash a smaller document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         now = None
 
         def settle() -> Iterator[pa.RecordBatch]:
             if held:
-                h, doc, place = (np.concatenate([x[k] for x in held]) for k in range(3))
-                order = np.lexsort((doc, h))
-                h, doc, place = h[order], doc[order], place[order]
-                first = _starts(h)
+                h, more, doc, place = (np.concatenate([x[k] for x in held]) for k in range(4))
+                held.clear()
+                order = np.lexsort((doc, h)) if both else np.lexsort((doc, more, h))
+                h, more, doc, place = h[order], more[order], doc[order], place[order]
+                first = _starts(h, more)
                 sizes = np.diff(np.append(first, len(h)))
                 least, most = np.repeat(doc[first], sizes), np.repeat(doc[np.append(first[1:], len(h)) - 1], sizes)
-                yield from out(doc, place, (most != least) if both else (doc != least))
-                held.clear()
+                keep = (most != least) if both else (doc != least)
+                yield from out(doc[keep], place[keep], h[keep])
 
-        def out(doc: np.ndarray, place: np.ndarray, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
-            doc, place = doc[keep], place[keep]
-            for k in range(0, len(doc), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 200_000]), pa.array(place[k : k + 200_000])], names=["doc_id", "place"])
+        def out(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            names = ["doc_id", "place"] if both else ["doc_id", "place", "hash"]
+            for k in range(0, len(columns[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000].view(np.int64) if c.dtype == np.uint64 else c[k : k + 200_000]) for c, _ in zip(columns, names, strict=False)], names=names)
 
         for batch in batches:
-            for bucket, sure, n, h, doc, place in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for bucket, sure, n, h, more, doc, place in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if bucket != now:
                     yield from settle()
                     now = bucket
                 d, p = _unplane(doc, "<i8", n), _unplane(place, "<i4", n)
                 if sure:
-                    yield from out(d, p, np.ones(len(d), bool))
+                    yield from out(d, p, *(() if both else (_from_low_bytes(h, 8),)))
                 else:
-                    held.append((_from_low_bytes(h, ANCHOR_BYTES if both else WINDOW_BYTES), d, p))
+                    held.append((_from_low_bytes(h, widths.anchor if both else 8), np.zeros(n, np.uint64) if both else _from_low_bytes(more, MORE), d, p))
         yield from settle()
 
     buckets = packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return map_arrow(buckets, run, "doc_id long, place int")
-
-
-def _by_document(hits: DataFrame) -> DataFrame:
-    """Places of each document; bounded by its own length."""
-    return hits.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    return map_arrow(buckets, run, "doc_id long, place int" if both else "doc_id long, place int, hash long")
 
 
 def _squeeze(text: bytes | None) -> bytes | None:
@@ -177,23 +187,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A word is removed if a window of 13 words covers it whose word sequence also starts in a document with a smaller id; windows are
     judged on the input. ``spans`` holds the removed words' ranges ``[start, end)``. Null and blank texts have no words. Rows that repeat an id
-    are one document: they don't remove each other's words. Rows with a null id lose and remove nothing. Other columns
-    aren't read; an empty table gives no rows.
+    are one document with several texts: they don't remove each other's words, and each loses its own. Rows with a null id lose and remove nothing. Other columns
+    aren't read; an empty table gives no rows. Ids are numbers. A document's places are held at once, so memory grows with the longest text.
     """
-    spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # most words that so many bytes hold
+    widths = Widths((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2, partitions(docs.sparkSession))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, entries = WordHashes(), _Entries(buckets, both=True)
+        hashes, entries = WordHashes(), _Entries(widths, both=True)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if doc is not None:
                     at, h = anchors(hashes.of(split_words(text)))
-                    yield from entries.add(h, doc, at)
+                    yield from entries.add(h, np.zeros(len(h), np.uint64), doc, at)
         yield from entries.flush()
 
-    shared = _by_document(_meet(map_arrow(rows, send_anchors, _PACKED), both=True))
+    # of all rows of an id: places only say where to look closer
+    shared = _meet(map_arrow(rows, send_anchors, _PACKED), widths, both=True).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +220,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if places and len(w) >= WINDOW:
                     mark = np.zeros(len(w) + 2, np.int32)
                     p = np.array(places, np.int64)
+                    p = p[p <= len(w) - ANCHOR]
                     np.add.at(mark, np.maximum(p - PERIOD + 1, 0), 1)
                     np.add.at(mark, np.minimum(p + 1, len(w) - WINDOW + 1), -1)
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(mark) > 0).view(np.int8), [0]))))
@@ -222,25 +234,33 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judged = materialize(map_arrow(map_arrow(rows, squeeze, "doc_id long, text binary").join(shared, "doc_id", "left"), near_anchors, "doc_id long, n_words long, text binary, runs binary, sha string"), "judged")
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, entries = WordHashes(), _Entries(buckets, both=False)
+        hashes, entries = WordHashes(), _Entries(widths, both=False)
         for batch in batches:
             for doc, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h = windows(hashes.of(split_words(_expand(text))), WINDOW)
+                h = hashes.of(split_words(_expand(text)))
                 at = np.concatenate([np.arange(s, e) for s, e in np.frombuffer(runs, np.int32).reshape(-1, 2)])
-                yield from entries.add(h[at], doc, at)
+                yield from entries.add(windows(h, WINDOW)[at], windows(h, WINDOW, 1)[at] >> np.uint64(64 - 8 * MORE), doc, at)
         yield from entries.flush()
 
-    repeats = _by_document(_meet(map_arrow(judged.where("sha is null and doc_id is not null").select("doc_id", "text", "runs"), send_windows, _PACKED), both=False))
+    found = _meet(map_arrow(judged.where("sha is null and doc_id is not null").select("doc_id", "text", "runs"), send_windows, _PACKED), widths, both=False)
+    repeats = found.groupBy("doc_id").agg(F.collect_set(F.struct("place", "hash")).alias("places"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc, n, text, sha, places in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            lists = batch.column(4)
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            every, told = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k, (doc, n, text, sha) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
                 w, spans, n_removed = None, [], 0
-                if places:
+                if ends[k + 1] > ends[k] and sha is None:
                     w = split_words(_expand(text))
+                    # an id's places are those of all its rows: a row's own have the hashes of its own windows
+                    p, own = every[ends[k] : ends[k + 1]].astype(np.int64), windows(hashes.of(w), WINDOW).view(np.int64)
+                    inside = p < len(own)
+                    p = p[inside][own[p[inside]] == told[ends[k] : ends[k + 1]][inside]]
                     mark = np.zeros(n + 1, np.int32)
-                    p = np.array(places, np.int64)
                     np.add.at(mark, p, 1)
                     np.add.at(mark, p + WINDOW, -1)
                     gone = np.cumsum(mark[:-1]) > 0
