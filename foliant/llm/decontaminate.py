@@ -1,26 +1,28 @@
 """Benchmark decontamination by an FM-index of each shard of the training texts.
 
-A shard's index is the Burrows-Wheeler transform of its words with wavelet-matrix ranks and sampled suffix positions.
-Windows of the benchmark are searched backwards, all at once; their occurrences are located by walking to the
-next sample; the words they cover are merged into spans. Words that no benchmark item has end a stretch,
-and stretches shorter than the shortest window can't hold one, so they are left out of the index.
+A shard's index is the Burrows-Wheeler transform of all its words with wavelet-matrix ranks and sampled suffix positions. Indexes are built once, whatever the
+benchmark, and kept as a table. Windows of the benchmark are searched backwards in each of them, all at once; their occurrences are
+located by walking to the next sample; the words they cover are merged into spans. A benchmark of any size is searched block by block.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import as_bytes, map_arrow
+from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, sort_order
+from foliant.llm.lm_score import planes, unplane
 
 WIDTH = 10
-#: Bytes of text in a shard, about; words of benchmark items searched in one pass.
-SHARD_BYTES, BLOCK_BYTES = 16_000_000, 16_000_000
+#: Bytes of text in a shard, about; bytes of benchmark items searched at once, at most.
+SHARD_BYTES, BLOCK_BYTES = 4_000_000, 16_000_000
 SAMPLE = 8
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes(0x20 if i in _SEPARATORS else i for i in range(256))
@@ -35,39 +37,70 @@ def words(text: bytes | None) -> list[bytes]:
 class FMIndex:
     """Full-text index of an array of symbols 0..top; 0 separates and isn't searched for."""
 
-    def __init__(self, text: np.ndarray, top: int):
-        self.n = n = len(text)
-        order = self._suffixes(text)
-        last = text[order - 1]  # the symbol before each suffix; the first wraps to the final separator
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=top + 1))))[: top + 1].astype(np.int64)
+    def __init__(self, last: np.ndarray, top: int, sampled: np.ndarray, samples: np.ndarray):
+        """``last``: the symbol before each suffix, in their order; ``sampled``: which suffixes' positions are in ``samples``."""
+        self.n, self.top, self.last = len(last), top, last
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(last, minlength=top + 1))))[: top + 1].astype(np.int64)
         self.levels, self.bits = [], max(1, int(top).bit_length())
         current = last
         for level in reversed(range(self.bits)):
             bit = (current >> level) & 1
-            self.levels.append((level, np.concatenate(([0], np.cumsum(bit))).astype(np.int32), int(n - bit.sum())))
+            self.levels.append((level, np.concatenate(([0], np.cumsum(bit, dtype=np.int32))), int(self.n - bit.sum())))
             current = np.concatenate((current[bit == 0], current[bit == 1]))
-        self.last = last
+        self.sampled, self.sample_rank, self.samples = sampled, np.cumsum(sampled, dtype=np.int32) - 1, samples
+
+    @classmethod
+    def of(cls, text: np.ndarray, top: int) -> FMIndex:
+        """Index of a text that ends with 0."""
+        order = cls._suffixes(text, top)
+        last = text[order - 1]  # the first suffix wraps to the final separator
         # starts of stretches too: no walk crosses a separator, whose rows the wrap would misplace
         sampled = (order % SAMPLE == 0) | (last == 0)
-        self.sampled, self.sample_rank, self.samples = sampled, np.cumsum(sampled) - 1, order[sampled]
+        return cls(last, top, sampled, order[sampled])
+
+    def to_bytes(self) -> bytes:
+        """What the index is made of; ranks are computed anew."""
+        return pickle.dumps((self.n, self.top, planes(self.last.astype("<u4")), np.packbits(self.sampled).tobytes(), len(self.samples), planes(self.samples.astype("<u4"))))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> FMIndex:
+        n, top, last, sampled, m, samples = pickle.loads(data)
+        return cls(unplane(last, "<u4", n).astype(np.int64), top, np.unpackbits(np.frombuffer(sampled, np.uint8), count=n).astype(bool), unplane(samples, "<u4", m).astype(np.int64))
 
     @staticmethod
-    def _suffixes(text: np.ndarray) -> np.ndarray:
-        """Suffix array by doubling, until all ranks differ."""
-        n = len(text)
-        rank, k = text.astype(np.int64) + 1, 1
-        while True:
-            after = np.zeros(n, np.int64)
-            after[: max(n - k, 0)] = rank[k:]
-            key = rank * (int(rank.max()) + 1) + after
-            order = np.argsort(key, kind="stable")
-            in_order = key[order]
-            ranks = np.concatenate(([1], 1 + np.cumsum(in_order[1:] != in_order[:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = ranks
-            if ranks[-1] == n:
-                return order
-            k *= 2
+    def _suffixes(text: np.ndarray, top: int) -> np.ndarray:
+        """Suffix array by doubling; each round sorts only suffixes that aren't told apart yet.
+
+        A suffix' rank is the place of the first that is equal to it so far.
+        """
+        n, bits = len(text), max(1, int(top + 1).bit_length())
+        width = max(1, 63 // bits)
+        padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(width, np.uint64)))
+        key = np.zeros(n, np.uint64)
+        for k in range(width):
+            key = (key << np.uint64(bits)) | padded[k : k + n]
+        rank, active, k = np.zeros(n, np.int64), np.arange(n), 0
+        shift = np.uint64(max(0, 64 - 2 * (n + 1).bit_length()))
+        while len(active):
+            if k:
+                after = np.zeros(len(active), np.int64)
+                inside = active + k < n
+                after[inside] = rank[active[inside] + k] + 1
+                key = (rank[active] * (n + 1) + after).astype(np.uint64) << shift
+            order = sort_order(key)
+            active, key = active[order], key[order]
+            old = rank[active]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            group = np.concatenate(([True], old[1:] != old[:-1]))
+            at = np.arange(len(active))
+            first, start = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(group, at, 0))
+            rank[active] = old + first - start
+            alone = new & np.append(new[1:], True)
+            active = active[~alone]
+            k = 2 * k or width
+        out = np.empty(n, np.int64)
+        out[rank] = np.arange(n)
+        return out
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often a symbol comes before a place of the transform."""
@@ -102,63 +135,39 @@ class FMIndex:
         return out
 
 
-class _Vocabulary(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 class Patterns:
-    """Distinct windows of benchmark items, by width, and the items each belongs to."""
+    """Distinct windows of benchmark items, by width, as places in a sorted table of words' hashes, and the items each belongs to."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
-        self.vocabulary = _Vocabulary()
-        by: dict[tuple[int, ...], set[str]] = {}
+        hashes, by, all_ = WordHashes(), {}, set()
         for item, text in items:
-            w = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)]
+            w = hashes.of(words(text)).tolist()
+            all_.update(w)
             for k in range(max(1, len(w) - width + 1) if w else 0):
                 by.setdefault(tuple(w[k : k + width]), set()).add(item)
-        self.items = list(by.values())
-        keys = list(by)
-        self.groups = [(m, (own := [k for k, x in enumerate(keys) if len(x) == m]), np.array([keys[k] for k in own], np.int64)) for m in sorted({len(x) for x in keys})]
-        self.least = min((m for m, _, _ in self.groups), default=0)
-
-    def stretches(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the stretches long enough to hold a window, each ended by 0, and the word number of each symbol."""
-        ids = np.fromiter(map(self.vocabulary.__getitem__, text), np.int32, len(text))
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).view(np.int8), [0]))))
-        starts, ends = edges[::2], edges[1::2]
-        long = ends - starts >= self.least
-        if not self.least or not long.any():
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        at = np.concatenate([np.arange(s, e + 1) for s, e in zip(starts[long], ends[long], strict=True)])
-        symbols = np.append(ids, 0)[at]
-        return symbols, at
-
-
-def _scan(parts: list[tuple[np.ndarray, np.ndarray]], patterns: Patterns) -> list[tuple[list[tuple[int, int]], set[str]]]:
-    """For each text's stretches in a shard: merged spans of words ``[start, end)`` that windows cover, and the items found."""
-    found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in parts]
-    if not sum(len(s) for s, _ in parts):
-        return found
-    text = np.concatenate([s for s, _ in parts])
-    at = np.concatenate([a for _, a in parts])
-    doc = np.repeat(np.arange(len(parts)), [len(s) for s, _ in parts])
-    index = FMIndex(text, len(patterns.vocabulary))
-    cover = np.zeros(len(text) + 1, np.int64)
-    for m, numbers, group in patterns.groups:
-        which, lo, hi = index.search(group)
-        n = hi - lo
-        rows = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        places, pattern = index.locate(rows), np.repeat(which, n)
-        np.add.at(cover, places, 1)
-        np.add.at(cover, places + m, -1)
-        for d, p in np.unique(np.stack((doc[places], pattern)), axis=1).T.tolist():
-            found[d][1].update(patterns.items[numbers[p]])
-    hit = np.cumsum(cover[:-1]) > 0
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        found[doc[s]][0].append((int(at[s]), int(at[e - 1]) + 1))
-    return found
+        self.words = np.array(sorted(all_), np.uint64)
+        self.groups = []
+        for m in sorted({len(x) for x in by}):
+            keys = [x for x in by if len(x) == m]
+            self.groups.append((m, np.searchsorted(self.words, np.array(keys, np.uint64)), [sorted(by[x]) for x in keys]))
+
+    def scan(self, index: FMIndex, vocabulary: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
+        """Which words of a shard are covered, and the items found in each document; ``doc`` is the document of each place."""
+        at = np.minimum(np.searchsorted(vocabulary, self.words), max(len(vocabulary) - 1, 0))
+        symbol = np.where(vocabulary[at] == self.words, at + 1, 0) if len(vocabulary) else np.zeros(len(self.words), np.int64)
+        cover, found = np.zeros(index.n + 1, np.int64), {}
+        for m, windows, items in self.groups:
+            here = symbol[windows]
+            alive = np.flatnonzero((here > 0).all(axis=1))
+            which, lo, hi = index.search(here[alive])
+            n = hi - lo
+            places = index.locate(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+            pattern = np.repeat(alive[which], n)
+            np.add.at(cover, places, 1)
+            np.add.at(cover, places + m, -1)
+            for d, p in np.unique(np.stack((doc[places], pattern)), axis=1).T.tolist():
+                found.setdefault(d, set()).update(items[p])
+        return np.cumsum(cover[:-1]) > 0, found
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -183,63 +192,124 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 _ADDED = {"n_words": "long", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
+_SHARDS = "shard long, lengths binary, vocabulary binary, index binary, rows binary"
+_FOUND = "shard long, spans array<struct<doc:int,start:int,end:int>>, items array<struct<doc:int,item:string>>"
+
+
+def index_shards(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """A table of shards: the FM-index of their words, its vocabulary, the texts' numbers of words, and the rows' ``keep`` columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, shard = WordHashes(), TaskContext.get().partitionId() << 33
+
+        def emit(held: list[pa.RecordBatch], texts: list[np.ndarray]) -> pa.RecordBatch:
+            lengths = np.array([len(t) for t in texts], np.int64)
+            # each text ends with a separator
+            vocabulary, ids = np.unique(np.concatenate(texts), return_inverse=True)
+            symbols = np.zeros(len(ids) + len(texts), np.int64)
+            symbols[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), lengths)] = ids + 1
+            index = FMIndex.of(symbols, len(vocabulary)).to_bytes()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            values = ((shard, pa.int64()), (lengths.tobytes(), pa.binary()), (vocabulary.tobytes(), pa.binary()), (index, pa.binary()), (sink.getvalue().to_pybytes(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in values], names=["shard", "lengths", "vocabulary", "index", "rows"])
+
+        held, texts, size, first = [], [], 0, 0
+        for batch in batches:
+            first, carried = 0, batch.select(list(keep))
+            for k, text in enumerate(as_bytes(batch.column(batch.num_columns - 1))):
+                texts.append(hashes.of(words(text)))
+                size += len(text or b"")
+                if size >= SHARD_BYTES:
+                    held.append(carried.slice(first, k + 1 - first))
+                    yield emit(held, texts)
+                    held, texts, size, first, shard = [], [], 0, k + 1, shard + 1
+            if first < batch.num_rows:
+                held.append(carried.slice(first))
+        if held:
+            yield emit(held, texts)
+
+    return materialize(map_arrow(docs.select(*keep, F.col(text_col).cast("string").alias("__text")), run, _SHARDS), "shards")
+
+
+def _blocks(items: DataFrame, width: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in blocks of at most ``BLOCK_BYTES``; a longer item comes in parts that share all but one word of a window."""
+    held, size = [], 0
+    for row in items.toLocalIterator():
+        text = row["text"].encode()
+        parts = [text]
+        if len(text) > BLOCK_BYTES:
+            w, per = words(text), max(width, BLOCK_BYTES // (2 * max(1, max(map(len, words(text)), default=1) + 1)))
+            parts = [b" ".join(w[k : k + per + width - 1]) for k in range(0, max(1, len(w) - width + 1), per)]
+        for part in parts:
+            if held and size + len(part) > BLOCK_BYTES:
+                yield held
+                held, size = [], 0
+            held.append((row["item"], part))
+            size += len(part)
+    yield held
+
+
+def _search(shards: DataFrame, block: list[tuple[str, bytes]], width: int) -> DataFrame:
+    """Covered spans and found items of each shard, by the document's number in it."""
+    shared = shards.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = Patterns(shared.value, width)
+        for batch in batches:
+            for shard, lengths, vocabulary, index in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                lengths = np.frombuffer(lengths, np.int64)
+                doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+                hit, items = patterns.scan(FMIndex.from_bytes(index), np.frombuffer(vocabulary, np.uint64), doc)
+                starts = np.cumsum(lengths + 1) - lengths - 1
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+                spans = [{"doc": int(d), "start": int(s - starts[d]), "end": int(e - starts[d])} for s, e in edges.reshape(-1, 2) for d in (doc[s],)]
+                found = [{"doc": d, "item": x} for d, xs in items.items() for x in sorted(xs)]
+                if spans:
+                    kinds = (pa.int64(), pa.list_(pa.struct([("doc", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("doc", pa.int32()), ("item", pa.string())])))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, spans, found), kinds, strict=True)], names=["shard", "spans", "items"])
+
+    return materialize(map_arrow(shards.select("shard", "lengths", "vocabulary", "index"), run, _FOUND), "found")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: int = WIDTH, text_col: str = "text", item_col: str = "item_id", cut: bool = False) -> DataFrame:
     """``keep`` columns of each row of ``docs``, with ``n_words``, merged ``spans`` of covered words and the ``items`` found, sorted.
 
     A window is ``width`` consecutive words of an item, or a shorter item whole. With ``cut``, ``text`` (which ``keep`` must name)
-    loses the spans. Null and blank texts have no words; null items are ignored; rows that repeat are each judged.
-    Columns of the added names are replaced. The benchmark is searched in blocks of at most ``BLOCK_BYTES`` of items, one pass
-    over the texts for each, so it may be of any size; one block's items reach the driver and every worker. No shuffle.
+    loses the spans. Null and blank texts have no words; null items are ignored; rows that repeat are each judged. An empty table gives no rows, an empty benchmark no
+    spans. Columns of the added names are replaced. The texts are indexed once, in shards that hold whole texts (memory grows with the longest). The benchmark reaches the driver and
+    every worker in blocks of at most ``BLOCK_BYTES``, one search of all indexes each, so it may be of any size; only what is found is shuffled, by shard.
     """
-    keep = tuple(k for k in keep if k not in _ADDED)
-    spark = docs.sparkSession
+    keep = tuple(dict.fromkeys(k for k in keep if k not in _ADDED))
     items = benchmark.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (BLOCK_BYTES // 2)))
-    carried = [c for c in dict.fromkeys((*keep, text_col))]
+    shards = index_shards(docs, keep, text_col)
+    found = None
+    for block in _blocks(items, width):
+        more = _search(shards, block, width)
+        found = more if found is None else found.unionAll(more)
+    # what one shard's documents hold, of all blocks
+    by_shard = found.groupBy("shard").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    out = docs.select(*carried, F.lit(0).cast("long").alias("n_words"), F.array().cast(_ADDED["spans"]).alias("spans"), F.array().cast(_ADDED["items"]).alias("items"))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()  # of checked size
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in rows])
-        final = block == blocks - 1
-        names = [c for c in carried if not final or c in keep]
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names, cuts=cut and final) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(shared.value, width)
-
-            def emit(held: list[tuple[pa.RecordBatch, list[int], list[tuple[np.ndarray, np.ndarray]]]]) -> Iterator[pa.RecordBatch]:
-                found = iter(_scan([p for _, _, parts in held for p in parts], patterns))
-                for batch, n, _ in held:
-                    spans, named, cleaned = [], [], []
-                    for k, (old, had) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
-                        new, got = next(found)
-                        merged = merge_spans([(s["start"], s["end"]) for s in old] + new) if old else new
-                        spans.append([{"start": s, "end": e} for s, e in merged])
-                        named.append(sorted(got.union(had)))
-                        if cuts:
-                            text = batch.column(text_col)[k].as_py()
-                            cleaned.append(cut_words(text.encode(), merged).decode() if merged else text)
-                    columns = [pa.array(cleaned, pa.string()) if cuts and c == text_col else batch.column(c) for c in names]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(named, pa.list_(pa.string()))], names=[*names, *_ADDED])
-
-            held, size = [], 0
-            for batch in batches:
-                counts, parts = [], []
-                for text in as_bytes(batch.column(text_col)):
-                    w = words(text)  # dropped when its stretches are known: most words don't stay
-                    counts.append(len(w))
-                    parts.append(patterns.stretches(w))
-                    size += len(text or b"")
-                held.append((batch.select([c for c in batch.schema.names if c != text_col or c in names]), counts, parts))
-                if size >= SHARD_BYTES:
-                    yield from emit(held)
-                    held, size = [], 0
-            if held:
-                yield from emit(held)
 
-        schema = ", ".join([*(f"`{c}` {fields[c]}" for c in names), *(f"{k} {v}" for k, v in _ADDED.items())])
-        out = map_arrow(out, run, schema)
-    return out
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lengths, data, spans, named in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                lengths, table = np.frombuffer(lengths, np.int64), pa.ipc.open_stream(data).read_all().combine_chunks()
+                by: list[list[tuple[int, int]]] = [[] for _ in lengths]
+                got: list[set[str]] = [set() for _ in lengths]
+                for x in spans or ():
+                    by[x["doc"]].append((x["start"], x["end"]))
+                for x in named or ():
+                    got[x["doc"]].add(x["item"])
+                by = [merge_spans(x) if x else x for x in by]
+                columns = {c: table[c] for c in keep}
+                if cut:
+                    columns[text_col] = pa.array([cut_words(t.encode(), x).decode() if x else t for t, x in zip(table[text_col].to_pylist(), by, strict=True)], pa.string())
+                added = (pa.array(lengths), pa.array([[{"start": s, "end": e} for s, e in x] for x in by], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(x) for x in got], pa.list_(pa.string())))
+                yield from pa.table([*columns.values(), *added], names=[*keep, *_ADDED]).to_batches()
+
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in keep), *(f"{k} {v}" for k, v in _ADDED.items())])
+    # what is found may be about as much as the texts: joined by shuffle where it isn't small
+    return map_arrow(shards.join(by_shard, "shard", "left").select("lengths", "rows", "spans", "items"), rows, schema)
