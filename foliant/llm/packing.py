@@ -3,6 +3,9 @@
 Only lengths decide where pieces go, and there are at most ``capacity`` different ones: tasks tokenize and count,
 the driver packs the histogram of lengths (bounded by the capacity, whatever the corpus), and pieces
 find their place by length and rank.
+
+Best-fit solutions are the incumbents. Where one has more bins than the lower bound, a branch-and-bound over fillings of the largest length left
+looks for a packing of one bin less: fillings that no other dominates, in order of their waste, pruned by the waste that such a packing may have.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql.window import Window
 from foliant.llm.common import as_bytes, map_arrow, materialize, mix
 
 CAPACITY, END = 4096, 1
+#: Steps of a search for a packing of one bin less.
+NODES = 2_000
 #: Distinct parts of texts whose ids a worker remembers, about 200 bytes each; bytes of texts it encodes at once.
 CACHE_PARTS, BATCH_BYTES = 500_000, 1_000_000
 
@@ -242,8 +247,8 @@ def _bins(found: Fillings) -> int:
     return sum(times for _, times in found)
 
 
-def _reopened(found: Fillings, capacity: int, share: int, large_first: bool) -> Fillings:
-    """All bins with waste, and ``share`` times as many of the full ones (the last filled first), emptied and filled anew."""
+def _opened(found: Fillings, capacity: int, share: int) -> tuple[Fillings, Counter]:
+    """All bins with waste, and ``share`` times as many of the full ones (the last filled first), emptied: the bins that stay, and the parts to fill anew."""
     wasteful = [f for f in found if sum(f[0]) < capacity]
     budget, kept, again = share * _bins(wasteful), [], Counter()
     for filling, times in reversed([f for f in found if sum(f[0]) == capacity]):
@@ -256,14 +261,89 @@ def _reopened(found: Fillings, capacity: int, share: int, large_first: bool) ->
     for filling, times in wasteful:
         for x in filling:
             again[x] += times
-    return kept[::-1] + _tables(again, capacity, large_first)
+    return kept[::-1], again
+
 
+def _completions(left: dict[int, int], room: int, slack: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Undominated ways to fill ``room`` up to ``slack`` waste with parts of ``left``, with their waste, least first.
 
-def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> Fillings:
+    A filling is dominated if a part left over could be added, or put in place of a smaller one.
+    """
+    lengths = sorted((x for x in left if left[x] and x <= room), reverse=True)
+    reach, within = [1], (1 << (room + 1)) - 1  # sums that the lengths from each one on can make, however often
+    for x in reversed(lengths):
+        sums, n, times = reach[0], min(left[x], room // x), 1
+        while n > 0:
+            k = min(times, n)
+            sums |= (sums << (k * x)) & within
+            n, times = n - k, 2 * times
+        reach.insert(0, sums)
+
+    def exact(at: int, target: int) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield ()
+        elif at < len(lengths) and reach[at] >> target & 1:
+            x = lengths[at]
+            for n in range(min(left[x], target // x), -1, -1):
+                for rest in exact(at + 1, target - n * x):
+                    yield (x,) * n + rest
+
+    for waste in range(min(slack, room) + 1):
+        if reach[0] >> (room - waste) & 1:
+            for parts in exact(0, room - waste):
+                used = Counter(parts)
+                over = [x for x in lengths if left[x] > used[x]]
+                if not any(x <= waste for x in over) and not any(y < x <= y + waste for y in used for x in over):
+                    yield parts, waste
+
+
+def search(histogram: Counter, capacity: int, bins: int, nodes: int) -> Fillings | None:
+    """A packing into at most ``bins``, by branch-and-bound over fillings of the largest length left; none if there is none, or none was found in ``nodes`` steps."""
+    left = {k: v for k, v in histogram.items() if v > 0}
+    slack = bins * capacity - sum(k * v for k, v in left.items())
+    if slack < 0:
+        return None
+    lengths = sorted(left, reverse=True)
+    chosen: list[tuple[int, ...]] = []
+    dead: set[tuple] = set()
+    stack: list[tuple[tuple, Iterator, int]] = []
+
+    def open_node(slack: int) -> None:
+        top = next(x for x in lengths if left[x])
+        left[top] -= 1
+        stack.append(((slack, tuple(left[x] for x in lengths), top), _completions(left, capacity - top, slack), slack))
+
+    if not any(left.values()):
+        return []
+    open_node(slack)
+    while stack and nodes:
+        nodes -= 1
+        (_, _, top), options, slack = stack[-1]
+        if len(chosen) == len(stack):  # undo this node's last choice
+            for x in chosen.pop():
+                left[x] += 1
+        parts, waste = next(options, (None, 0))
+        if parts is None:
+            stack.pop()
+            left[top] += 1
+            dead.add((slack, tuple(left[x] for x in lengths)))
+            continue
+        for x in parts:
+            left[x] -= 1
+        chosen.append(parts)
+        if not any(left.values()):
+            return [((node[2], *parts), 1) for (node, _, _), parts in zip(stack, chosen, strict=True)]
+        if (slack - waste, tuple(left[x] for x in lengths)) not in dead:
+            open_node(slack - waste)
+    return None
+
+
+def fillings(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Fillings:
     """The fewest bins found for a histogram of lengths, as (lengths in a bin, number of such bins).
 
-    Bins are completed exactly, with large and with small parts. Where that doesn't end at the lower bound, bins are reopened as long as it
-    saves any. What still lies above the bound need not be the least: the bound may not be reached by any packing.
+    Bins are completed exactly, with large and with small parts. Where that doesn't end at the lower bound, bins are reopened and filled anew, and searched for a packing of
+    one bin less in ``nodes`` steps for each share of full bins that is reopened, until nothing saves any. The problem is NP-hard: ``nodes`` bounds the search, not the input;
+    what still lies above the bound need not be the least, nor need the bound be reached by any packing.
     """
     if any(k > capacity or k <= 0 for k in histogram):
         raise ValueError("lengths must be from 1 to the capacity")
@@ -274,25 +354,38 @@ def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> Fillings:
     better = True
     while better and _bins(best) > low:
         better = False
-        for share in (0, 1, 4, 16):
-            for large_first in (True, False):
-                tried = _reopened(best, capacity, share, large_first)
-                if _bins(tried) < _bins(best):
-                    best, better = tried, True
+        for share in (0, 1, 4):
+            kept, again = _opened(best, capacity, share)
+            for tried in (_tables(again, capacity), _tables(again, capacity, False), search(again, capacity, _bins(best) - _bins(kept) - 1, nodes)):
+                if tried is not None and _bins(kept) + _bins(tried) < _bins(best):
+                    best, better = kept + tried, True
+                    break
+            if better:
+                break
     return best
 
 
-def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
-    """Martello and Toth's bound L2: no packing has fewer bins."""
-    sizes = sorted(histogram.items())
-    total = sum(k * v for k, v in sizes)
-    best = -(-total // capacity)
-    for cut in [0] + [k for k, _ in sizes if 2 * k <= capacity]:
-        large = sum(v for k, v in sizes if k > capacity - cut)
-        middle = [(k, v) for k, v in sizes if capacity - cut >= k and 2 * k > capacity]
-        n_middle, free = sum(v for _, v in middle), sum((capacity - k) * v for k, v in middle)
-        small = sum(k * v for k, v in sizes if k >= cut and 2 * k <= capacity)
-        best = max(best, large + n_middle + max(0, -(-(small - free) // capacity)))
+def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 12) -> int:
+    """No packing has fewer bins: bounds by dual feasible functions (Martello and Toth; Fekete and Schepers).
+
+    A length counts as its share of the capacity, or rounded to a whole number of k-ths, for k up to ``steps``; with each cut, lengths below it count as
+    nothing and those over the capacity less the cut as a whole bin.
+    """
+    sizes = sorted((k, v) for k, v in histogram.items() if v > 0)
+    if not sizes:
+        return 0
+    x, v = (np.array(c, object) for c in zip(*sizes, strict=True))  # whole numbers of any size
+    cuts = np.array([0, *(k for k, _ in sizes if 2 * k <= capacity)], object)
+    first, past = (np.searchsorted(x.astype(int), c) for c in (cuts.astype(int), (capacity - cuts).astype(int) + 1))
+    number = np.concatenate(([0], np.cumsum(v)))
+    best = 0
+    for k in range(steps + 1):
+        # shares in units of 1 / (k * (k + 1) * capacity); k = 0: 1 / capacity
+        unit = k * (k + 1) * capacity if k else capacity
+        share = np.array([a if not k else a * k * (k + 1) if (k + 1) * a % capacity == 0 else (k + 1) * a // capacity * (k + 1) * capacity for a in x], object)
+        total = np.concatenate(([0], np.cumsum(share * v)))
+        bins = number[-1] - number[past] + -(-(total[past] - total[first]) // unit)
+        best = max(best, int(bins.max()))
     return best
 
 
@@ -340,11 +433,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, i
     return out.withColumnRenamed("data", "ids" if ids == "ids" else "ids_crc32")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: str = "ids", id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
     """Every token of ``docs`` in sequences of at most ``capacity``: ``doc_id, piece, start, length, ids | ids_crc32, sequence_id, offset``.
 
     Only documents longer than the capacity are cut. Null texts are empty and still have their end token. Rows that repeat
-    are packed each; null ids stay null; other columns aren't read. An empty table gives no rows.
+    are packed each; null ids stay null; other columns aren't read. An empty table gives no rows. A text is encoded whole, so memory grows with the longest one.
+    ``nodes`` bounds the search for fewer sequences (``fillings``).
     """
     pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, ids, id_col, text_col), "pieces")
     counts = materialize(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
@@ -352,7 +446,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: str = "
     before = counts.select("task", "length", (F.sum("n").over(order) - F.col("n")).alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     runs, taken, sequence = [], Counter(), 0
-    for filling, times in fillings(histogram, capacity):
+    for filling, times in fillings(histogram, capacity, nodes):
         offset = 0
         for length, n in Counter(filling).items():
             # ranks taken[length] .. are dealt n to a bin
@@ -363,7 +457,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: str = "
     spark = docs.sparkSession
     table = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in (zip(*runs, strict=True) if runs else [[]] * 6)], names=["length", "lo", "hi", "per", "first", "at"]))
     # a run for each length in a filling: a few times the capacity, whatever the corpus
-    placed = pieces.join(before, ["task", "length"]).withColumn("__r", F.col("rank") + F.col("before"))
+    # counts grow with the number of tasks: never broadcast
+    placed = pieces.join(before.hint("merge"), ["task", "length"]).withColumn("__r", F.col("rank") + F.col("before"))
     runs_of = F.broadcast(table.withColumnRenamed("length", "__length"))
     placed = placed.join(runs_of, (F.col("length") == F.col("__length")) & (F.col("__r") >= F.col("lo")) & (F.col("__r") < F.col("hi")))
     within = F.col("__r") - F.col("lo")
