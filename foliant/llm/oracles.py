@@ -38,7 +38,7 @@ r as (select wd.doc_id, count(hit.p) h, string_agg(case when hit.p is null then
 select d.doc_id, cast(len(w) as bigint) n_words, coalesce(h, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join r using (doc_id)
 """
 
-QUALITY = rf"""
+_BITS = rf"""
 with d as (select doc_id, coalesce(text, '') t, {_WORDS.format(t="coalesce(text, '')")} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
 win as (select doc_id, i, array_to_string(w[i:i+7], ' ') k from d, unnest(range(1, len(w) - 6)) u(i)),
 two as (select *, count(*) over (partition by doc_id, k) c from win),
@@ -49,9 +49,18 @@ m as (select d.doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars
 b as (select *, (case when n_words < 20 then 1 else 0 end) + (case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end) + (case when 100 * n_symbols > 10 * n_words then 4 else 0 end) + (case when 100 * n_dup_lines > 50 * n_lines then 8 else 0 end)
  + (case when 100 * n_upper > 40 * word_chars then 16 else 0 end) + (case when 100 * n_exclaims > 25 * n_words then 32 else 0 end) + (case when word_chars < 2 * n_words then 64 else 0 end) + (case when word_chars > 15 * n_words then 128 else 0 end)
  + (case when 100 * n_ellipsis > 30 * n_lines then 256 else 0 end) + (case when 100 * n_bullet > 90 * n_lines then 512 else 0 end) + (case when 100 * n_stutters > 20 * n_words then 1024 else 0 end) bits from m)
+"""
+
+QUALITY = f"""{_BITS.strip()}
 select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, bits & 3 <> 0 base_failed, bits = 0 kept, cast(bits as bigint) failed_bits from b
 """
 
+#: Rules in the order of their bits.
+_RULES = ("few_words", "repeated_windows", "symbols", "repeated_lines", "capitals", "exclamations", "short_words", "long_words", "ellipses", "bullets", "stutters")
+ABLATION = f"{_BITS.strip()}\n" + "\nunion all ".join(
+    f"select '{r}' as rule, count(*) filter (bits & {1 << k} <> 0) n_failed, count(*) filter (bits = {1 << k}) n_failed_alone, count(*) filter (bits & {2047 & ~(1 << k)} = 0) n_kept_without from b" for k, r in enumerate(_RULES)
+)
+
 LEAKS = f"""
 with d as (select doc_id, {_BENCH.format(t=_ASCII)} w from documents), b as (select cast(item_id as varchar) item, {_BENCH.format(t=_ASCII)} w from benchmark),
 k as (select distinct item, least(len(w), 10) m, array_to_string(w[i:i+9], ' ') k from b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) where len(w) > 0),
@@ -68,4 +77,5 @@ ORACLES: dict[str, str] = {
     "op7_substring_dedup": SUBSTRINGS.strip(),
     "op8_quality_rules": QUALITY.strip(),
     "op9_benchmark_decontamination": LEAKS.strip(),
+    "quality_ablation": ABLATION,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ RULES: dict[str, str] = {
 }
 #: Rules of each version of the policy.
 POLICIES: dict[str, tuple[str, ...]] = {"base": ("few_words", "repeated_windows"), "v1": tuple(RULES)}
+#: Changes with the rules: their names, order and bounds.
+VERSION = f"{zlib.crc32(repr(list(RULES.items())).encode()):08x}"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaims", "n_ellipsis_lines", "n_bullet_lines", "n_stutters")
 
 
@@ -81,29 +85,46 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with its measurements and ``failed_bits`` (long): bit k is set if rule k of ``RULES`` fails.
+    """``docs`` with its measurements, ``failed_bits`` (long) and ``rules_version``: bit k is set if rule k of ``RULES`` fails.
 
-    Null text counts as empty, and so fails ``few_words``. Columns of ``docs`` named as measurements or bits are replaced.
+    Null text counts as empty, and so fails ``few_words``. Columns of ``docs`` named as what is added are replaced. Each row is measured by itself, rows that repeat
+    alike; an empty table gives no rows. Texts of any length are read whole, in time that grows with n log n of their words at most.
     """
     bits = " + ".join(f"(case when {rule} then {1 << k} else 0 end)" for k, rule in enumerate(RULES.values()))
-    return measure(docs.drop("failed_bits"), text_col).withColumn("failed_bits", F.expr(bits).cast("long"))
+    return measure(docs.drop("failed_bits", "rules_version"), text_col).withColumn("failed_bits", F.expr(bits).cast("long")).withColumn("rules_version", F.lit(VERSION))
+
+
+def store(entries: DataFrame, path: str) -> DataFrame:
+    """Write a ledger, measured once, as a table that policies are applied to; the table."""
+    entries.write.parquet(path)
+    return entries.sparkSession.read.schema(entries.schema).parquet(path)
+
+
+def _bits() -> Column:
+    """A row's failed bits; those of other rules are an error."""
+    return F.when(F.col("rules_version") == VERSION, F.col("failed_bits")).otherwise(F.raise_error(F.lit("the ledger was measured by other rules")).cast("long"))
 
 
 def judge(entries: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
-    """A ledger with ``base_failed`` and ``kept`` under a policy; no rule is evaluated again."""
+    """A ledger with ``base_failed`` and ``kept`` under a policy, to which the base rules always belong; no rule is evaluated again.
+
+    Null texts, repeated rows and empty tables are as ``ledger`` says. Raises if the ledger is of another version of the rules.
+    """
     base, wanted = mask("base"), mask(policy) | mask("base")
-    bits = F.col("failed_bits")
-    return entries.withColumn("base_failed", bits.bitwiseAND(F.lit(base)) != 0).withColumn("kept", bits.bitwiseAND(F.lit(wanted)) == 0)
+    return entries.withColumn("base_failed", _bits().bitwiseAND(F.lit(base)) != 0).withColumn("kept", _bits().bitwiseAND(F.lit(wanted)) == 0)
 
 
 def ablation(entries: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
-    """For each rule of a policy: rows that fail it, rows that fail it alone, and rows kept without it."""
-    wanted = mask(policy)
-    failed = F.col("failed_bits").bitwiseAND(F.lit(wanted))
+    """For each rule of a policy and the base: ``rule, n_failed, n_failed_alone, n_kept_without``, rows that fail it, that fail it alone, and that are kept without it.
+
+    One aggregation over the bits. An empty ledger gives zeros.
+    """
+    wanted = mask(policy) | mask("base")
+    failed = F.col("__failed")
     counts = []
     names = [r for r in RULES if mask((r,)) & wanted]
     for r in names:
         bit = mask((r,))
         counts += [F.count_if(failed.bitwiseAND(F.lit(bit)) != 0).alias(f"{r}_f"), F.count_if(failed == bit).alias(f"{r}_a"), F.count_if(failed.bitwiseAND(F.lit(wanted & ~bit)) == 0).alias(f"{r}_k")]
-    row = entries.agg(*counts)
+    row = entries.select(_bits().bitwiseAND(F.lit(wanted)).alias("__failed")).agg(*counts)
     return row.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"{r}_f").alias("n_failed"), F.col(f"{r}_a").alias("n_failed_alone"), F.col(f"{r}_k").alias("n_kept_without")) for r in names])).alias("x")).select("x.*")
