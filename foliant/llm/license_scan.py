@@ -1,24 +1,32 @@
 """Licence families of paragraphs: sparse n-gram logistic regression, a calibrated unknown class, and template comparison.
 
-The classifier is trained on the small table below. At scan time everything is built-in functions: word pairs and triples of each line
-meet the model's n-grams in a join on their hash, and weights are summed for each line and family. Notices inside longer lines are found
-by windows: a template stands in a line if a window of twice its words holds enough of its n-grams.
+A paragraph is what stands between blank lines. It is read in passages of ``PASSAGE`` words, each half over the next, so a notice counts alike alone on a
+line, wrapped over several, or inside prose. A multinomial logistic regression on the passage's word pairs and triples names its family or none;
+its temperature and the least probability of a family are fitted on labelled passages that it wasn't trained on. A family is confirmed if one
+of its templates stands in the passage to the share that tells it from the labelled negatives.
+
+Training uses the small table below. The scan is built-in functions on each row by itself: no shuffle, no join.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import pinned
 
 #: Templates: notices and opening sentences that public licences ask for, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "agpl": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -41,7 +49,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Licensed under the ISC License.",
+    ),
+    "lgpl": (
         "Released under the GNU Lesser General Public License, version 2.1.",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     ),
     "mit": (
         "Released under the MIT License.",
@@ -54,7 +69,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Mozilla Public License, version 2.0.",
     ),
 }
-#: Lines that speak of rights or use like words but name no licence of a family.
+#: Sentences that speak of rights or use like words but name no licence of a family, or say that it doesn't hold.
 OTHER: tuple[str, ...] = (
     "All rights reserved.",
     "Copyright 2020 by the authors.",
@@ -75,148 +90,272 @@ OTHER: tuple[str, ...] = (
     "Das Werk ist in vielen Sprachen erschienen.",
     "La obra se publica con permiso de la familia.",
 )
+#: What denies a notice, put before its verb.
+DENIALS: tuple[str, ...] = ("not", "never", "no longer")
+#: Sentences that examples stand in.
+PROSE: tuple[str, ...] = (
+    "the report of the harbour was read by two clerks and put in the file",
+    "read more on the page of the authors of the library",
+    "the source of the river is in the north and the valley is free of snow",
+    "you can use the tool in the garden and in the house at any time",
+    "it is distributed in the city and to any person who asks for a copy",
+)
 UNKNOWN = "unknown"
 SIZES = (2, 3)
+#: Words of a passage; the next one starts half as many on.
+PASSAGE = 64
 #: Words that name a family. Templates with other names in their place are negatives.
-NAMES = {"apache", "bsd", "cc", "by", "nc", "sa", "creative", "commons", "sharealike", "noncommercial", "gnu", "lesser", "mit", "mozilla", "public"}
-#: For whole lines, set by hand: least probability of a family, least share of the line's n-grams in its templates.
-THRESHOLD, COVERAGE = 0.5, 0.5
+NAMES = {"affero", "apache", "bsd", "cc", "by", "nc", "sa", "creative", "commons", "sharealike", "noncommercial", "gnu", "lesser", "isc", "mit", "mozilla", "public"}
+#: Most of the labelled negatives, not trained on, that may be taken for a family.
+FALSE_ALARMS = 0.01
+_SLOTS = 1 << 12
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of ASCII letters and digits, lower-cased."""
+    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
 
 
-def grams(text: str) -> list[str]:
-    """Distinct word n-grams of a line; words are runs of letters and digits."""
-    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+def grams(words: list[str]) -> list[str]:
+    """Distinct word n-grams."""
     return sorted({" ".join(words[i : i + n]) for n in SIZES for i in range(len(words) - n + 1)})
 
 
-def _variants(line: str) -> list[str]:
-    """A template whole, and without its first or last words."""
-    w = line.split()
-    return [line, *(" ".join(w[a : len(w) - b]) for a, b in ((1, 0), (0, 1), (2, 0), (0, 2)) if len(w) - a - b >= 4)]
+def examples() -> list[tuple[list[str], str]]:
+    """Labelled passages: templates whole, shortened, and denied, each alone and in prose; other names in them, other sentences, prose."""
+    out: list[tuple[str, str]] = [(x, UNKNOWN) for x in (*OTHER, *PROSE)]
+    for family, lines in TEMPLATES.items():
+        for line in lines:
+            w = words_of(line)
+            shorter = [" ".join(w[a : len(w) - b]) for a, b in ((1, 0), (0, 1), (2, 0), (0, 2)) if len(w) - a - b >= 4 and NAMES & set(w[a : len(w) - b]) == NAMES & set(w)]
+            out += [(" ".join(x), family) for x in (w, *(s.split() for s in shorter))]
+            if NAMES & set(w):
+                out += [(" ".join("acme" if x in NAMES else x for x in w), UNKNOWN)] * 2
+            if w[0] in ("released", "licensed"):
+                out += [(f"{no} {' '.join(w)}", UNKNOWN) for no in DENIALS]
+            elif "is" in w:
+                at = w.index("is") + 1
+                out += [(" ".join([*w[:at], *no.split(), *w[at:]]), UNKNOWN) for no in DENIALS]
+    rows = []
+    for k, (text, label) in enumerate(out):
+        before, after = PROSE[k % len(PROSE)], PROSE[(k + 2) % len(PROSE)]
+        around = f"{OTHER[k % len(OTHER)]} {text} {OTHER[(k + 5) % len(OTHER)]}"
+        rows += [(grams(words_of(x)), label) for x in (text, f"{before} {text}", f"{before} {text} {after}", around)]
+    return rows
 
 
-@lru_cache
-def train(rounds: int = 120, rate: float = 0.5) -> tuple[dict[str, dict[str, float]], dict[str, float]]:
-    """Weights of each n-gram by family (the unknown class included), and biases: multinomial logistic regression, plain gradient steps."""
-    classes = [*TEMPLATES, UNKNOWN]
-    rows = [(grams(v), k) for k, lines in TEMPLATES.items() for line in lines for v in _variants(line)] + [(grams(line), UNKNOWN) for line in OTHER] * 2
-    weights: dict[str, dict[str, float]] = {g: {} for gs, _ in rows for g in gs}
-    bias = dict.fromkeys(classes, 0.0) | {UNKNOWN: 2.0}
+@dataclass(frozen=True)
+class Model:
+    """Weights by n-gram and class; the temperature their sums are divided by; the least probability of a family."""
+
+    classes: tuple[str, ...]
+    grams: tuple[str, ...]
+    weights: np.ndarray
+    bias: np.ndarray
+    temperature: float
+    threshold: float
+
+    def probabilities(self, known: list[list[int]]) -> np.ndarray:
+        """Class probabilities of passages, given as numbers of n-grams."""
+        logits = np.array([(self.bias + self.weights[k].sum(axis=0)) / self.temperature for k in known])
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+
+def fit(rows: list[tuple[list[str], str]], rounds: int = 300, rate: float = 0.4, penalty: float = 1e-4) -> Model:
+    """Logistic regression by gradient steps on the whole table, uncalibrated."""
+    classes = (*TEMPLATES, UNKNOWN)
+    names = tuple(sorted({g for gs, _ in rows for g in gs}))
+    number = {g: k for k, g in enumerate(names)}
+    x = np.zeros((len(rows), len(names)), np.float32)
+    for k, (gs, _) in enumerate(rows):
+        x[k, [number[g] for g in gs]] = 1
+    y = np.eye(len(classes), dtype=np.float32)[[classes.index(label) for _, label in rows]]
+    weights, bias = np.zeros((len(names), len(classes)), np.float32), np.zeros(len(classes), np.float32)
     for _ in range(rounds):
-        for gs, y in rows:
-            scale = 1 / math.sqrt(max(len(gs), 1))
-            logit = {c: (bias[c] if c == UNKNOWN else 0.0) + scale * sum(weights[g].get(c, 0.0) for g in gs) for c in classes}
-            top = max(logit.values())
-            z = sum(math.exp(x - top) for x in logit.values())
-            for c in classes:
-                step = rate * ((c == y) - math.exp(logit[c] - top) / z)
-                for g in gs:
-                    weights[g][c] = weights[g].get(c, 0.0) + scale * step
-    return weights, bias
+        logits = x @ weights + bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        step = y - p / p.sum(axis=1, keepdims=True)
+        weights += rate * (x.T @ step / len(rows) * len(classes) - penalty * weights)
+        bias += rate * step.mean(axis=0)
+    return Model(classes, names, weights, bias, 1.0, 0.5)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.round(x.astype(np.float64), 6)
+
+
+def calibrated(model: Model, rows: list[tuple[list[str], str]]) -> Model:
+    """The model with the temperature of least log loss on ``rows``, and the least threshold that takes few enough negatives for a family."""
+    number = {g: k for k, g in enumerate(model.grams)}
+    known = [[number[g] for g in gs if g in number] for gs, _ in rows]
+    own = np.array([model.classes.index(label) for _, label in rows])
+
+    def loss(t: float) -> float:
+        p = Model(model.classes, model.grams, model.weights, model.bias, t, 0.5).probabilities(known)
+        return float(-np.log(np.maximum(p[np.arange(len(own)), own], 1e-12)).sum())
+
+    best = min((2.0**k for k in np.arange(-4, 3.01, 0.25)), key=loss)
+    out = Model(model.classes, model.grams, model.weights, model.bias, float(best), 0.5)
+    p = out.probabilities(known)
+    unknown = model.classes.index(UNKNOWN)
+    family = np.sort((1 - p[:, unknown])[own == unknown])
+    threshold = float(max(0.5, family[min(len(family) - 1, int((1 - FALSE_ALARMS) * len(family)))] + 1e-6))
+    return Model(out.classes, out.grams, _rounded(out.weights), _rounded(out.bias), out.temperature, round(threshold, 6))
 
 
 @lru_cache
-def templates() -> list[tuple[str, int, frozenset[str], int]]:
-    """Each template's family, words, n-grams, and how many of them a window must hold.
+def train() -> Model:
+    """Trained on all labelled passages; calibrated by a model that saw four of five of them, on the fifth."""
+    rows = examples()
+    fitted = calibrated(fit([r for k, r in enumerate(rows) if k % 5]), rows[::5])
+    whole = fit(rows)
+    return Model(whole.classes, whole.grams, _rounded(whole.weights), _rounded(whole.bias), fitted.temperature, fitted.threshold)
+
 
-    Fitted on labelled negatives, each of them in prose: the other lines, templates of other families and all templates with the names replaced. The least share
-    is halfway between the negative that holds the most and the whole template.
+@lru_cache
+def templates() -> list[tuple[str, frozenset[str], int, frozenset[str], int]]:
+    """Each template's family and n-grams, and how many of them a passage must hold: halfway between the other sentence in prose that holds the most and the whole
+    template. Then its marks, the n-grams that no labelled negative has (templates of other families or with other names among them), and how many of those: half.
     """
-    around = ("the authors of the library", "read more on the page")
-    other = [*OTHER, *(" ".join("acme" if w in NAMES else w for w in re.split("[^a-z0-9]+", line.lower())) for lines in TEMPLATES.values() for line in lines if NAMES & set(re.split("[^a-z0-9]+", line.lower())))]
+    named = [(k, words_of(line)) for k, lines in TEMPLATES.items() for line in lines]
+    in_prose = [set(grams([*words_of(PROSE[0]), *words_of(x), *words_of(PROSE[1])])) for x in OTHER]
+    renamed = [set(grams(["acme" if x in NAMES else x for x in w])) for _, w in named if NAMES & set(w)]
     out = []
-    for family, lines in TEMPLATES.items():
-        negatives = other + [line for k, rest in TEMPLATES.items() if k != family for line in rest]
-        for line in lines:
-            own = frozenset(grams(line))
-            most = max(len(own & set(grams(f"{around[0]} {x} {around[1]}"))) for x in negatives)
-            out.append((family, len([w for w in re.split("[^a-z0-9]+", line.lower()) if w]), own, -(-(len(own) + most) // 2)))
+    for family, w in named:
+        own = frozenset(grams(w))
+        most = max(len(own & x) for x in in_prose)
+        marks = own.difference(*in_prose, *renamed, *(grams(x) for k, x in named if k != family))
+        out.append((family, own, -(-(len(own) + most) // 2), marks, -(-len(marks) // 2)))
     return out
 
 
-def model_table(spark: SparkSession) -> DataFrame:
-    """``gram, families, templates``: each n-gram of the training table with its weights by class and the templates it stands in; as long as that table is."""
-    weights, _ = train()
-    inside = {k: {g for line in lines for g in grams(line)} for k, lines in TEMPLATES.items()}
-    rows = []
-    for g, by in sorted(weights.items()):
-        h = xxhash.xxh64_intdigest(g.encode(), seed=42)
-        rows.append((h - (1 << 64) if h >> 63 else h, [(c, round(w, 6), int(g in inside.get(c, ()))) for c, w in sorted(by.items())], [(k, family, words, len(own), need) for k, (family, words, own, need) in enumerate(templates()) if g in own]))
-    return spark.createDataFrame(rows, "gram long, families array<struct<family:string,weight:double,inside:int>>, templates array<struct<template:int,family:string,words:int,size:int,need:int>>")
+@lru_cache
+def cues() -> tuple[str, ...]:
+    """Words without any of which no template reaches its share: of each template's n-grams, or of its marks, the words that stand in most, until too few are left without one."""
+    common = {w for x in (*OTHER, *PROSE) for w in words_of(x)}
+    out: set[str] = set()
+    for _, own, need, marks, need_marks in templates():
+        choices = []
+        for grams_, least in ((own, need), (marks, need_marks)):
+            new: set[str] = set()
+            while len(left := [set(g.split()) for g in grams_ if not (out | new) & set(g.split())]) >= least:
+                new.add(max({w for g in left for w in g}, key=lambda w: (w not in common and not w.isdigit() and len(w) > 2, sum(w in g for g in left), len(w), w)))
+            choices.append(new)
+        out |= min(choices, key=lambda x: (len(x), sorted(x)))
+    return tuple(sorted(out))
 
 
-def scan_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line, n_grams, family, probability, coverage, confirmed, families`` of each line that shares an n-gram with the model.
+def _table(values, kind: str) -> Column:
+    """A constant array, read from text once for a plan."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast(f"array<{kind}>")
 
-    ``family`` is the likeliest class. Unless its probability reaches ``THRESHOLD`` it is ``unknown``. ``confirmed``: a family's templates hold at
-    least ``COVERAGE`` of the line's n-grams, or a window of the line holds a template; then ``family`` and ``coverage`` are those of the window with the largest share
-    of its template. ``families``: all that are confirmed. Lines without any n-gram of the model score as the bias says, unknown, and aren't returned.
-    """
-    spark = docs.sparkSession
-    _, bias = train()
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "t"))
-    rest = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(F.size(c) - k, F.lit(0)))
-    own = lines.withColumn("w", pinned(F.filter(F.split(F.lower("t"), "[^a-z0-9]+", -1), lambda x: x != ""))).drop("t")
+
+@lru_cache
+def _lookup() -> tuple[list[int], list[int]]:
+    """Hashes of the model's n-grams by slot (their hash modulo ``_SLOTS``), and where each slot starts."""
+    signed = [h - (1 << 64) if (h := xxhash.xxh64_intdigest(g.encode(), seed=42)) >> 63 else h for g in train().grams]
+    order = sorted(range(len(signed)), key=lambda k: (signed[k] % _SLOTS, k))
+    slots = [signed[k] % _SLOTS for k in order]
+    starts = np.searchsorted(slots, np.arange(_SLOTS + 1)).tolist()
+    return order, [[signed[k] for k in order], starts]
+
+
+def _numbers(gs: Column) -> Column:
+    """Numbers (in the order of ``_lookup``) of an array's n-grams that the model has."""
+    _, (hashes, starts) = _lookup()
+    hashes, starts = _table(hashes, "bigint"), _table(starts, "int")
+
+    def number(g: Column) -> Column:
+        slot = F.pmod(F.xxhash64(g), F.lit(_SLOTS)).cast("int")
+        at = F.array_position(F.slice(hashes, F.get(starts, slot) + 1, F.get(starts, slot + 1) - F.get(starts, slot)), F.xxhash64(g))
+        return F.when(at > 0, F.get(starts, slot) + at.cast("int") - 1)
+
+    return F.filter(F.transform(gs, number), lambda x: x.isNotNull())
+
+
+def _neighbours(w: Column) -> Column:
+    """Word pairs and triples of an array of words."""
+    rest = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
     # zip_with pads the shorter side with null, and what is concatenated with null is null
-    own = own.withColumn("p2", pinned(F.zip_with("w", rest("w", 1), lambda a, b: F.concat(a, F.lit(" "), b))))
-    own = own.withColumn("p3", F.zip_with("p2", rest("w", 2), lambda a, b: F.concat(a, F.lit(" "), b)))
-    # both arrays are as long as the words, so places in them are places of words
-    hashes = F.transform(F.concat("p2", "p3"), lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
-    own = own.withColumn("m", F.size("w")).withColumn("grams", pinned(hashes)).drop("w", "p2", "p3")
-    own = own.withColumn("n_grams", pinned(F.size(F.array_compact(F.array_distinct("grams")))))
-    own = own.select("doc_id", "line", "n_grams", "m", F.posexplode("grams").alias("at", "gram"))
-    model = model_table(spark)
-    hits = own.join(F.broadcast(model.select("gram")), "gram").groupBy("doc_id", "line", "n_grams", "gram").agg(F.collect_list(F.col("at") % F.col("m")).alias("at"))
-    hits = hits.join(F.broadcast(model), "gram")
-
-    def windows(t):
-        """Windows of twice the template's words, one for each of its lengths, that hold the n-gram."""
-        at = F.transform("at", lambda p: F.floor(p / t["words"]).cast("int"))
-        return F.transform(F.array_union(at, F.transform(at, lambda k: k - 1)), lambda k: F.struct(t["family"].alias("family"), t["template"].alias("template"), k.alias("window"), t["size"].alias("size"), t["need"].alias("need"), F.lit(0.0).alias("weight"), F.lit(1).alias("inside")))
-
-    none = F.lit(-1)
-    whole = F.transform("families", lambda f: F.struct(f["family"].alias("family"), none.alias("template"), none.alias("window"), none.alias("size"), none.alias("need"), f["weight"].alias("weight"), f["inside"].alias("inside")))
-    parts = hits.select("doc_id", "line", "n_grams", F.explode(F.concat(whole, F.flatten(F.transform("templates", windows)))).alias("f"))
-    sums = parts.groupBy("doc_id", "line", "n_grams", "f.family", "f.template", "f.window", "f.size", "f.need").agg(F.sum("f.weight").alias("weight"), F.sum("f.inside").alias("inside"))
-    sums = sums.where((F.col("template") < 0) | (F.col("inside") >= F.col("need")))
-    base = F.when(F.col("family") == UNKNOWN, F.lit(bias[UNKNOWN])).otherwise(F.lit(0.0))
-    logit = sums.withColumn("logit", base + F.col("weight") / F.sqrt(F.col("n_grams").cast("double")))
-    per = logit.groupBy("doc_id", "line", "n_grams").agg(
-        F.collect_list(F.when(F.col("template") < 0, F.struct("logit", "family", "inside"))).alias("all"),
-        F.collect_list(F.when(F.col("template") >= 0, F.struct((F.col("inside") / F.col("size")).alias("share"), "family"))).alias("found"),
-    )
-    best = F.array_max("all")
-    z = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x["logit"] - best["logit"]))
-    out = per.select("doc_id", "line", "n_grams", "found", best.alias("best"), (F.lit(1.0) / z).alias("probability"))
-    family = F.when(F.col("probability") >= THRESHOLD, F.col("best.family")).otherwise(UNKNOWN)
-    out = out.withColumn("family", family).withColumn("coverage", F.when(family == UNKNOWN, 0.0).otherwise(F.col("best.inside") / F.col("n_grams")))
-    line = (F.col("family") != UNKNOWN) & (F.col("coverage") >= COVERAGE)
-    window = ~line & (F.size("found") > 0)
-    top = F.array_max("found")
-    families = F.array_sort(F.array_union(F.when(line, F.array("family")).otherwise(F.array().cast("array<string>")), F.transform("found", lambda x: x["family"])))
-    return out.select(
-        "doc_id", "line", "n_grams", F.when(window, top["family"]).otherwise(F.col("family")).alias("family"), "probability",
-        F.when(window, top["share"]).otherwise(F.col("coverage")).alias("coverage"), (line | window).alias("confirmed"), families.alias("families"),
-    )
+    pair = F.zip_with(w, rest(w), lambda a, b: F.concat(a, F.lit(" "), b))
+    triple = F.zip_with(pair, rest(rest(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.array_compact(F.concat(pair, triple)))
+
+
+def find_notices(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``notices``: for each passage with a cue, its paragraph, first word, likeliest class, probability of any family, and confirmed families.
+
+    A passage has a ``family`` if the probability reaches the fitted threshold, else ``unknown``; ``confirmed`` are the families of templates that it holds, in the order of their places,
+    if it isn't unknown. Null texts and texts without cues have none. Every column is kept; one named ``notices`` is replaced.
+    """
+    model, order = train(), _lookup()[0]
+    classes, n_classes = model.classes, len(model.classes)
+    weights = _table((repr(float(v)) for k in order for v in model.weights[k]), "double")
+    by_gram: dict[str, list[int]] = {}
+    n_templates = len(templates())
+    for k, (_, own, _, marks, _) in enumerate(templates()):
+        for g in own:
+            by_gram.setdefault(g, []).extend([k, k + n_templates] if g in marks else [k])
+    inside = [by_gram.get(model.grams[k], []) for k in order]
+    inside_starts = np.concatenate(([0], np.cumsum([len(x) for x in inside]))).tolist()
+    inside, inside_starts = _table((t for x in inside for t in x), "int"), _table(inside_starts, "int")
+    cue = f"(?<![a-z0-9])(?:{'|'.join(cues())})(?![a-z0-9])"
+
+    text = F.lower(F.col(text_col).cast("string"))
+    out = docs.drop("notices").withColumn("__ps", F.when(text.rlike(cue), F.filter(F.transform(F.split(text, "\\n[ \\t\\r\\f]*\\n", -1), lambda p, i: F.struct(i.alias("paragraph"), p.alias("p"))), lambda x: x["p"].rlike(cue))))
+
+    def passages(x: Column) -> Column:
+        w = F.filter(F.split(x["p"], "[^a-z0-9]+", -1), lambda v: v != "")
+        return F.struct(x["paragraph"].alias("paragraph"), w.alias("w"))
+
+    def cut(x: Column) -> Column:
+        half = PASSAGE // 2
+        at = F.filter(F.transform(x["w"], lambda v, i: F.when(v.isin(*cues()), F.floor(i / half).cast("int"))), lambda v: v.isNotNull())
+        # a passage starts at each half; the last start that still has words after its first half covers the end
+        last = F.greatest(F.ceil(F.size(x["w"]) / half).cast("int") - 2, F.lit(0))
+        starts = F.sort_array(F.array_distinct(F.flatten(F.transform(at, lambda k: F.array(F.least(k, last), F.greatest(F.least(k, last) - 1, F.lit(0)))))))
+        return F.transform(starts, lambda s: F.struct(x["paragraph"].alias("paragraph"), (s * half).alias("first_word"), _numbers(_neighbours(F.slice(x["w"], s * half + 1, F.lit(PASSAGE)))).alias("known")))
+
+    out = out.withColumn("__ps", pinned(F.transform("__ps", passages))).withColumn("__ps", pinned(F.flatten(F.transform("__ps", cut))))
+
+    def weigh(x: Column) -> Column:
+        total = lambda c: F.aggregate(x["known"], F.lit(0.0), lambda acc, k: acc + F.get(weights, k * n_classes + c))
+        logits = [(F.lit(float(model.bias[c])) + total(c)) / F.lit(model.temperature) for c in range(n_classes)]
+        held = F.flatten(F.transform(x["known"], lambda k: F.slice(inside, F.get(inside_starts, k) + 1, F.get(inside_starts, k + 1) - F.get(inside_starts, k))))
+        return F.struct(x["paragraph"].alias("paragraph"), x["first_word"].alias("first_word"), F.array(*logits).alias("logits"), held.alias("held"))
+
+    out = out.withColumn("__ps", pinned(F.transform("__ps", weigh)))
+
+    def judge(x: Column) -> Column:
+        top = F.array_max(F.slice(x["logits"], 1, n_classes - 1))
+        most = F.array_max(x["logits"])
+        z = F.aggregate(x["logits"], F.lit(0.0), lambda acc, v: acc + F.exp(v - most))
+        p = F.lit(1.0) - F.exp(F.get(x["logits"], n_classes - 1) - most) / z
+        family = F.when(p >= model.threshold, F.element_at(F.array(*map(F.lit, classes)), F.array_position(x["logits"], top).cast("int"))).otherwise(UNKNOWN)
+        holds = lambda k, least: F.size(F.filter(x["held"], lambda t: t == k)) >= least
+        # n-grams are in the order of the words, so a mark's place says which notice comes first
+        found = F.array(*[F.when(holds(k, need) & holds(k + n_templates, need_marks), F.struct(F.array_position(x["held"], k + n_templates).alias("at"), F.lit(f).alias("family"))) for k, (f, _, need, _, need_marks) in enumerate(templates())])
+        confirmed = F.when(p >= model.threshold, F.array_distinct(F.transform(F.array_sort(F.array_compact(found)), lambda f: f["family"]))).otherwise(F.array().cast("array<string>"))
+        return F.struct(x["paragraph"].alias("paragraph"), x["first_word"].alias("first_word"), family.alias("family"), p.alias("probability"), confirmed.alias("confirmed"))
+
+    return out.withColumn("notices", F.coalesce(pinned(F.transform("__ps", judge)), F.array())).drop("__ps")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's ``doc_id, license, licenses, n_license_lines, n_doubtful_lines, first_line``.
+    """Each row's ``doc_id, license, licenses, n_notices, n_doubtful, first_paragraph``.
 
-    ``licenses`` are the confirmed families, sorted, ``license`` the one of the first confirmed line (null: none);
-    ``n_doubtful_lines`` counts lines classified to a family but not confirmed. Null texts and texts without such lines have none. Rows that
-    repeat an id are one document, rows with a null id get no finding. Extra columns aren't read. An empty table gives no rows.
+    ``licenses`` are the confirmed families, sorted, ``license`` the first one (null: none);
+    ``n_notices`` counts passages with a confirmed family, ``n_doubtful`` those classified to a family but not confirmed. Null and empty texts have none. Each row is judged by
+    itself: repeated rows alike, null ids too. Extra columns aren't read. An empty table gives no rows. A text of any length is read whole; the work grows with its
+    passages that hold a cue.
     """
-    found = scan_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col("family") != UNKNOWN)
-    per = found.groupBy("doc_id").agg(
-        F.min(F.when(F.col("confirmed"), F.struct("line", "family"))).alias("first"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))).alias("licenses"),
-        F.countDistinct(F.when(F.col("confirmed"), F.col("line"))).alias("n"),
-        F.countDistinct(F.when(~F.col("confirmed"), F.col("line"))).alias("d"),
-    )
-    out = docs.select(F.col(id_col).alias("doc_id")).join(per, "doc_id", "left")
-    none = F.array().cast("array<string>")
+    found = find_notices(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    sure = F.filter("notices", lambda x: F.size(x["confirmed"]) > 0)
+    out = found.select("doc_id", pinned(sure).alias("sure"), pinned(F.size(F.filter("notices", lambda x: (x["family"] != UNKNOWN) & (F.size(x["confirmed"]) == 0)))).alias("d"))
+    first = F.get("sure", 0)
     return out.select(
-        "doc_id", F.col("first.family").alias("license"), F.coalesce("licenses", none).alias("licenses"), F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"),
-        F.coalesce("d", F.lit(0)).cast("long").alias("n_doubtful_lines"), F.col("first.line").cast("int").alias("first_line"),
+        "doc_id", F.get(first["confirmed"], 0).alias("license"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("sure", lambda x: x["confirmed"])))).alias("licenses"), F.size("sure").cast("long").alias("n_notices"),
+        F.col("d").cast("long").alias("n_doubtful"), first["paragraph"].alias("first_paragraph"),
     )

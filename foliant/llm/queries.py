@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate, license_scan, line_dedup, lm_score, near_dedup, packing, quality_rules, sharding, substring_dedup, url_filter
-from foliant.llm.common import read_table
+from foliant.llm.common import materialize, read_table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -20,7 +20,7 @@ def tokenizer_path() -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +50,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(quality_rules.ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "ledger")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.judge(quality_rules.ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = quality_rules.judge(_ledger(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablation(_ledger(spark, sf_dir))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
@@ -67,7 +75,7 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_lm_scoring, op4_license_scan, op5_best_fit_packing, op6_url_filter, op7_substring_dedup, op8_quality_rules, op9_benchmark_decontamination, op10_feistel_sharding)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_lm_scoring, op4_license_scan, op5_best_fit_packing, op6_url_filter, op7_substring_dedup, op8_quality_rules, op9_benchmark_decontamination, op10_feistel_sharding, quality_ablation)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,8 @@ import math
 import re
 import zlib
 
+import xxhash
+
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -14,11 +16,27 @@ def words(text):
     return SPACE_WORD.findall(text or "")
 
 
+def shingles(t, width=5):
+    w = words((t or "").translate(ASCII))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def near_rows(rows, percent=75):
+    """Component of each row where rows of one id with words are linked."""
+    own = [(d, shingles(t)) for d, t in rows]
+    group = list(range(len(rows)))
+    for i, (a, s) in enumerate(own):
+        for j, (b, t) in enumerate(own[:i]):
+            both = len(s & t)
+            if s and t and (a == b or (both and 100 * both >= percent * (len(s) + len(t) - both))):
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    least = {g: min(own[k][0] for k in range(len(rows)) if group[k] == g) for g in group}
+    return [(d, len(s), least[group[k]], least[group[k]] == d) for k, (d, s) in enumerate(own)]
+
+
 def near(docs, width=5, percent=75):
-    sets = {}
-    for d, t in docs:
-        w = words((t or "").translate(ASCII))
-        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    sets = {d: shingles(t, width) for d, t in docs}
     parent = {d: d for d in sets}
 
     def root(x):
@@ -39,19 +57,24 @@ def near(docs, width=5, percent=75):
 
 
 def substrings(docs, width=13):
+    """By id; of rows that repeat one the last."""
+    return dict(zip((d for d, _ in docs), substring_rows(docs, width), strict=True))
+
+
+def substring_rows(rows, width=13):
     first = {}
-    split = {d: words(t) for d, t in docs}
-    for d in sorted(split):
-        for i in range(len(split[d]) - width + 1):
-            first.setdefault(tuple(split[d][i : i + width]), d)
-    out = {}
-    for d, w in split.items():
+    split = [(d, words(t)) for d, t in rows]
+    for d, w in sorted(split, key=lambda x: x[0]):
+        for i in range(len(w) - width + 1):
+            first.setdefault(tuple(w[i : i + width]), d)
+    out = []
+    for d, w in split:
         gone = [False] * len(w)
         for i in range(len(w) - width + 1):
             if first[tuple(w[i : i + width])] < d:
                 gone[i : i + width] = [True] * width
         kept = [x for x, g in zip(w, gone) if not g]
-        out[d] = (len(w), sum(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+        out.append((len(w), sum(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return out
 
 
@@ -186,3 +209,31 @@ def notices(text, model, templates, cues, passage):
                 found += [held] if held else []
                 doubtful += not held and bool(set(part) & set(cues))
     return sorted(set().union(*found)), len(found), doubtful
+
+
+def places(n, seed, rounds=4):
+    """Place of each of n rows under a Feistel network with cycle walking, with Spark's xxhash64 as its round function."""
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = max(1, -(-n // a))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chain(*values):
+        h = 42
+        for size, v in values:
+            h = xxhash.xxh64_intdigest((v % (1 << 8 * size)).to_bytes(size, "little"), seed=h)
+        return signed(h)
+
+    def once(v):
+        left, right = (0, v) if a == 1 else divmod(v, b)
+        for i in range(1, rounds + 1):
+            left = (left + chain((4, seed), (4, i), (4, 0), (8, right)) % a) % a
+            right = (right + chain((4, seed), (4, i), (4, 1), (8, left)) % b) % b
+        return left * b + right
+
+    out = []
+    for x in range(n):
+        v = once(x)
+        while v >= n:
+            v = once(v)
+        out.append(v)
+    return out
