@@ -26,10 +26,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the smallest, and one row of each id; rows without an id stay."""
-    groups = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # the join has brought the rows of an id together
-    return docs.where("doc_id is null").unionByName(docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One text of each group of similar ones, the smallest by id, and one row of each equal (id, text); rows without an id stay."""
+    groups = near_dedup.near_duplicates(docs, one_document=False).where("chosen and doc_id is not null").select("doc_id", F.col("text_hash").alias("__hash")).distinct()
+    # the join has brought the rows of an id and text together
+    marked = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    chosen = marked.join(groups, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return docs.where("doc_id is null").unionByName(chosen.select(*docs.columns))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
