@@ -36,6 +36,8 @@ DISCOUNT = 0.5
 BLOCK, BUCKET = 1_500_000, 3_000_000
 #: A sequence is told by so many bits more than the corpus' number of words has, up to 64.
 SPARE_BITS = 26
+#: Scales of states (log10) are whole numbers of such parts.
+STEPS = 1 << 16
 END = b"\n"
 HELD_OUT, FOLDS = 1, 5
 _BLOCKS = "block long, size long, train long, payload binary"
@@ -180,7 +182,7 @@ class Replay:
         """Score places under contexts of d words that are states."""
         at, used = self._contexts(d)
         scale = np.full(len(used), np.nan)
-        scale[used] = np.concatenate([np.zeros(0), *(unplane(data, "<f4", n) for n, data in answers)])
+        scale[used] = decoded(np.concatenate([np.zeros(0, np.int64), *(unplane(data, "<i8", n) for n, data in answers)]))
         scale = scale[self.which[d][at - 1]]
         at, scale = at[~np.isnan(scale)], scale[~np.isnan(scale)]
         c, n = self.counts[d + 1][at], self.counts[d][at - 1]
@@ -233,7 +235,7 @@ def settle(packed: list, plan: Plan) -> Iterator[tuple[int, int, int, bytes]]:
         else:
             n = np.maximum.reduceat(columns[0][order], first)
             seen, size, theirs, gain = (np.add.reduceat(c[order], first) for c in columns[1:])
-            answer = states(n, seen, size, theirs, gain).astype(np.float32)[run]
+            answer = coded(states(n, seen, size, theirs, gain))[run]
         edges = np.cumsum([0, *(r[3] for r in own)]).tolist()
         for r, s, e in zip(own, edges, edges[1:], strict=False):
             yield r[1], kind, r[3], planes(answer[s:e])
@@ -253,6 +255,15 @@ def states(n: np.ndarray, seen: np.ndarray, size: np.ndarray, theirs: np.ndarray
         return np.where(kept, np.log10(rest / rest_parent), np.nan)
 
 
+def coded(scale: np.ndarray) -> np.ndarray:
+    """Scales as whole numbers of three bytes: ``STEPS`` to one, from -16 to 16, 0 where there is none."""
+    return np.where(np.isnan(scale), 0, np.rint(np.nan_to_num(scale) * STEPS) + 16 * STEPS).astype(np.int64)
+
+
+def decoded(x: np.ndarray) -> np.ndarray:
+    return np.where(x == 0, np.nan, x / STEPS - 16)
+
+
 def _grouped(rows: DataFrame, by: str, parts: int, fn: Callable, schema: str) -> DataFrame:
     """Apply ``fn`` to all rows of each bucket or block at once."""
     place = rows.columns.index(by)

@@ -156,8 +156,8 @@ def packed(docs, tokenizer, capacity=4096):
     return out
 
 
-def tree_scores(docs, depth, least=2, discount=0.5):
-    """log10 probability of each text under a suffix tree, by plain counting of all sequences."""
+def tree_scores(docs, depth, least=2, discount=0.5, steps=1 << 16):
+    """log10 probability of each text under a suffix tree, by plain counting of all sequences; states' scales are rounded to ``steps`` (0: not)."""
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs}
     split = {d: (*words((t or "").translate(ASCII)), None) for d, t in docs}
     counts = {}
@@ -190,7 +190,7 @@ def tree_scores(docs, depth, least=2, discount=0.5):
         left = n - sum(own.values())
         gain = sum(c * math.log(c / n / theirs[s]) for s, c in own.items()) + (left * math.log(left / n / rest_parent) if left else 0)
         if gain > len(own) * (1 + math.log(n)) / 2 + 4:
-            states[context] = rest / rest_parent
+            states[context] = 10 ** (round(math.log10(rest / rest_parent) * steps) / steps) if steps else rest / rest_parent
     return {d: sum(math.log10(p(w[max(0, i - depth) : i], w[i])) for i in range(len(w))) for d, w in split.items()}, states, p, [k[0] for k in single]
 
 
