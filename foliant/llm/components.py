@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize
+from foliant.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,8 +26,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             labels = into.select("node", F.col("into").alias("label"))
         else:
             labels = materialize(labels.join(into.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+        old = left
         moved = left.join(into.toDF("hi", "x"), "hi").join(into.toDF("lo", "y"), "lo").where("x <> y")
         left = materialize(moved.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "edges")
+        discard(old)
     if labels is None:
         return left.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     smallest = labels.groupBy("label").agg(F.min("node").alias("component"))

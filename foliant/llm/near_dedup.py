@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordHashes, as_bytes, map_arrow, materialize, mix, partitions, split_words, windows
+from foliant.llm.common import WordHashes, as_bytes, discard, map_arrow, materialize, mix, partitions, split_words, windows
 from foliant.llm.components import connected_components
 
 REGISTERS, ROWS = 128, 4
@@ -222,7 +222,8 @@ def _exact_links(groups: DataFrame, texts: DataFrame, width: int, percent: int)
 def _texts(rows: DataFrame, first: DataFrame) -> DataFrame:
     """``node, text`` of classes, from the row that is each class's first: rows that have its id and hash have its text."""
     found = rows.join(first.select("node", "first.doc_id", "first.text_hash"), ["doc_id", "text_hash"])
-    return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # grouped as they are joined: texts travel once
+    return materialize(found.groupBy("doc_id", "text_hash").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "texts")
 
 
 def _own_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -285,7 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(nodes.toDF("b", "nb", "rb"), "b").join(nodes.toDF("a", "na", "ra"), "a").select("a", "b", "na", "nb", "ra", "rb")
     texts = _texts(_rows(docs, id_col, text_col), classes.join(members.select("node").distinct(), "node", "left_semi"))
-    links = _verify(materialize(_plausible_pairs(stars, percent), "stars"), texts, width, percent)
+    pairs = materialize(_plausible_pairs(stars, percent), "stars")
+    links = _verify(pairs, texts, width, percent)
+    discard(pairs)
     components = connected_components(links.unionAll(_own_links(some.select("doc_id", "digest"), classes)) if one_document else links)
 
     # buckets that still hold several components: tie what may be similar into groups, then compare each group's components on full sets
@@ -309,6 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classes.select("node", "digest", "first").join(components, "node")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     by_class = materialize(linked.join(least, "component").select("digest", "least"), "linked").withColumnRenamed("digest", "__digest")
+    discard(members, named, texts, ties)
     alone = classes.select(F.col("digest").alias("__digest"), F.col("first").alias("least")).join(by_class, "__digest", "left_anti")
     out = rows.join(by_class.unionByName(alone), (F.col("digest") == F.col("__digest")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     own = F.struct("doc_id", "text_hash")
