@@ -137,6 +137,11 @@ def digest(lines: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(lines), "\n"), 256)
 
 
+def row_digest(line: Column) -> Column:
+    """Aggregate: order-insensitive digest of lines, the sum of 60 bits of each one's SHA-256, as text. No rows are gathered."""
+    return F.sum(F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def toc_items(text: Column, separator: str = "\\s+[–—]\\s+", item: str = "^(\\d+(?:\\.\\d+)*)\\.\\s*(.+?)\\s*$") -> Column:
     """Summary items ``array<struct<number, title>>`` of a text split on dashes; null unless every part is an item."""
     parts = F.filter(F.split(strip(text), separator, -1), lambda x: x != "")

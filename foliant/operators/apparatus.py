@@ -22,19 +22,35 @@ def bind_preceding(rows: DataFrame, is_target: Column, keys: list[str], order: s
     return rows.withColumn("bound", F.last(F.when(is_target, F.col(target)), ignorenulls=True).over(w)).where(~is_target)
 
 
+SCOPES = ("HEADING_1", "HEADING_2")
+
+
+def with_scopes(nodes: DataFrame, categories: tuple[str, ...] = SCOPES) -> DataFrame:
+    """Nodes of a forest (``ord`` in pre-order, ``depth``) with ``scopes``: the ids of their ancestors of some categories, the nearest last.
+
+    A node stands once for each depth above its own, where its ancestor is the last node of that depth: windows by document and depth.
+    """
+    at = nodes.select(F.struct(*nodes.columns).alias("__row"), "doc_id", "ord", "depth", "node_id", "category", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("__level"))
+    upto = Window.partitionBy("doc_id", "__level").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    above = F.last(F.when(F.col("depth") == F.col("__level"), F.struct("node_id", "category")), ignorenulls=True).over(upto)
+    at = at.withColumn("__a", above).withColumn("__scope", F.when((F.col("__level") < F.col("depth")) & F.col("__a.category").isin(*categories), F.struct("__level", "__a.node_id")))
+    by = at.groupBy("doc_id", "ord").agg(F.first("__row").alias("__row"), F.transform(F.array_sort(F.collect_list("__scope")), lambda s: s["node_id"]).alias("scopes"))
+    return by.select("__row.*", "scopes")
+
+
 def bind_cross_references(nodes: DataFrame) -> DataFrame:
     """``doc_id, src_node_id, n, target_node_id, warning``: the nearest preceding note of the same number within scope.
 
     A reference's scope is the subtree of its nearest HEADING_1 or HEADING_2 ancestor, the document without one; a note lies in the scope of each such
     ancestor. So notes are repeated for each scope they lie in (at most two levels deep and the document), and references meet
-    them in one window by (document, scope, number). Nodes need ``scopes``: their scoping ancestors' ids, the nearest last.
+    them in one window by (document, scope, number). Nodes need ``scopes``, as ``with_scopes`` gives them.
     """
     marked = with_markers(nodes).where("category in ('NOTE', 'CROSS_REFERENCE')")
     notes = marked.where("category = 'NOTE' and n is not null").withColumn("scope", F.explode(F.concat(F.array(F.lit("")), "scopes")))
     refs = marked.where("category = 'CROSS_REFERENCE'").withColumn("scope", F.coalesce(F.try_element_at("scopes", F.lit(-1)), F.lit("")))
     bound = bind_preceding(notes.unionByName(refs), F.col("category") == "NOTE", ["doc_id", "scope", "n"], "ord", "node_id")
     target = F.when(F.col("n").isNotNull(), F.col("bound"))
-    warning = F.when(F.col("n").isNull(), F.concat(F.lit("apparatus:reference_without_number_"), "node_id")).when(target.isNull(), F.concat(F.lit("apparatus:reference_unbound_"), "node_id"))
+    warning = F.when(F.col("n").isNull(), F.concat(F.lit("unparseable_cross_reference_node_"), "node_id")).when(target.isNull(), F.concat(F.lit("unresolved_cross_reference_node_"), "node_id", F.lit("_n_"), "n"))
     return bound.select("doc_id", F.col("node_id").alias("src_node_id"), "n", target.alias("target_node_id"), warning.alias("warning"))
 
 

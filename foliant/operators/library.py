@@ -62,3 +62,13 @@ def bookmarks(documents: DataFrame, column: str = "bookmarks") -> DataFrame:
 
 def underlined(underlines: DataFrame, segment: str) -> DataFrame:
     return underlines.where(F.array_contains("segment_ids", segment))
+
+
+#: Orders of a library: by title, last opened first (never opened last), newest import first. Ties by id.
+ORDERS = {"title": ("title_key",), "opened": ("-last_opened_at",), "imported": ("-imported_at",)}
+
+
+def sort_documents(documents: DataFrame, by: str = "title") -> DataFrame:
+    """Documents in one of the library's orders."""
+    keys = [F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc(F.lower("title")) for k in ORDERS[by]]
+    return documents.orderBy(*keys, "id")

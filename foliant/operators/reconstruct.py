@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import heading_kind, note_length
-from foliant.schemas import NODES
 
 #: A continuation starts in this top share of its page; limits of heading fusion.
 TOP_SHARE = 0.12
@@ -82,74 +81,72 @@ def assemble(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A heading of level L hangs below the entry L - 1 of the stack and cuts the stack there; one that skips levels is a root with a warning.
     Bodies hang below the heading, article bodies below the article, the rest below the article, else the heading. As
-    items may attach to an earlier parent, pre-order (``ord``) is found from the finished forest. Sequential, so by document in pandas.
+    items may attach to an earlier parent, pre-order (``ord``) is that of the paths from the roots.
+
+    The stack is windows over the document. The k-th heading of a document stands at place min(its level, the place before + 1), which is k plus the running minimum of level - k;
+    the entry at a place is the last heading there; and a heading is no orphan exactly if its place is its level. Levels have one digit, so there are nine places.
     """
-    nodes = NODES.replace("items array<struct<number:string,title:string>>, toc_items array<struct<number:string,title:string,page_number:int>>, ", "") + ", warning string"
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, stack, article = [], [], None
-        for k, r in enumerate(pdf.sort_values("ord").to_dict("records")):
-            node, category, warning, level = f"node_{k:04d}", r["category"], None, None
-            parent = stack[-1] if stack else None
-            if category.startswith("HEADING_") and category[-1].isdigit():
-                level = int(category[-1])
-                if level == 1:
-                    parent = None
-                elif len(stack) >= level - 1:
-                    parent = stack[level - 2]
-                else:
-                    parent, warning = None, f"reconstruct:orphan_heading_level_{level}_page_{r['page']}"
-                stack[level - 1 :] = [node]
-                article = None
-            elif category == "ARTICLE_HEADER":
-                article = node
-            elif category == "ARTICLE_BODY":
-                if article:
-                    parent = article
-                else:
-                    warning = f"reconstruct:orphan_article_body_page_{r['page']}"
-            elif category not in CHILD_OF_HEADING:
-                parent = article or parent
-            rows.append({"doc_id": r["doc_id"], "node_id": node, "parent_id": parent, "category": category, "page_index": r["page"], "text": r["text"], "level": level, "block_indices": r["block_indices"], "length_category": None, "warning": warning})
-        children: dict = {}
-        for r in rows:
-            children.setdefault(r["parent_id"], []).append(r)
-        ord_, todo = 0, [(r, 0, i) for i, r in reversed(list(enumerate(children.get(None, []))))]
-        while todo:
-            r, depth, i = todo.pop()
-            r |= {"ord": ord_, "depth": depth, "sibling_idx": i}
-            ord_ += 1
-            todo += [(c, depth + 1, j) for j, c in reversed(list(enumerate(children.get(r["node_id"], []))))]
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in nodes.split(", ")])
-        return frame.astype({"level": "Int32", "ord": "Int32", "depth": "Int32", "sibling_idx": "Int32", "page_index": "Int32"})
-
-    built = items.groupBy("doc_id").applyInPandas(build, nodes)
-    built = built.withColumn("length_category", F.when(F.col("category") == "NOTE", note_length(F.col("text"))))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
-    warnings = built.where("warning is not null").select("doc_id", seq.alias("seq"), F.col("warning").alias("text"))
+    w = Window.partitionBy("doc_id").orderBy("__k")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    level = F.when(F.col("category").rlike("^HEADING_[0-9]$"), F.substring("category", -1, 1).cast("int"))
+    rows = items.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).withColumn("level", level)
+    rows = rows.withColumn("__h", F.count("level").over(upto))
+    place = F.greatest(F.least(F.col("__h") + F.min(F.col("level") - F.col("__h")).over(upto), F.col("__h")), F.lit(1))
+    rows = rows.withColumn("__place", F.when(F.col("level").isNotNull(), place)).withColumn("__orphan", F.col("level").isNotNull() & (F.col("level") > F.col("__place")))
+    own = F.array("__k")
+    rows = rows.withColumn("__path", F.when(F.col("level").isNotNull(), own))
+    for k in range(2, 10):
+        above = F.last(F.when(F.col("__place") == k - 1, F.col("__path")), ignorenulls=True).over(before)
+        rows = rows.withColumn("__path", F.when((F.col("__place") == k) & ~F.col("__orphan"), F.concat(above, own)).otherwise(F.col("__path")))
+    rows = rows.withColumn("__heading", F.last("__path", ignorenulls=True).over(before))
+    article = F.last(F.when(F.col("category") == "ARTICLE_HEADER", F.col("__k")).when(F.col("level").isNotNull(), F.lit(-1)), ignorenulls=True).over(before)
+    rows = rows.withColumn("__article", F.when(article >= 0, F.concat(F.coalesce("__heading", F.array().cast("array<int>")), F.array(article))))
+    heading, below = F.coalesce("__heading", F.array().cast("array<int>")), ["ARTICLE_HEADER", *CHILD_OF_HEADING]
+    parent = F.when(F.col("category").isin(*below), heading).otherwise(F.coalesce("__article", heading))
+    rows = rows.withColumn("__path", F.coalesce("__path", F.concat(parent, own)))
+    lost = (F.col("category") == "ARTICLE_BODY") & F.col("__article").isNull()
+    warning = F.when(F.col("__orphan"), F.concat(F.lit("reconstruct:orphan_heading_level_"), "level", F.lit("_page_"), "page")).when(lost, F.concat(F.lit("reconstruct:orphan_article_body_page_"), "page"))
+    above = F.try_element_at("__path", F.lit(-2))
+    node = lambda k: F.format_string("node_%04d", k)
+    built = rows.select(
+        "doc_id", node("__k").alias("node_id"), F.when(above.isNotNull(), node(above)).alias("parent_id"),
+        (F.row_number().over(Window.partitionBy("doc_id").orderBy("__path")) - 1).alias("ord"), (F.size("__path") - 1).alias("depth"),
+        (F.row_number().over(Window.partitionBy("doc_id", above).orderBy("__k")) - 1).alias("sibling_idx"), "category", F.col("page").cast("int").alias("page_index"), "text", "level", "block_indices",
+        F.when(F.col("category") == "NOTE", note_length(F.col("text"))).alias("length_category"), warning.alias("warning"),
+    )
+    warnings = built.where("warning is not null").select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).alias("seq"), F.col("warning").alias("text"))
     return built.drop("warning"), warnings
 
 
 def subtree_end(nodes: DataFrame) -> DataFrame:
     """Nodes with the pre-order number of the last node of their subtree: the one before the next node that isn't deeper.
 
-    The next such node is found level by level as the least later ``ord`` of any depth up to one's own.
+    A node closes the open nodes of its own depth and of every deeper one that the node before it left open, so over a document there are as many closings as nodes, and at each depth
+    nodes and closings take turns: a node's subtree ends before the row that follows it among its depth's. Windows by document and depth, at any depth.
     """
-    levels = 16  # forests here have at most a handful of levels; deeper ones go on by the recursion below
-    w = Window.partitionBy("doc_id").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = [F.last(F.when(F.col("depth") == d, F.col("ord")), ignorenulls=True).over(w) for d in range(levels)]
-    out = nodes.withColumn("__next", F.array(*nexts)).withColumn("__count", F.max("ord").over(Window.partitionBy("doc_id")))
-    following = F.array_min(F.slice("__next", F.lit(1), F.least(F.col("depth") + 1, F.lit(levels))))
-    return out.withColumn("subtree_end", F.coalesce(following - 1, F.col("__count"))).drop("__next", "__count")
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    before, last = F.lag("depth").over(w), F.max("ord").over(Window.partitionBy("doc_id"))
+    closed = F.when(before >= F.col("depth"), F.sequence("depth", before)).otherwise(F.array().cast("array<int>"))
+    row = F.struct(*nodes.columns)
+    event = lambda depth, is_node: F.struct(depth.cast("int").alias("depth"), F.lit(is_node).alias("is_node"))
+    events = nodes.select(row.alias("__row"), "doc_id", "ord", last.alias("__last"), F.concat(F.transform(closed, lambda d: event(d, False)), F.array(event(F.col("depth"), True))).alias("__e"))
+    events = events.select("doc_id", "ord", "__last", "__row", F.explode("__e").alias("__e")).select("doc_id", "ord", "__last", F.when(F.col("__e.is_node"), F.col("__row")).alias("__row"), "__e.depth", "__e.is_node")
+    # at one place the closing comes before the node
+    following = F.lead("ord").over(Window.partitionBy("doc_id", "depth").orderBy("ord", "is_node"))
+    out = events.withColumn("subtree_end", F.coalesce(following - 1, F.col("__last"))).where("is_node")
+    return out.select("__row.*", "subtree_end")
 
 
 def outline_ranges(nodes: DataFrame) -> DataFrame:
-    """First and last page of each heading's subtree, over a self-join on pre-order ranges within a document."""
-    marked = subtree_end(nodes)
-    head = marked.where(F.col("category").startswith("HEADING_")).select("doc_id", "node_id", "depth", "category", F.col("text").alias("title"), F.col("ord").alias("lo"), F.col("subtree_end").alias("hi"))
-    pages = nodes.select("doc_id", "ord", "page_index")
-    near = head.join(pages, "doc_id").where("ord between lo and hi")
-    return near.groupBy("doc_id", "node_id", "depth", "category", "title", "lo").agg(F.min("page_index").alias("first_page"), F.max("page_index").alias("last_page"))
+    """First and last page of each heading's subtree: ``doc_id, node_id, depth, category, title, lo, first_page, last_page``.
+
+    Each node stands once at its own depth and at each smaller one, where the last node of that depth is its ancestor: rows grow with depth, not with headings times nodes.
+    """
+    at = nodes.select("doc_id", "node_id", "depth", "category", "text", "ord", "page_index", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("__level"))
+    own = F.struct("node_id", "depth", "category", F.col("text").alias("title"), F.col("ord").alias("lo"))
+    upto = Window.partitionBy("doc_id", "__level").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    above = at.select("doc_id", "page_index", F.last(F.when(F.col("depth") == F.col("__level"), own), ignorenulls=True).over(upto).alias("__a")).where(F.col("__a.category").startswith("HEADING_"))
+    return above.groupBy("doc_id", "__a").agg(F.min("page_index").alias("first_page"), F.max("page_index").alias("last_page")).select("doc_id", "__a.*", "first_page", "last_page")
 
 
 def pair_chapters(items: DataFrame, number: str = "(?i)^capitolo\\s+[ivxlcdm\\d]+\\.?$") -> DataFrame:

@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions import ocr
 from foliant.functions.text import NOTE_MARKER, note_length
 from foliant.operators.reconstruct import islands, join_text
+from foliant.session import settle
 
 #: Letters of hyphenated halves, the two hyphens, markers of a chain of marginal headings.
 HYPHENATION = "([a-zA-Zàèéìòù]+)[-­]\n([a-zA-Zàèéìòù]+)"
-HYPHENATION_OCR = "([0-9a-zA-Zàèéìòù]+)[-­]\n?([0-9a-zA-Zàèéìòù]+)"
+HYPHENATION_OCR = "([a-zA-Zàèéìòù0-9]+)[-­]\n?([a-zA-Zàèéìòù0-9]+)"
 TRAILING, LEADING = "\\s*(?:\\.\\.\\.|…)\\s*$", "^\\s*(?:\\.\\.\\.|…)\\s*"
-#: Pairs of strings that scans take for each other, either way.
-CONFUSIONS = (("l", "1"), ("l", "I"), ("o", "0"), ("rn", "m"), ("c", "e"), ("u", "n"), ("fi", "h"), ("li", "h"), ("cl", "d"), ("s", "5"), ("b", "6"), ("g", "9"))
-LEAST_TOKEN, DEPTH = 4, 2
-
 _EDITS = "array<struct<start:int,end:int,original:string,normalized:string>>"
 
 
@@ -36,35 +34,112 @@ def dehyphenate(nodes: DataFrame, lexicon: DataFrame, step_id: str = "dehyphenat
     The lexicon (``word``, lower case) meets the distinct candidates in a semi join, so it may be of any size. Offsets in the log are of the text before the step.
     Other notes' length classes are found anew.
     """
-    known = _halves(nodes, pattern).withColumn("word", F.lower("joined")).join(lexicon.select("word").distinct(), "word", "left_semi")
-    allowed = known.groupBy("doc_id", "node_id").agg(F.collect_set("original").alias("__ok"))
+    found = _halves(nodes, pattern).withColumn("word", F.lower("joined")).join(lexicon.select("word").distinct(), "word", "left_semi")
+    return _apply(nodes, found.select("doc_id", "node_id", "original", F.col("joined").alias("normalized")), pattern, step_id)
+
+
+def _apply(nodes: DataFrame, fixes: DataFrame, pattern: str, step_id: str, more: Callable[[str], list[tuple[int, int, str]]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose matches of a pattern are replaced as ``fixes`` (``doc_id, node_id, original, normalized``) say, and the log of edits.
+
+    ``more`` gives further (start, end, replacement) of a text, which come first where they overlap; every node is then looked at.
+    """
+    by_node = fixes.groupBy("doc_id", "node_id").agg(F.map_from_entries(F.collect_set(F.struct("original", "normalized"))).alias("__fix"))
     matcher = re.compile(pattern)
 
     @F.pandas_udf(f"struct<text:string,edits:{_EDITS}>")
-    def join(text: pd.Series, ok: pd.Series) -> pd.DataFrame:
+    def rewrite(text: pd.Series, fix: pd.Series) -> pd.DataFrame:
         texts, logs = [], []
-        for t, allowed_here in zip(text, ok, strict=True):
-            edits, out, last = [], [], 0
-            for m in matcher.finditer(t or "") if allowed_here is not None and len(allowed_here) else ():
-                if m.group() in allowed_here:
-                    word = re.sub("[-­]\n?", "", m.group())
-                    edits.append({"start": m.start(), "end": m.end(), "original": m.group(), "normalized": word})
-                    out += [t[last : m.start()], word]
-                    last = m.end()
+        for t, known in zip(text, fix, strict=True):
+            known = dict(known) if known is not None else {}
+            edits = [(a, b, x) for a, b, x in (more(t) if more and t else [])]
+            taken = sorted((a, b) for a, b, _ in edits)
+            for m in matcher.finditer(t or "") if known else ():
+                if m.group() in known and not any(a < m.end() and m.start() < b for a, b in taken):
+                    edits.append((m.start(), m.end(), known[m.group()]))
+            edits.sort()
+            out, last = [], 0
+            for a, b, x in edits:
+                out += [t[last:a], x]
+                last = b
             texts.append("".join([*out, t[last:]]) if edits else t)
-            logs.append(edits)
+            logs.append([{"start": a, "end": b, "original": t[a:b], "normalized": x} for a, b, x in edits])
         return pd.DataFrame({"text": texts, "edits": logs})
 
-    out = nodes.join(allowed, ["doc_id", "node_id"], "left")
-    touched = out.where("__ok is not null").withColumn("__r", join("text", "__ok"))
-    log = touched.select("doc_id", "node_id", "page_index", F.posexplode("__r.edits").alias("seq", "e")).select("doc_id", F.lit(step_id).alias("step_id"), "node_id", "page_index", "seq", "e.*")
-    new = touched.withColumn("text", F.col("__r.text")).withColumn("length_category", F.when(F.col("category") == "NOTE", note_length(F.col("text"))))
-    return out.where("__ok is null").drop("__ok").unionByName(new.drop("__ok", "__r")), log
+    out = nodes.join(by_node, ["doc_id", "node_id"], "left")
+    touched = F.col("__fix").isNotNull() if more is None else F.col("text").isNotNull() & F.col("category").isin(*ocr.TEXT_CATEGORIES)
+    done = out.withColumn("__r", F.when(touched, rewrite("text", "__fix")))
+    log = done.where(F.size("__r.edits") > 0).select("doc_id", "node_id", "page_index", F.posexplode("__r.edits").alias("seq", "e")).select("doc_id", F.lit(step_id).alias("step_id"), "node_id", "page_index", "seq", "e.*")
+    changed = F.coalesce(F.size("__r.edits") > 0, F.lit(False))
+    new = F.when(changed, F.col("__r.text")).otherwise(F.col("text"))
+    length = F.when(changed & (F.col("category") == "NOTE"), note_length(new)).otherwise(F.col("length_category"))
+    return done.select(*[{"text": new, "length_category": length}.get(c, F.col(c)).alias(c) for c in nodes.columns]), log
+
+
+def dehyphenate_ocr(nodes: DataFrame, lexicon: DataFrame, step_id: str = "dehyphenate_ocr_aggressive") -> tuple[DataFrame, DataFrame]:
+    """As ``dehyphenate``, for scans: halves may hold digits, the line's end may be lost, and a whole word that isn't in the lexicon may be corrected into it.
+
+    Pairs of numbers, halves of one letter after the hyphen, and words that keep theirs are left alone. Case is that of the two halves.
+    """
+    both = _halves(nodes, HYPHENATION_OCR).withColumn("before", F.regexp_extract("original", HYPHENATION_OCR, 1)).withColumn("after", F.regexp_extract("original", HYPHENATION_OCR, 2))
+    kept = F.concat_ws("-", F.lower("before"), F.lower("after")).isin(*["-".join(p) for p in ocr.KEPT_HYPHENS])
+    numbers = F.col("before").rlike("^[0-9]+$") & F.col("after").rlike("^[0-9]+$")
+    both = both.where((F.length("after") >= ocr.LEAST_AFTER_HYPHEN) & ~numbers & ~kept).withColumn("word", F.lower("joined"))
+    known = lexicon.select(F.lower("word").alias("word")).distinct()
+    words = both.select("word").distinct()
+    right = words.join(known, "word", "left_semi").select("word", F.col("word").alias("correction"))
+    fixed = correct_tokens(words.select(F.col("word").alias("token")), lexicon).withColumnRenamed("token", "word")
+    fixes = both.join(right.unionByName(fixed), "word").select("doc_id", "node_id", "original", _like("joined", "correction").alias("normalized"))
+    return _apply(nodes, fixes, HYPHENATION_OCR, step_id)
+
+
+def _like(template: str, word: str):
+    @F.pandas_udf("string")
+    def run(t: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([ocr.like(a, b) for a, b in zip(t, w, strict=True)])
+
+    return run(F.col(template), F.col(word))
+
+
+_REWRITES = [(re.compile(p), x) for p, x in ocr.REWRITES]
+
+
+def rewrites(text: str) -> list[tuple[int, int, str]]:
+    """Places that the fixed rewrites and section labels change: from the left, the longest first, none over another."""
+    found = [(m.start(), m.end(), m.expand(x)) for p, x in _REWRITES for m in p.finditer(text) if m.expand(x) != m.group()]
+    found.sort(key=lambda e: (e[0], e[0] - e[1]))
+    labels = []
+    for read, printed in ocr.MARKERS:
+        at = text.find(read)
+        while at >= 0:
+            labels.append((at, at + len(read), printed))
+            at = text.find(read, at + len(read))
+    labels.sort(key=lambda e: (e[0], e[0] - e[1]))
+    out: list[tuple[int, int, str]] = []
+    for own in (found, labels):
+        for a, b, x in own:
+            if not any(s < b and a < e for s, e, _ in out):
+                out.append((a, b, x))
+    return sorted(out)
+
+
+def normalize_ocr(nodes: DataFrame, lexicon: DataFrame, step_id: str = "normalize_ocr_with_dictionary") -> tuple[DataFrame, DataFrame]:
+    """Misread words, section labels and signs of scanned text, and the log of edits.
+
+    Rewrites in context and labels come first; other words that the lexicon lacks become the one word of it that is fewest substitutions away, in their own case.
+    Distinct words meet the lexicon in joins.
+    """
+    words = nodes.where(F.col("text").isNotNull() & F.col("category").isin(*ocr.TEXT_CATEGORIES)).select("doc_id", "node_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ocr.TOKEN})"), F.lit(1)))).alias("original"))
+    words = words.where(~F.col("original").rlike("^[0-9]+$")).withColumn("token", F.lower("original"))
+    fixes = words.join(correct_tokens(words.select("token"), lexicon), "token").select("doc_id", "node_id", "original", _like("original", "correction").alias("normalized")).where("original <> normalized")
+    return _apply(nodes, fixes, ocr.TOKEN, step_id, rewrites)
 
 
 def replay(nodes: DataFrame, log: DataFrame) -> DataFrame:
-    """Texts before a step: its edits undone from left to right, each found by the offsets of the text before."""
-    edits = log.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "original", "normalized"))).alias("__e"))
+    """Texts before a step: its edits undone from left to right, each found by the offsets of the text before.
+
+    Steps that join texts log an empty ``original`` at the end of the first part for each part added, in order (``seq``).
+    """
+    edits = log.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("start", "seq", "end", "original", "normalized"))).alias("__e"))
     undo = F.aggregate("__e", F.col("text"), lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["original"], t.substr(e["start"] + F.length(e["normalized"]) + 1, F.length(t))))
     return nodes.join(edits, ["doc_id", "node_id"], "left").withColumn("text", F.when(F.col("__e").isNotNull(), undo).otherwise(F.col("text"))).drop("__e")
 
@@ -72,49 +147,61 @@ def replay(nodes: DataFrame, log: DataFrame) -> DataFrame:
 def merge_cross_page_notes(notes: DataFrame, strict_gap: bool = True) -> tuple[DataFrame, DataFrame]:
     """The first note of a page joins the note before it when it has no marker (and, with ``strict_gap``, its page is the next one).
 
-    ``notes``: ``doc_id, ord, node_id, page_index, text``. Returns merged notes, and a log row for each join: ``start`` is the
-    length of the text it was added to, so it is undone from the last to the first.
+    ``notes``: ``doc_id, ord, node_id, page_index, text``. Returns merged notes, and a log row for each join that ``replay`` undoes.
     """
     w, page = Window.partitionBy("doc_id").orderBy("ord"), Window.partitionBy("doc_id", "page_index").orderBy("ord")
     marked = notes.withColumn("__first", F.row_number().over(page) == 1).withColumn("__gap", F.col("page_index") - F.lag("page_index").over(w))
     joins = F.col("__first") & ~F.col("text").rlike(NOTE_MARKER) & ((F.col("__gap") == 1) if strict_gap else (F.col("__gap") >= 1))
     runs = islands(marked, ["doc_id"], ["ord"], F.coalesce(joins, F.lit(False)))
     run = Window.partitionBy("doc_id", "island").orderBy("ord")
-    before = F.sum(F.length("text") + 1).over(run.rowsBetween(Window.unboundedPreceding, -1)) - 1
-    parts = runs.withColumn("start", before).withColumn("head", F.first("node_id").over(run))
-    log = parts.where("start is not null").select("doc_id", F.lit("merge_cross_page_notes").alias("step_id"), F.col("head").alias("node_id"), "page_index", F.col("start").cast("int"), F.concat(F.lit(" "), "text").alias("normalized"), F.array("node_id").alias("merged_from"))
+    parts = runs.withColumn("seq", F.row_number().over(run) - 2).withColumn("head", F.first("node_id").over(run)).withColumn("start", F.length(F.first("text").over(run)))
+    log = _added(parts, "merge_cross_page_notes")
     merged = runs.groupBy("doc_id", "island").agg(F.min("ord").alias("ord"), F.min_by("node_id", "ord").alias("node_id"), F.min("page_index").alias("page_index"), join_text(runs, [], "ord").alias("text"))
     return merged.drop("island").withColumn("length_category", note_length(F.col("text"))), log
 
 
+def _added(parts: DataFrame, step_id: str) -> DataFrame:
+    """Log of the parts of a run after its head: each adds a space and its text at the end of the head's."""
+    return parts.where("seq >= 0").select(
+        "doc_id", F.lit(step_id).alias("step_id"), F.col("head").alias("node_id"), "page_index", F.col("seq").cast("int").alias("seq"), F.col("start").cast("int").alias("start"), F.col("start").cast("int").alias("end"),
+        F.lit("").alias("original"), F.concat(F.lit(" "), "text").alias("normalized"), F.array("node_id").alias("merged_from"),
+    )
+
+
 def recompose_ellipses(items: DataFrame) -> DataFrame:
     """Chains of marginal headings cut by ellipses as one text: a head that ends with one, followers that start with one.
 
     A chain counts only if it ends: its last part must not end with an ellipsis. Broken chains stay as they are. ``items``: ``doc_id, ord, node_id, text``.
     """
+    return _ellipses(items)[0]
+
+
+def _ellipses(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends, starts = F.col("text").rlike(TRAILING), F.col("text").rlike(LEADING)
     w = Window.partitionBy("doc_id").orderBy("ord")
     runs = islands(items, ["doc_id"], ["ord"], F.coalesce(starts & F.lag(ends).over(w), F.lit(False)))
     run = Window.partitionBy("doc_id", "island")
     valid = (F.count("*").over(run) > 1) & ~F.max_by(ends, F.col("ord")).over(run)
     bare = F.regexp_replace(F.regexp_replace("text", TRAILING, ""), LEADING, "")
-    runs = runs.withColumn("__valid", valid).withColumn("text", F.when(valid, bare).otherwise(F.col("text"))).withColumn("__g", F.when(F.col("__valid"), F.col("island")).otherwise(-F.col("ord") - 1))
-    return runs.groupBy("doc_id", "__g").agg(F.min("ord").alias("ord"), F.min_by("node_id", "ord").alias("node_id"), join_text(runs, [], "ord").alias("text"), F.count("*").alias("n_parts")).drop("__g")
+    runs = runs.withColumn("__valid", valid).withColumn("__whole", F.col("text")).withColumn("text", F.when(valid, bare).otherwise(F.col("text"))).withColumn("__g", F.when(F.col("__valid"), F.col("island")).otherwise(-F.col("ord") - 1))
+    return runs.groupBy("doc_id", "__g").agg(F.min("ord").alias("ord"), F.min_by("node_id", "ord").alias("node_id"), join_text(runs, [], "ord").alias("text"), F.count("*").alias("n_parts")).drop("__g"), runs
 
 
-def _neighbours(token: str) -> set[str]:
-    out = set()
-    for a, b in CONFUSIONS:
-        for x, y in ((a, b), (b, a)):
-            at = token.find(x)
-            while at >= 0:
-                out.add(token[:at] + y + token[at + len(x) :])
-                at = token.find(x, at + 1)
-    return out - {token}
+def recompose_with_log(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``recompose_ellipses``, with a log that ``replay`` undoes: of the head its last ellipsis, then each part added. ``items`` have ``page_index`` too."""
+    merged, runs = _ellipses(items)
+    run = Window.partitionBy("doc_id", "island").orderBy("ord")
+    parts = runs.where("__valid").withColumn("seq", F.row_number().over(run) - 1).withColumn("head", F.first("node_id").over(run)).withColumn("start", F.length(F.first("text").over(run)))
+    cut = parts.where("seq = 0").select(
+        "doc_id", F.lit("recompose_marginal_ellipsis").alias("step_id"), "node_id", "page_index", F.lit(999_999).alias("seq"), F.col("start").cast("int").alias("start"), F.length("__whole").cast("int").alias("end"),
+        F.expr("substring(__whole, start + 1)").alias("original"), F.lit("").alias("normalized"), F.array().cast("array<string>").alias("merged_from"),
+    )
+    # a head loses an ellipsis at its end only: its start is kept as it is
+    return merged, cut.unionByName(_added(parts.withColumn("seq", F.col("seq") - 1), "recompose_marginal_ellipsis"))
 
 
-def correct_tokens(tokens: DataFrame, lexicon: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``token, correction``: distinct tokens that aren't in the lexicon and become a word of it by few confusions.
+def correct_tokens(tokens: DataFrame, lexicon: DataFrame, depth: int = ocr.MOST_SUBSTITUTIONS) -> DataFrame:
+    """``token, correction``: distinct tokens that aren't in the lexicon and become a word of it by few substitutions.
 
     Layers of the search are tried from the nearest; the first with a word decides, and only if it has one. Candidates are made once for each distinct
     token and meet the lexicon in a join, whatever its size.
@@ -126,13 +213,13 @@ def correct_tokens(tokens: DataFrame, lexicon: DataFrame, depth: int = DEPTH) ->
             for token in pdf["token"]:
                 seen, front = {token}, {token}
                 for k in range(1, depth + 1):
-                    front = {n for t in front for n in _neighbours(t)} - seen
+                    front = {n for t in front for n in ocr.neighbours(t)} - seen
                     seen |= front
                     rows += [(token, k, n) for n in front]
             yield pd.DataFrame(rows, columns=["token", "layer", "word"])
 
     known = lexicon.select(F.lower("word").alias("word")).distinct()
-    odd = tokens.select(F.lower("token").alias("token")).where(F.length("token") >= LEAST_TOKEN).distinct().join(known.withColumnRenamed("word", "token"), "token", "left_anti")
+    odd = tokens.select(F.lower("token").alias("token")).where(F.length("token") >= ocr.LEAST_TOKEN).distinct().join(known.withColumnRenamed("word", "token"), "token", "left_anti")
     found = odd.mapInPandas(layers, "token string, layer int, word string").join(known, "word", "left_semi")
     per = found.groupBy("token", "layer").agg(F.count("*").alias("n"), F.first("word").alias("correction"))
     first = per.groupBy("token").agg(F.min_by(F.struct("n", "correction"), "layer").alias("b"))
@@ -168,10 +255,59 @@ def token_classes(texts: DataFrame) -> DataFrame:
 
 
 def matches_in_context(texts: DataFrame, name: str, pattern: str, around: int = 20) -> DataFrame:
-    """Each first occurrence of a distinct match with the text around it."""
-    found = texts.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)))).alias("match"))
-    at = F.expr("locate(match, text)")
-    return found.select("doc_id", F.lit(name).alias("pattern"), "match", F.expr(f"substring(text, greatest(locate(match, text) - {around}, 1), length(match) + 2 * {around})").alias("context"), at.alias("position"))
+    """Every occurrence of a pattern, with the text around it: ``doc_id, pattern, seq, match, context, position`` (from 1)."""
+    matcher = re.compile(pattern)
+
+    @F.pandas_udf("array<struct<match:string,context:string,position:int>>")
+    def find(text: pd.Series) -> pd.Series:
+        return pd.Series([[{"match": m.group(), "context": t[max(0, m.start() - around) : m.end() + around], "position": m.start() + 1} for m in matcher.finditer(t or "")] for t in text])
+
+    return texts.select("doc_id", F.lit(name).alias("pattern"), F.posexplode(find("text")).alias("seq", "m")).select("doc_id", "pattern", "seq", "m.*")
+
+
+#: Post-processing steps by the names that profiles list, in the order in which any profile lists them. Each takes nodes and a lexicon, and returns nodes and a log.
+STEPS: dict[str, Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]] = {
+    "dehyphenate_with_log": dehyphenate,
+    "dehyphenate_ocr_aggressive": dehyphenate_ocr,
+    "normalize_ocr_with_dictionary": normalize_ocr,
+    "merge_cross_page_notes": lambda nodes, lexicon: _on_category(nodes, "NOTE", merge_cross_page_notes),
+    "recompose_marginal_ellipsis": lambda nodes, lexicon: _on_category(nodes, "MARGINAL_HEADING", recompose_with_log),
+}
+
+
+def _on_category(nodes: DataFrame, category: str, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a category as a step that joins texts leaves them: those that went into others are gone."""
+    merged, log = step(nodes.where(F.col("category") == category).select("doc_id", "ord", "node_id", "page_index", "text"))
+    new = merged.select("doc_id", "node_id", F.col("text").alias("__text"))
+    gone = log.select("doc_id", F.explode("merged_from").alias("node_id"))
+    out = nodes.join(gone, ["doc_id", "node_id"], "left_anti").join(new, ["doc_id", "node_id"], "left")
+    text = F.coalesce("__text", "text")
+    length = F.when(F.col("__text").isNotNull() & (F.col("category") == "NOTE"), note_length(text)).otherwise(F.col("length_category"))
+    return out.select(*[{"text": text, "length_category": length}.get(c, F.col(c)).alias(c) for c in nodes.columns]), log
+
+
+def post_process(nodes: DataFrame, chosen: DataFrame, lexicon: DataFrame, steps: dict[str, tuple[str, ...]], registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes after the steps of their documents' profiles, and the log of all edits (``turn``: which step).
+
+    ``chosen``: ``doc_id, profile_id``; ``steps``: the names that each profile lists. A step runs once, on all documents whose profile lists it, and its nodes and log are written
+    before the next (a step reads its nodes several times); a name that isn't in the registry is an error.
+    """
+    registry = STEPS if registry is None else registry
+    if unknown := {s for names in steps.values() for s in names} - set(registry):
+        raise KeyError(f"no such step: {', '.join(sorted(unknown))}")
+    columns, logs = nodes.columns, []
+    own = settle(nodes.join(chosen.select("doc_id", "profile_id"), "doc_id", "left"))
+    for turn, (name, step) in enumerate(registry.items()):
+        profiles = [p for p, names in steps.items() if name in names]
+        if profiles:
+            mine = F.coalesce(F.col("profile_id").isin(*profiles), F.lit(False))
+            done, log = step(own.where(mine), lexicon)
+            logs.append(settle(log.select("doc_id", F.lit(turn).alias("turn"), "step_id", "node_id", "page_index", "seq", "start", "end", "original", "normalized")))
+            own = settle(own.where(~mine).unionByName(done.select(*own.columns)))
+    log = logs[0]
+    for more in logs[1:]:
+        log = log.unionByName(more)
+    return own.select(*columns), log
 
 
 def lexicon_counts(words: DataFrame, allowlist: DataFrame) -> DataFrame:

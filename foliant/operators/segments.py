@@ -18,6 +18,9 @@ PER_PAGE = 20
 TARGETS = {"fine": 400, "medium": 600, "coarse": 900, "very_coarse": 1200}
 REFRESH_LEAST, REFRESH_MOST = 60, 180
 TITLE_WORDS = 18
+#: What a refresher doesn't begin with, and prefixes that keep their hyphen.
+DIRTY_HEADS = ("^\\(?\\d{1,3}\\)", "^[)\\]»”’]", "^[;:,]")
+COMPOUNDS = ("ex", "post", "pre", "anti", "neo", "sub", "vice", "semi", "auto", "co", "contro", "sopra", "sotto", "extra", "intra", "inter", "pro", "re", "iper", "ipo")
 #: Abbreviations of legal Italian after which a full stop ends no sentence.
 ABBREVIATIONS = tuple("art artt co cod cpv cfr cit ecc es lett n nn nt op p pag pagg par sent sez sg sgg ss tab v vd vol cass civ pen trib app cost proc reg dir d.lgs l dott prof avv sig".split())
 #: Spoken introductions of roles.
@@ -152,16 +155,36 @@ def attach_punctuation(segments: DataFrame) -> DataFrame:
 
 
 def refresher(text: str, at: int) -> str:
-    """What to hear again before a marker at an offset: 60 to 180 characters that end there and begin a sentence where one does."""
-    before = text[:at].rstrip()
-    if len(before) <= REFRESH_MOST:
-        return before
-    window = before[-REFRESH_MOST:]
-    starts = [e for e in sentence_ends(window) if len(window) - e >= REFRESH_LEAST]
-    if starts:
-        return window[starts[0] :].strip()
-    space = window.find(" ")
-    return window[space + 1 :] if 0 <= space <= len(window) - REFRESH_LEAST else window
+    """What to hear again before a marker at an offset: its sentence up to there, and sentences before it until there are 60 characters.
+
+    Of more than 180 the nearest are kept, from a word's start. Remains of markers at the head go, and words cut by a hyphen are joined.
+    """
+    at = min(max(at, 0), len(text))
+    ends = [0, *sentence_ends(text)]
+    start = max((e for e in ends if e <= at), default=0)
+    while at - start < REFRESH_LEAST and start > 0:
+        start = max(e for e in ends if e < start)
+    out = text[start:at]
+    if len(out) > REFRESH_MOST:
+        cut = re.search(r"\s+(?=\S)", out[len(out) - REFRESH_MOST :])
+        out = out[len(out) - REFRESH_MOST + cut.end() :] if cut else out
+    out, last = out.strip(), None
+    while out != last:
+        last = out
+        for head in DIRTY_HEADS:
+            out = re.sub(head, "", out).strip()
+    return stitch(out)
+
+
+def stitch(text: str) -> str:
+    """Words with a hyphen between small letters joined, but after prefixes of real compounds."""
+    first, *rest = text.split("-")
+    out = first
+    for part in rest:
+        broken = out[-1:].islower() and part[:1].islower()
+        left = re.search(r"[^\W\d_]*$", out).group().lower()
+        out += ("" if broken and left not in COMPOUNDS else "-") + part
+    return out
 
 
 def memory_refresh(rows: DataFrame, text: str = "text", at: str = "marker_start") -> DataFrame:
@@ -179,8 +202,23 @@ def note_title(text: Column) -> Column:
 
 
 def outline_parents(headings: DataFrame) -> DataFrame:
-    """Each heading's parent: the last one before it of a smaller level. ``headings``: ``doc_id, ord, level`` with levels 1 to 6."""
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(w) for k in range(1, 7)]
-    out = headings.withColumn("__last", F.array(*last))
-    return out.withColumn("parent_ord", F.array_max(F.slice("__last", F.lit(1), F.col("level") - 1))).drop("__last")
+    """Each heading's parent: the last one before it of a smaller level, whatever the levels are. ``headings``: ``doc_id, ord, level``.
+
+    The places of headings in a stack are found first: a heading's place is one more than its parent's. A document's headings are folded once, in order, by a stack of
+    (level, ord) pairs: entries that aren't smaller go.
+    """
+    fold = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("ord", "level"))),
+        F.struct(F.array().cast("array<struct<level:bigint,ord:bigint>>").alias("stack"), F.array().cast("array<struct<ord:bigint,parent:bigint>>").alias("out")),
+        lambda acc, h: _push(acc, h),
+        lambda acc: acc["out"],
+    )
+    parents = headings.groupBy("doc_id").agg(fold.alias("__p")).select("doc_id", F.explode("__p").alias("__p")).select("doc_id", F.col("__p.ord").alias("ord"), F.col("__p.parent").alias("parent_ord"))
+    return headings.join(parents, ["doc_id", "ord"])
+
+
+def _push(acc: Column, h: Column) -> Column:
+    open_ = F.filter(acc["stack"], lambda e: e["level"] < h["level"])
+    above = F.try_element_at(open_, F.lit(-1))["ord"]
+    entry = F.struct(h["level"].cast("bigint").alias("level"), h["ord"].cast("bigint").alias("ord"))
+    return F.struct(F.concat(open_, F.array(entry)).alias("stack"), F.concat(acc["out"], F.array(F.struct(h["ord"].cast("bigint").alias("ord"), above.alias("parent")))).alias("out"))

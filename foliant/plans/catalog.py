@@ -58,16 +58,27 @@ _SQL_BUCKET = "case when {n} < 50 then 'MICRO' when {n} < 100 then 'SHORT' when
 _SQL_STRIPPED = "length(regexp_replace(regexp_replace(text, '^\\s*\\(?\\d+\\)\\s*', ''), '^\\s+|\\s+$', '', 'g'))"
 
 
-@query(f"""with {_SQL_LINES}, k as (select coalesce({_SQL_HEADING}, 'BODY') category, {_SQL_STRIPPED} n from lines)
+#: Heads that lines get by their place, so that each kind of heading and of marker occurs.
+HEADS = ("", "CAPITOLO IV ", "", "2.1. ", "§ 3. ", "", "7. ", "(12) ", "", "Capitolo ")
+_SQL_NUMBERED = f"""{_SQL_LINES.replace('lines as', 'plain as', 1)}, lines as (select doc_id, flat_idx, {list(HEADS)!r}[flat_idx % {len(HEADS)} + 1] || case when flat_idx % {len(HEADS)} = 9 then 'Primo' else text end as text from plain)"""
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("flat_idx") % len(HEADS)
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (k + 1).cast("int"))
+    return _lines(spark, sf_dir).withColumn("text", F.concat(head, F.when(k == 9, "Primo").otherwise(F.col("text"))))
+
+
+@query(f"""with {_SQL_NUMBERED}, k as (select coalesce({_SQL_HEADING}, 'BODY') category, {_SQL_STRIPPED} n from lines)
 select category, case when n > 0 then {_SQL_BUCKET.format(n='n')} end length_category, count(*) n from k group by 1, 2""")
 def length_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = classify.heading_lines(_lines(spark, sf_dir))
+    lines = classify.heading_lines(_numbered(spark, sf_dir))
     return lines.groupBy(F.coalesce("heading", F.lit("BODY")).alias("category"), T.note_length(F.col("text")).alias("length_category")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {_SQL_LINES} select doc_id, cast(flat_idx as int) flat_idx, {_SQL_HEADING} heading, text from lines where {_SQL_HEADING} is not null")
+@query(f"with {_SQL_NUMBERED} select doc_id, cast(flat_idx as int) flat_idx, {_SQL_HEADING} heading, text from lines where {_SQL_HEADING} is not null")
 def heading_pattern_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.heading_lines(_lines(spark, sf_dir)).where("heading is not null").select("doc_id", "flat_idx", "heading", "text")
+    return classify.heading_lines(_numbered(spark, sf_dir)).where("heading is not null").select("doc_id", "flat_idx", "heading", "text")
 
 
 def _distribution_sql(group: str) -> str:
@@ -89,10 +100,29 @@ def length_distribution_by_source(spark: SparkSession, sf_dir: str) -> DataFrame
     return reports.length_distribution(table(spark, sf_dir, "documents"), ["lang", "source"])
 
 
-@query(f"""with {_SQL_LINES} select lower(trim(regexp_replace(regexp_replace(text, '\\d+', '#', 'g'), '\\s+', ' ', 'g'))) as key, count(distinct doc_id) n_docs from lines group by 1 having count(distinct doc_id) >= 5""")
+@query(f"""with {_SQL_LINES}, l as (select d.source doc_id, d.doc_id page, lower(trim(regexp_replace(regexp_replace(d.lang || ' ' || (flat_idx + 1), '\\d+', '#', 'g'), '\\s+', ' ', 'g'))) as key, (flat_idx % {PER_PAGE}) / {PER_PAGE}.0 y from lines l join documents d on cast(d.doc_id as varchar) = l.doc_id),
+p as (select source doc_id, count(*) n_pages from documents group by 1),
+c as (select doc_id, key, count(distinct page) n, count(distinct case when y < 0.12 or y > 0.88 then page end) n_band from l where key <> '' group by 1, 2)
+select c.doc_id, c.key, c.n n_pages from c join p using (doc_id) where n_band >= greatest(5, ceil(p.n_pages * 0.15)) or n >= greatest(5, ceil(p.n_pages * 0.5))""")
 def repeated_line_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = _lines(spark, sf_dir).groupBy(T.furniture_key(F.col("text")).alias("key")).agg(F.countDistinct("doc_id").alias("n_docs"))
-    return by.where(F.col("n_docs") >= furniture.LEAST)
+    """Sources as documents whose pages are their texts; a line is its language and its number."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "source", "lang")
+    lines = _lines(spark, sf_dir).select(F.col("doc_id").cast("long").alias("page"), (F.col("flat_idx") + 1).alias("text"), ((F.col("flat_idx") % PER_PAGE) / float(PER_PAGE)).alias("y")).join(docs, "page").withColumnRenamed("source", "doc_id").withColumn("text", F.concat_ws(" ", "lang", "text"))
+    return furniture.repeated_lines(lines, docs.groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("n_pages")))
+
+
+@query("""select doc_id, cast("offset" as int) "offset", count(distinct page) n_pages from (select source doc_id, doc_id page, n_chars % 3 as "offset" from documents where length(cast(doc_id + n_chars % 3 as varchar)) <= 4) group by 1, 2 having count(distinct page) >= 5""")
+def folio_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as documents whose pages, texts by their ids, have folios that are off by their length."""
+    docs = table(spark, sf_dir, "documents")
+    return furniture.folios(docs.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), (F.col("doc_id") + F.col("n_chars") % 3).cast("string").alias("text")))
+
+
+@query(f"""with {_SQL_NUMBERED}, l as (select doc_id, flat_idx // {PER_PAGE} page, regexp_matches(text, '[\\s.,]\\d{{1,4}}\\s*$') e from lines),
+c as (select doc_id, cast(page as int) page, count(*) n_lines, count(*) filter (e) n_entries from l group by 1, 2)
+select *, n_lines >= 6 and n_entries >= 0.35 * n_lines strong, n_entries >= 10 and n_entries >= 0.20 * n_lines weak from c""")
+def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture.index_pages(_numbered(spark, sf_dir).withColumn("page", F.floor(F.col("flat_idx") / PER_PAGE).cast("int")))
 
 
 @query("""select conv_id, turn, cast(ceil(row_number() over (partition by conv_id order by turn) / 2.0) as int) page_number from conversations""")
@@ -142,17 +172,15 @@ def islands_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("conv_id", "island").agg(F.min("turn").alias("turn"), F.count("*").alias("n_parts"), reconstruct.join_text(runs, [], "turn").alias("text")).drop("island")
 
 
-@query("""with m as (select *, role = 'user' as is_number, lead(role) over w = 'assistant' as follows, lead(text) over w nxt from conversations window w as (partition by conv_id order by turn)),
-p as (select *, coalesce(is_number and follows, false) takes from m), q as (select *, coalesce(lag(takes) over (partition by conv_id order by turn), false) taken from p)
-select conv_id, turn, case when takes then concat_ws(' / ', left(text, 20), left(nxt, 20)) else left(text, 20) end title from q where not taken""")
+@query("""with t as (select conv_id, turn, case when role = 'user' then 'Capitolo ' || (turn + 1) || '.' else text end as text, role = 'user' as is_number from conversations),
+m as (select *, is_number and lead(is_number) over w is not null and not lead(is_number) over w as takes, lead(text) over w nxt from t window w as (partition by conv_id order by turn)),
+q as (select *, coalesce(lag(takes) over (partition by conv_id order by turn), false) taken from m)
+select conv_id, turn, case when takes then regexp_replace(text, '\\.$', '') || '. ' || nxt else text end title from q where not taken""")
 def chapter_pair_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    takes = F.coalesce((F.col("role") == "user") & (F.lead("role").over(w) == "assistant"), F.lit(False))
-    marked = turns.withColumn("next", F.lead("text").over(w)).withColumn("takes", takes)
-    marked = marked.withColumn("taken", F.coalesce(F.lag("takes").over(w), F.lit(False))).where("not taken")
-    title = F.when(F.col("takes"), F.concat_ws(" / ", F.substring("text", 1, 20), F.substring("next", 1, 20))).otherwise(F.substring("text", 1, 20))
-    return marked.select("conv_id", "turn", title.alias("title"))
+    """Turns of users as chapters' numbers, the others as titles."""
+    number = F.concat(F.lit("Capitolo "), F.col("turn") + 1, F.lit("."))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.lit("HEADING_1").alias("category"), F.when(F.col("role") == "user", number).otherwise(F.col("text")).alias("text"))
+    return reconstruct.pair_chapters(turns).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), F.col("text").alias("title"))
 
 
 @query("""with o as (select o_custkey, o_orderkey, date_diff('day', date '1970-01-01', cast(o_orderdate as date)) s from orders)
@@ -163,10 +191,10 @@ def overlap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.overlapping(ranges, ranges, ["o_custkey"]).where("a_id < b_id").select("o_custkey", "a_id", "b_id")
 
 
-@query("select c_custkey id, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select doc_id id, source from documents where doc_id not in (select doc_id from labels) and doc_id not in (select doc_id from documents where lang = 'en')")
 def uncollocated_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    return library.uncollocated(customers, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id")))
+    docs = table(spark, sf_dir, "documents")
+    return library.uncollocated(docs.select(F.col("doc_id").alias("id"), "source"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id")), docs.where("lang = 'en'").select(F.col("doc_id").alias("document_id")))
 
 
 @query("select o_orderkey id, o_orderdate last_opened_at from orders where o_orderstatus <> 'F' order by o_orderdate desc, o_orderkey limit 5")
@@ -234,10 +262,10 @@ def word_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.preview(F.col("text")).alias("preview"), F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query("select source, sha256(string_agg(x, chr(10) order by x)) digest from (select source, concat_ws('|', cast(doc_id as varchar), lang, cast(n_chars as varchar)) x from documents) group by 1")
+@query("select source, cast(sum(cast('0x' || left(sha256(x), 15) as bigint)) as varchar) digest, count(*) n from (select source, concat_ws('|', cast(doc_id as varchar), lang, cast(n_chars as varchar)) x from documents) group by 1")
 def binding_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", F.concat_ws("|", "doc_id", "lang", "n_chars").alias("x"))
-    return rows.groupBy("source").agg(T.digest(F.collect_list("x")).alias("digest"))
+    return rows.groupBy("source").agg(T.row_digest(F.col("x")).alias("digest"), F.count("*").alias("n"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -291,13 +319,38 @@ def merge_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir).select("doc_id", "ord", "category", "page", "text", F.array("flat_idx").alias("block_indices"))
+    """Nodes of the same lines, with articles among the categories."""
+    n = F.length("text")
+    category = F.when(n < 24, F.col("category")).when(n < 28, "ARTICLE_HEADER").when(n < 34, "ARTICLE_BODY").otherwise(F.col("category"))
+    items = _items(spark, sf_dir).withColumn("category", category).select("doc_id", "ord", "category", "page", "text", F.array("flat_idx").alias("block_indices"))
     return reconstruct.assemble(items)[0]
 
 
-@query()
+#: The same forest in SQL: places in the stack of headings, their paths, and every node's path, which gives the order.
+_SQL_NODES = f"""{_SQL_BLOCKS},
+its as (select doc_id, page, text, row_number() over (partition by doc_id order by page, y0, flat_idx) - 1 k, case when length(text) < 8 then 'HEADING_1' when length(text) < 16 then 'HEADING_2' when length(text) < 24 then 'HEADING_3' when length(text) < 28 then 'ARTICLE_HEADER'
+ when length(text) < 34 then 'ARTICLE_BODY' when length(text) < 40 then 'NOTE' else 'BODY' end category from blocks),
+hd as (select *, cast(right(category, 1) as int) lvl, row_number() over (partition by doc_id order by k) h from its where category like 'HEADING%'),
+hp as (select *, least(h + min(lvl - h) over (partition by doc_id order by k), h) place from hd),
+hm as (select *, max(case when place = 1 then k end) over b m1, max(case when place = 2 then k end) over b m2 from hp window b as (partition by doc_id order by k rows between unbounded preceding and 1 preceding)),
+hq as (select *, case when lvl <> place then null when lvl = 2 then m1 when lvl = 3 then m2 end par from hm),
+hh as (select c.doc_id, c.k, list_filter([p.par, c.par, c.k], lambda x: x is not null) path from hq c left join hq p on p.doc_id = c.doc_id and p.k = c.par),
+cur as (select *, max(case when category like 'HEADING%' then k end) over b hk, max(case when category = 'ARTICLE_HEADER' then k end) over b ak from its window b as (partition by doc_id order by k rows between unbounded preceding and 1 preceding)),
+nodes as (select c.doc_id, c.page, c.text, c.k, c.category, coalesce(own.path, coalesce(top.path, []) || case when c.ak > coalesce(c.hk, -1) and c.category in ('ARTICLE_BODY', 'NOTE') then [c.ak] else [] end || [c.k]) path
+ from cur c left join hh own on own.doc_id = c.doc_id and own.k = c.k left join hh top on top.doc_id = c.doc_id and top.k = c.hk),
+forest as (select doc_id, 'node_' || lpad(cast(k as varchar), cast(greatest(4, length(cast(k as varchar))) as int), '0') node_id, path, page, text, category, k, cast(row_number() over (partition by doc_id order by path) - 1 as int) ord, cast(len(path) - 1 as int) depth,
+ case when category = 'NOTE' and {_SQL_STRIPPED} > 0 then {_SQL_BUCKET.format(n=_SQL_STRIPPED)} end length_category from nodes)"""
+
+
+@query(f"""with {_SQL_NODES} select doc_id, node_id, case when len(path) > 1 then 'node_' || lpad(cast(path[-2] as varchar), cast(greatest(4, length(cast(path[-2] as varchar))) as int), '0') end parent_id, ord, depth,
+ cast(row_number() over (partition by doc_id, path[-2] order by k) - 1 as int) sibling_idx, category, length_category from forest""")
 def heading_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).select("doc_id", "node_id", "parent_id", "ord", "depth", "category", "length_category")
+    return _nodes(spark, sf_dir).select("doc_id", "node_id", "parent_id", "ord", "depth", "sibling_idx", "category", "length_category")
+
+
+@query(f"""with {_SQL_NODES} select doc_id, node_id, ord, cast(ord + (select count(*) from forest g where g.doc_id = f.doc_id and len(g.path) > len(f.path) and g.path[1:len(f.path)] = f.path) as int) subtree_end from forest f""")
+def subtree_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconstruct.subtree_end(_nodes(spark, sf_dir)).select("doc_id", "node_id", "ord", "subtree_end")
 
 
 @query()
@@ -306,12 +359,14 @@ def fused_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruct.fuse_headings(items).select("doc_id", "ord", "category", "text")
 
 
-@query()
+@query(f"""with {_SQL_NODES} select doc_id, count(*) n_nodes, max(depth) + 1 max_depth, {', '.join(f"count(*) filter (category = 'HEADING_{k}') n_heading_{k}" for k in range(1, 5))},
+ {', '.join(f"count(*) filter (category = 'NOTE' and length_category = '{c}') n_{c.lower()}" for c in ('MICRO', 'SHORT', 'MEDIUM', 'LONG', 'VERY_LONG', 'MEGA'))} from forest group by doc_id""")
 def document_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.topology(_nodes(spark, sf_dir))
 
 
-@query()
+@query(f"""with {_SQL_NODES}, up as (select doc_id, page, unnest(path) a from forest) select f.doc_id, f.node_id, f.depth, f.category, f.ord lo, cast(min(up.page) as int) first_page, cast(max(up.page) as int) last_page
+ from forest f join up on up.doc_id = f.doc_id and up.a = f.k where f.category like 'HEADING%' group by all""")
 def outline_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruct.outline_ranges(_nodes(spark, sf_dir)).drop("title")
 
@@ -324,7 +379,7 @@ def reading_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with t as (select conv_id, turn, role, length(text) % 5 n from conversations),
 b as (select conv_id, turn, role, n, max(case when role = 'user' then turn end) over (partition by conv_id, n order by turn rows between unbounded preceding and 1 preceding) target from t)
-select cast(conv_id as varchar) doc_id, 'node_' || turn src_node_id, cast(n as int) n, 'node_' || target target_node_id, case when target is null then 'apparatus:reference_unbound_node_' || turn end warning from b where role <> 'user'""")
+select cast(conv_id as varchar) doc_id, 'node_' || turn src_node_id, cast(n as int) n, 'node_' || target target_node_id, case when target is null then 'unresolved_cross_reference_node_node_' || turn || '_n_' || n end warning from b where role <> 'user'""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as notes and references, numbered by length: the last earlier note of a number in the conversation."""
     turns = table(spark, sf_dir, "conversations")
@@ -333,6 +388,21 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apparatus.bind_cross_references(nodes)
 
 
+@query("""with t as (select conv_id, turn, role, length(text) n from conversations), c as (select *, case when n % 7 = 0 then 'HEADING_1' when n % 7 = 1 then 'HEADING_2' when role = 'user' then 'NOTE' else 'CROSS_REFERENCE' end category, n % 2 m from t),
+h as (select *, max(case when category like 'HEADING%' then turn end) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) hd from c)
+select cast(conv_id as varchar) doc_id, turn, cast(m as int) n, (select max(x.turn) from h x where x.conv_id = h.conv_id and x.category = 'NOTE' and x.m = h.m and x.turn < h.turn and x.turn > coalesce(h.hd, -1)) target from h where category = 'CROSS_REFERENCE'""")
+def scoped_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as headings, notes and references; the forest gives the scopes."""
+    n, turn = F.length("text"), F.col("turn").cast("string")
+    category = F.when(n % 7 == 0, "HEADING_1").when(n % 7 == 1, "HEADING_2").when(F.col("role") == "user", "NOTE").otherwise("CROSS_REFERENCE")
+    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("ord"), category.alias("category"), F.lit(0).alias("page"), F.concat((n % 2).cast("string"), F.when(category == "NOTE", F.concat(F.lit(". "), turn)).otherwise("")).alias("text"), F.array(F.col("turn").cast("int")).alias("block_indices"))
+    nodes = reconstruct.assemble(items)[0]
+    place = nodes.select("doc_id", F.col("node_id"), F.element_at("block_indices", 1).cast("long").alias("turn"))
+    bound = apparatus.bind_cross_references(apparatus.with_scopes(nodes))
+    out = bound.join(place.withColumnRenamed("node_id", "src_node_id"), ["doc_id", "src_node_id"]).join(place.select("doc_id", F.col("node_id").alias("target_node_id"), F.col("turn").alias("target")), ["doc_id", "target_node_id"], "left")
+    return out.select("doc_id", "turn", "n", "target")
+
+
 @query("""with t as (select conv_id, turn, role, length(text) n from conversations), p as (select conv_id, turn // 2 page, n % 3 k, turn from t where role = 'user'), c as (select conv_id, page, k, count(*) c, min(turn) id from p group by all),
 l as (select conv_id, page, max(k) last_n from p group by all), m as (select conv_id, turn, turn // 2 page, n % 3 k from t where role <> 'user'),
 j as (select m.conv_id, m.turn, case when s.c = 1 then s.id when s.c is null and a.c = 1 and m.k = coalesce(l.last_n, 0) + 1 then a.id end note_id from m left join c s on s.conv_id = m.conv_id and s.page = m.page and s.k = m.k
@@ -355,12 +425,12 @@ def cross_page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.merge_cross_page_notes(notes)[0]
 
 
-@query(r"""with t as (select conv_id, turn, (case when turn > 0 then '… ' else '' end) || left(text, 30) || (case when turn < 1 then ' …' else '' end) as text from conversations),
+@query(r"""with t as (select conv_id, turn, (case when turn > 0 then '… ' else '' end) || text || (case when turn < 1 then ' …' else '' end) as text from conversations),
 p as (select *, turn = 0 and lead(turn) over w is not null as head, turn = 1 and lag(turn) over w is not null as tail, lead(text) over w nxt from t window w as (partition by conv_id order by turn))
 select conv_id doc_id, turn ord, 'node_' || turn node_id, case when head then regexp_replace(text, '\s*(?:\.\.\.|…)\s*$', '') || ' ' || regexp_replace(nxt, '^\s*(?:\.\.\.|…)\s*', '') else text end as text, case when head then 2 else 1 end n_parts from p where not tail""")
 def ellipsis_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    text = F.concat(F.when(F.col("turn") > 0, "… ").otherwise(""), F.substring("text", 1, 30), F.when(F.col("turn") < 1, " …").otherwise(""))
+    text = F.concat(F.when(F.col("turn") > 0, "… ").otherwise(""), F.col("text"), F.when(F.col("turn") < 1, " …").otherwise(""))
     return repair.recompose_ellipses(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.concat(F.lit("node_"), "turn").alias("node_id"), text.alias("text")))
 
 
@@ -371,7 +441,7 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each long word of a document's first line is cut at a line's end, and joined again where the lexicon has it."""
+    """Long words are cut at a line's end, and joined again where the lexicon has them."""
     docs = table(spark, sf_dir, "documents")
     cut = F.regexp_replace("text", "([a-z]{3})([a-z]{3})", "$1-\n$2")
     nodes = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("node_0000").alias("node_id"), F.lit(0).alias("page_index"), F.lit("BODY").alias("category"), cut.alias("text"), F.lit(None).cast("string").alias("length_category"))
@@ -381,8 +451,20 @@ def dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ocr_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _lexicon(spark, sf_dir).where(F.length("word") >= 5).select(F.regexp_replace("word", "o", "0").alias("token")).where(F.col("token").contains("0"))
-    return repair.correct_tokens(tokens, _lexicon(spark, sf_dir))
+    lexicon = _lexicon(spark, sf_dir)
+    tokens = lexicon.where(F.length("word") >= 5).select(F.regexp_replace("word", "o", "0").alias("token")).where(F.col("token").contains("0"))
+    return repair.correct_tokens(tokens, lexicon)
+
+
+@query()
+def ocr_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their o misread as 0, and what the two steps for scans make of them."""
+    text = F.regexp_replace(F.regexp_replace("text", "([a-z])o([a-z])", "$10$2"), "([a-z]{4})([a-z]{4})", "$1-\n$2")
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("node_0000").alias("node_id"), F.lit(0).alias("ord"), F.lit(0).alias("page_index"), F.lit("BODY").alias("category"), text.alias("text"), F.lit(None).cast("string").alias("length_category"))
+    chosen = nodes.select("doc_id", F.lit("enciclopedia_storica").alias("profile_id"))
+    out, log = repair.post_process(nodes, chosen, _lexicon(spark, sf_dir), {p.name: p.steps for p in profile.PROFILES})
+    edits = log.groupBy("doc_id").agg(F.count("*").alias("n_edits"))
+    return out.join(edits, "doc_id", "left").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.coalesce("n_edits", F.lit(0)).alias("n_edits"))
 
 
 @query()
@@ -399,7 +481,7 @@ def granularize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def memory_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("marker_start", F.least(F.length("text"), F.lit(500)))
+    docs = table(spark, sf_dir, "documents").withColumn("marker_start", F.length("text"))
     return segments.memory_refresh(docs).select("doc_id", "memory_refresh")
 
 
@@ -435,17 +517,19 @@ def intersect_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").intersect(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"))
 
 
-@query("""with o as (select cast(c_custkey as varchar) k, cast(c_nationkey as varchar) v from customer where c_custkey % 3 <> 0), n as (select cast(c_custkey as varchar) k, cast(c_nationkey + c_custkey % 2 as varchar) v from customer where c_custkey % 5 <> 0)
+@query("""with o as (select cast(c_custkey as varchar) k, cast(c_nationkey as varchar) v from customer), n as (select cast(o_custkey as varchar) k, cast(count(*) as varchar) v from orders group by 1)
 select coalesce(o.k, n.k) as key, case when o.k is null then 'added' when n.k is null then 'removed' else 'changed' end change, o.v as old, n.v as new from o full join n on o.k = n.k where o.k is null or n.k is null or o.v <> n.v""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    row = lambda where, v: c.where(where).select(F.col("c_custkey").cast("string").alias("key"), v.cast("string").alias("value"))
-    return reports.snapshot_diff(row("c_custkey % 3 <> 0", F.col("c_nationkey")), row("c_custkey % 5 <> 0", F.col("c_nationkey") + F.col("c_custkey") % 2))
+    """Customers' nations before, numbers of their orders after."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_nationkey").cast("string").alias("value"))
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("key")).agg(F.count("*").cast("string").alias("value"))
+    return reports.snapshot_diff(customers, counts)
 
 
-@query("select source, doc_id from (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) k from documents) where k = 1")
+@query("select source, lang, doc_id from (select source, lang, doc_id, row_number() over (partition by source, lang order by n_chars desc, doc_id) k from documents) where k = 1")
 def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"))
+    docs = table(spark, sf_dir, "documents").withColumn("ord", F.struct(-F.col("n_chars"), "doc_id"))
+    return reconstruct.keep_first(docs, ["source", "lang"])[0].select("source", "lang", "doc_id")
 
 
 @query("""select doc_id, trim(regexp_replace(regexp_replace(lower(source || ' ' || lang), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) slug,
@@ -470,3 +554,24 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outline_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), (F.length("text") % 4 + 1).alias("level"))
     return segments.outline_parents(turns).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), "parent_ord")
+
+
+@query("""select o_orderkey id, case when o_orderpriority like '1%' then o_orderstatus || '!' else o_orderstatus end title, o_orderdate last_opened_at from orders order by 1""")
+def library_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat("o_orderstatus", F.when(F.col("o_orderpriority").startswith("1"), "!").otherwise(""))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), title.alias("title"), F.col("o_orderdate").alias("last_opened_at"))
+    return library.sort_documents(rows, "opened")
+
+
+@query("""select cast(doc_id as varchar) doc_id, cast(strpos(text, word) - 1 as int) as "start", cast(strpos(text, word) - 1 + length(word) as int) as "end" from (select doc_id, text, regexp_extract(text, '[a-z]{6,}') word from documents) where strpos(text, word) > 0 and word <> ''""")
+def children_in_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text as a node, its first long word as its child."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").where(F.col("text").rlike("[a-z]{6,}"))
+    parents = docs.select("doc_id", F.lit("p").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), "text")
+    children = docs.select("doc_id", F.lit("c").alias("node_id"), F.lit("p").alias("parent_id"), F.regexp_extract("text", "[a-z]{6,}", 0).alias("text"))
+    return segments.place_children(parents.unionByName(children)).select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
+@query("""select doc_id, case when len(w) > 18 then array_to_string(w[1:18], ' ') || '…' else array_to_string(w, ' ') end title from (select doc_id, list_filter(regexp_split_to_array(regexp_replace('(3) ' || text, '^\\s*\\(?\\d+\\)?[.\\s]\\s*', ''), '\\s+'), lambda x: x <> '') w from documents)""")
+def note_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", segments.note_title(F.concat(F.lit("(3) "), "text")).alias("title"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "foliant", master: str | None = None, partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -13,3 +16,21 @@ def session(name: str = "foliant", master: str | None = None, partitions: int |
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the folder that driver and executors share (``spark.checkpoint.dir``) and read it back: what follows starts from there.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, as executors could not see one machine's folder.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/foliant/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -278,9 +278,19 @@ def read_pdf(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, schemas.SPANS)
 
 
-def write_contract(documents: DataFrame, path: str) -> None:
-    """One JSON text for each document, in files by document."""
-    documents.select("doc_id", F.col("json").alias("value")).write.partitionBy("doc_id").text(path)
+def write_contract(documents: DataFrame, path: str, buckets: int = 64) -> None:
+    """``doc_id`` and JSON text of each document, one a line, in folders by a hash of the id: as many folders for any number of documents."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    documents.select("doc_id", "json", bucket.alias("bucket")).write.partitionBy("bucket").json(path)
+
+
+def read_contract(spark, path: str, doc_ids: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """What ``write_contract`` wrote; of the documents named only the folders that may hold them are read."""
+    out = spark.read.schema("doc_id string, json string, bucket int").json(path)
+    if doc_ids is not None:
+        wanted = [r[0] for r in spark.createDataFrame([(d,) for d in doc_ids], "d string").select(F.pmod(F.xxhash64("d"), F.lit(buckets)).cast("int")).distinct().collect()]
+        out = out.where(F.col("bucket").isin(wanted) & F.col("doc_id").isin(doc_ids))
+    return out.drop("bucket")
 
 
 def document_summary(documents: DataFrame, nodes: DataFrame, warnings: DataFrame, version: str = SCHEMA_VERSION) -> DataFrame:

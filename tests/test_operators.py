@@ -61,6 +61,68 @@ def test_heading_stack_orphan(spark):
     assert order.index("node_0007") < order.index("node_0006")  # the note attaches back below the article
 
 
+def test_heading_stack_against_a_plain_one(spark):
+    """Any order of categories: the windows give the forest of a stack kept step by step."""
+    import random
+
+    def plain(categories):
+        parents, stack, article = [], [], None
+        for k, c in enumerate(categories):
+            top = stack[-1] if stack else None
+            if c.startswith("HEADING"):
+                level = int(c[-1])
+                parents.append(stack[level - 2] if level > 1 and len(stack) >= level - 1 else None)
+                stack[level - 1 :] = [k]
+                article = None
+            else:
+                parents.append(top if c in ("ARTICLE_HEADER", "BODY") else top if article is None else article)
+                article = k if c == "ARTICLE_HEADER" else article
+        below: dict = {}
+        for k, p in enumerate(parents):
+            below.setdefault(p, []).append(k)
+        order, todo = [], [(k, 0) for k in reversed(below.get(None, []))]
+        while todo:
+            k, depth = todo.pop()
+            order.append((k, depth))
+            todo += [(c, depth + 1) for c in reversed(below.get(k, []))]
+        return parents, order
+
+    rng = random.Random(3)
+    kinds = [*(f"HEADING_{k}" for k in range(1, 10)), "ARTICLE_HEADER", "ARTICLE_BODY", "BODY", "NOTE"]
+    docs = {f"d{k}": rng.choices(kinds, k=rng.randint(1, 60)) for k in range(30)}
+    rows = [(d, i, c, 0, f"t{i}", [i]) for d, cs in docs.items() for i, c in enumerate(cs)]
+    items = spark.createDataFrame(rows, "doc_id string, ord int, category string, page int, text string, block_indices array<int>")
+    nodes = reconstruct.assemble(items)[0]
+    ends = {}
+    for r in reconstruct.subtree_end(nodes).collect():
+        ends.setdefault(r["doc_id"], []).append(r)
+    for d, cs in docs.items():
+        parents, order = plain(cs)
+        got = sorted(ends[d], key=lambda r: r["ord"])
+        name = lambda k: None if k is None else f"node_{k:04d}"
+        assert [(r["node_id"], r["depth"], r["parent_id"]) for r in got] == [(name(k), depth, name(parents[k])) for k, depth in order]
+        for i, r in enumerate(got):
+            assert r["subtree_end"] == next((j - 1 for j in range(i + 1, len(got)) if got[j]["depth"] <= r["depth"]), len(got) - 1)
+
+
+def test_subtrees_of_any_depth(spark):
+    """Chains far deeper than headings go, as legal XML nests them, with their page ranges and scopes."""
+    rows = [("d", f"n{k}", k, k, k, "HEADING_1" if k % 7 == 0 else "LIST_ITEM", f"t{k}") for k in range(41)] + [("d", f"m{k}", 41 + k, k + 3, 50 + k, "LIST_ITEM", f"u{k}") for k in range(38)]
+    nodes = spark.createDataFrame(rows, "doc_id string, node_id string, ord int, depth int, page_index int, category string, text string")
+    got = {r["node_id"]: r["subtree_end"] for r in reconstruct.subtree_end(nodes).collect()}
+    assert all(got[f"n{k}"] == (78 if k <= 2 else 40) for k in range(41)) and all(got[f"m{k}"] == 78 for k in range(38))
+    ranges = {r["node_id"]: (r["first_page"], r["last_page"]) for r in reconstruct.outline_ranges(nodes).collect()}
+    assert ranges == {"n0": (0, 87), **{f"n{k}": (k, 40) for k in range(7, 41, 7)}}
+    scopes = {r["node_id"]: r["scopes"] for r in apparatus.with_scopes(nodes).collect()}
+    assert scopes["n0"] == [] and scopes["n20"] == ["n0", "n7", "n14"] and scopes["m37"] == ["n0"]
+
+
+def test_outline_of_any_level(spark):
+    rows = [("d", k, level) for k, level in enumerate([1, 7, 9, 8, 3, 12, 7, 2, 1, 40])]
+    got = [r["parent_ord"] for r in segments.outline_parents(spark.createDataFrame(rows, "doc_id string, ord int, level int")).orderBy("ord").collect()]
+    assert got == [None, 0, 1, 1, 0, 4, 4, 0, None, 8]
+
+
 def test_subtree_end(spark):
     nodes, _ = reconstruct.assemble(_items(spark, ["HEADING_1", "BODY", "HEADING_2", "BODY", "HEADING_1"]))
     assert [r["subtree_end"] for r in reconstruct.subtree_end(nodes).orderBy("ord").collect()] == [3, 1, 3, 3, 4]
@@ -91,11 +153,44 @@ def test_dispatch_ties_and_fallback(spark):
 
 
 def test_all_profiles_score(spark):
+    """Each profile's own kind of document, with the sum of the weights of what holds; else-penalties, gates and ties."""
     from foliant.schemas import SIGNALS
 
-    row = ("d", [("Arial", 12.0, 80.0), ("Arial-Bold", 13.0, 5.0)], (0, 0, 0, 0), 612.0, 792.0, "Aspose.Pdf", "", "", False, 0, 0, [("dt_banner", True, "")])
-    got = profile.dispatch(spark.createDataFrame([row], SIGNALS)).first()
-    assert got["profile_id"] == "dejure_dottrina" and abs(got["confidence"] - 0.8) < 1e-9
+    def row(key, fonts, size=(500.0, 700.0), producer="", creator="", apparatus=(0, 0, 0, 0), outline=0, markers=()):
+        return (key, fonts, apparatus, *size, producer, creator, "", outline > 0, outline, 0, list(markers))
+
+    arial = [("ArialMT", 12.0, 80.0), ("Arial-BoldMT", 9.0, 5.0)]
+    letter, code = (612.0, 792.0), (357.0, 547.0)
+    rows = [
+        row("compendio", [("TimesTenLTStd-Roman", 10.2, 75.0), ("TimesTen-Roman-SC700", 5.6, 1.0), ("TimesTen-Roman", 8.5, 2.0)], producer="Adobe PDF Library 9"),
+        row("dottrina", [*arial, ("Arial-BoldMT", 13.0, 5.0)], letter, "Aspose.PDF for .NET", markers=[("dejure_banner_text", True, "DOTTRINA")]),
+        row("nota", [*arial, ("Arial-BoldMT", 13.0, 5.0)], letter, "Aspose.PDF for .NET", markers=[("dejure_banner_text", True, "NOTE E DOTTRINA")]),
+        row("massime", [*arial, ("Arial-BoldMT", 12.1, 5.0)], letter, "Aspose.PDF for .NET"),
+        row("moderna", [("SimonciniGaramond", 9.0, 60.0), ("SimonciniGaramond-Italic", 7.5, 9.0), ("TimesNewRoman", 12.0, 1.0)], (481.0, 680.0)),
+        row("storica", [("Times-Roman", 9.0, 40.0), ("Times-Italic", 7.5, 9.0)], (481.0, 700.0), "Acrobat Paper Capture"),
+        row("codici", [("PalatinoLinotype", 7.48, 35.0)], code, "PDFsharp 1.50", apparatus=(0, 60, 0, 0), markers=[("giuffre_codici_banner_text", True, " Codice penale ")]),
+        row("leggi", [("PalatinoLinotype", 7.48, 35.0)], code, markers=[("giuffre_codici_banner_text", True, "leggi")]),
+        row("bic", [("Verdana", 12.0, 60.0)], producer="iLovePDF", outline=120),
+        row("giappichelli", [("SimonciniGaramondStd", 10.98, 30.0)], (482.0, 682.0), creator="Adobe InDesign 20.0", apparatus=(0, 50, 0, 0), outline=100),
+        row("diretto", [("MScotchRoman", 11.47, 50.0), ("TimesNewRomanPS-BoldMT", 12.97, 1.0)], apparatus=(50, 0, 0, 0)),
+        row("wolters", [("TimesTenLTStd-Roman", 10.0, 30.0)], apparatus=(50, 50, 0, 0)),
+        row("zanichelli", [("TimesNewRomanPSMT", 11.0, 71.0), ("Helvetica-Light", 9.0, 3.0)], (481.89, 680.31)),
+        row("materiali", [("Calibri", 11.0, 70.0)], (596.0, 842.0), "Skia/PDF m120 Google Docs Renderer"),
+        row("nothing", [("Garamond", 11.0, 90.0)]),
+        row("wrong case", arial, letter, "aspose.pdf"),
+        row("none", [], (None, None), None, None),
+    ]
+    want = {
+        "compendio": ("compendio_utet", 0.95), "dottrina": ("dejure_dottrina", 0.8), "nota": ("dejure_nota_sentenza", 0.8), "massime": ("dejure_massime", 0.8), "moderna": ("enciclopedia_moderna", 0.7),
+        "storica": ("enciclopedia_storica", 0.85), "codici": ("giuffre_codici", 1.0), "leggi": ("giuffre_codici", 0.75), "bic": ("manuale_bic", 0.75), "giappichelli": ("manuale_giappichelli", 0.9),
+        "diretto": ("manuale_giuffre_diretto", 0.7), "wolters": ("manuale_utet_wolterskluwer", 0.85), "zanichelli": ("manuale_zanichelli_giuridica", 0.9), "materiali": ("materiali_studio", 0.75),
+        "nothing": ("unknown_generic", 0.0), "wrong case": ("unknown_generic", 0.0), "none": ("unknown_generic", 0.0),
+    }
+    got = profile.dispatch(spark.createDataFrame(rows, SIGNALS)).collect()
+    assert {r["doc_id"]: (r["profile_id"], round(r["confidence"], 6)) for r in got} == want
+    scores = {r["doc_id"]: {x["profile_id"]: round(x["score"], 6) for x in r["scores"]} for r in got}
+    assert scores["dottrina"]["dejure_nota_sentenza"] == 0.55 and scores["massime"]["dejure_dottrina"] == 0.5 and scores["dottrina"]["dejure_massime"] == 0.4
+    assert scores["nothing"]["giuffre_codici"] == 0.0 and scores["wrong case"]["dejure_massime"] == 0.5
 
 
 def test_dehyphenate_and_replay(spark):
@@ -107,6 +202,74 @@ def test_dehyphenate_and_replay(spark):
     assert {r["node_id"]: r["text"] for r in repair.replay(out, log).collect()}["n"] == text
 
 
+NODE_ROWS = "doc_id string, node_id string, ord int, page_index int, category string, text string, length_category string"
+
+
+def _undone(out, log, nodes):
+    back = {(r["doc_id"], r["node_id"]): r["text"] for r in repair.replay(out, log).collect()}
+    old = {(r["doc_id"], r["node_id"]): r["text"] for r in nodes.collect()}
+    return all(old[k] == v for k, v in back.items())
+
+
+def test_scanned_hyphens(spark):
+    """Halves are joined into words of the lexicon, also misread ones; numbers, kept hyphens and single letters are left alone."""
+    words = spark.createDataFrame([(w,) for w in ("parola", "giudice", "decretolegge", "alto", "norma", "cosa")], "word string")
+    rows = [("a", "Pa-\nrola e pa-rola"), ("b", "giu-\nd1ce"), ("c", "decreto-legge"), ("d", "12-34"), ("e", "alt-o"), ("f", "NOR-\nMA"), ("g", "xyz-\nabc"), ("h", None)]
+    nodes = spark.createDataFrame([("d", k, i, 0, "NOTE", t, None) for i, (k, t) in enumerate(rows)], NODE_ROWS)
+    out, log = repair.dehyphenate_ocr(nodes, words)
+    assert {r["node_id"]: r["text"] for r in out.collect()} == {"a": "Parola e parola", "b": "giudice", "c": "decreto-legge", "d": "12-34", "e": "alt-o", "f": "NORMA", "g": "xyz-\nabc", "h": None}
+    assert _undone(out, log, nodes) and log.count() == 4
+
+
+def test_scanned_words(spark):
+    """Rewrites, labels and words of the lexicon; in the case of the text; not where two words are as near, nor inside what a rewrite has changed."""
+    words = spark.createDataFrame([(w,) for w in ("comma", "giudice", "norma", "legge", "lotto", "letto", "citta", "umano")], "word string")
+    rows = [
+        ("a", "BODY", "il cornma e il Giud1ce"), ("b", "BODY", "10o euro, art. ll7 e 100· della citta"), ("c", "SECTION_LABEL", "LETTEHATURA e Sez. lII"), ("d", "BODY", "NORMA n0rma N0RMA"), ("e", "BODY", "l0tto"),
+        ("f", "ARTIFACT_FOOTER", "cornma"), ("g", "BODY", "uma 12"), ("h", "NOTE", "perche •· cosi"), ("i", "BODY", None),
+    ]
+    nodes = spark.createDataFrame([("d", k, i, 0, c, t, None) for i, (k, c, t) in enumerate(rows)], NODE_ROWS)
+    out, log = repair.normalize_ocr(nodes, words)
+    got = {r["node_id"]: r["text"] for r in out.collect()}
+    assert got == {"a": "il comma e il Giudice", "b": "100 euro, art. 117 e 100. della città", "c": "LETTERATURA e Sez. III", "d": "NORMA norma NORMA", "e": "lotto", "f": "cornma", "g": "uma 12", "h": "perché così", "i": None}
+    assert _undone(out, log, nodes)
+
+
+def test_post_processing_by_profile(spark):
+    """Each document gets the steps of its profile, in order, with one log that says what was done; unknown steps are an error."""
+    words = spark.createDataFrame([("parola",), ("comma",)], "word string")
+    rows = [(d, f"n{k}", k, k, "NOTE", t, None) for d in ("scan", "plain", "none") for k, t in enumerate(["(1) pa-\nrola", "cornma due", "(2) tre"])]
+    nodes = spark.createDataFrame(rows, NODE_ROWS)
+    chosen = spark.createDataFrame([("scan", "enciclopedia_storica"), ("plain", "dejure_dottrina")], "doc_id string, profile_id string")
+    steps = {p.name: p.steps for p in profile.PROFILES}
+    out, log = repair.post_process(nodes, chosen, words, steps)
+    got = {}
+    for r in out.orderBy("doc_id", "ord").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got == {"scan": ["(1) parola comma due", "(2) tre"], "plain": ["(1) parola", "cornma due", "(2) tre"], "none": ["(1) pa-\nrola", "cornma due", "(2) tre"]}
+    assert [(r["doc_id"], r["step_id"]) for r in log.orderBy("doc_id", "turn").collect()] == [("plain", "dehyphenate_with_log"), ("scan", "dehyphenate_with_log"), ("scan", "normalize_ocr_with_dictionary"), ("scan", "merge_cross_page_notes")]
+    with pytest.raises(KeyError):
+        repair.post_process(nodes, chosen, words, {"x": ("no such step",)})
+
+
+def test_merges_replay(spark):
+    """Notes joined over several pages, and chains of ellipses, come apart again."""
+    notes = spark.createDataFrame([("d", k, f"n{k}", k, t) for k, t in enumerate(["1. a b", "c d", "e", "2. f", "g"])], "doc_id string, ord int, node_id string, page_index int, text string")
+    out, log = repair.merge_cross_page_notes(notes)
+    assert [r["text"] for r in out.orderBy("ord").collect()] == ["1. a b c d e", "2. f g"]
+    assert {r["node_id"]: r["text"] for r in repair.replay(out, log).collect()} == {"n0": "1. a b", "n3": "2. f"}
+    assert sorted((r["node_id"], r["merged_from"][0], r["normalized"][1:]) for r in log.collect()) == [("n0", "n1", "c d"), ("n0", "n2", "e"), ("n3", "n4", "g")]
+    heads = spark.createDataFrame([("d", k, f"n{k}", 0, t) for k, t in enumerate(["Uno ...", "... due …", "… tre", "solo ..."])], "doc_id string, ord int, node_id string, page_index int, text string")
+    out, log = repair.recompose_with_log(heads)
+    assert [r["text"] for r in out.orderBy("ord").collect()] == ["Uno due tre", "solo ..."]
+    assert {r["node_id"]: r["text"] for r in repair.replay(out, log).collect()} == {"n0": "Uno ...", "n3": "solo ..."}
+
+
+def test_every_match_in_context(spark):
+    got = repair.matches_in_context(spark.createDataFrame([("d", "ab ab xx ab")], "doc_id string, text string"), "p", "ab", 2).collect()
+    assert [(r["seq"], r["position"], r["context"]) for r in got] == [(0, 1, "ab a"), (1, 4, "b ab x"), (2, 10, "x ab")]
+
+
 def test_notes_across_pages(spark):
     rows = [("d", 0, "a", 0, "1. uno"), ("d", 1, "b", 1, "continua"), ("d", 2, "c", 1, "2. due"), ("d", 3, "e", 3, "dopo")]
     merged, log = repair.merge_cross_page_notes(spark.createDataFrame(rows, "doc_id string, ord int, node_id string, page_index int, text string"))
