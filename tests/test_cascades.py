@@ -52,7 +52,7 @@ def test_code_books(spark):
     head = ["ARTIFACT_FILIGREE", "HEADING_1", "HEADING_3", "UNCLASSIFIED"]
     both = blocks(spark, rows, "a").union(blocks(spark, rows, "b"))
     chosen = spark.createDataFrame([("a", "giuffre_codici", "penale"), ("b", "giuffre_codici", "civile")], "doc_id string, profile_id string, code_type string")
-    penal, civil = [*head, "PROCEDURAL", "ARTICLE_HEADER", "UNCLASSIFIED", "UNCLASSIFIED", "ARTICLE_BODY"], [*head, "NOTE", "ARTICLE_HEADER", "ARTICLE_HEADER", "ARTICLE_BODY", "ARTICLE_BODY"]
+    penal, civil = [*head, "PROCEDURAL", "ARTICLE_HEADER", "ARTICLE_HEADER", "UNCLASSIFIED", "ARTICLE_BODY"], [*head, "NOTE", "ARTICLE_HEADER", "ARTICLE_HEADER", "ARTICLE_BODY", "ARTICLE_BODY"]
     got = cascades.refine_all(both, chosen)
     assert categories(got.where("doc_id = 'a'")) == penal and categories(got.where("doc_id = 'b'")) == civil
 

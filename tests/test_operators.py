@@ -285,8 +285,8 @@ def test_ellipsis_chain_must_end(spark):
 
 def test_correction_needs_one_word(spark):
     lexicon = spark.createDataFrame([("legge",), ("modo",), ("nodo",)], "word string")
-    tokens = spark.createDataFrame([("1egge",), ("lcgge",), ("zzzz",), ("legge",)], "token string")
-    assert {r["token"]: r["correction"] for r in repair.correct_tokens(tokens, lexicon).collect()} == {"1egge": "legge", "lcgge": "legge"}
+    tokens = spark.createDataFrame([("1egge",), ("lbgge",), ("zzzz",), ("legge",)], "token string")
+    assert {r["token"]: r["correction"] for r in repair.correct_tokens(tokens, lexicon).collect()} == {"1egge": "legge", "lbgge": "legge"}
 
 
 def test_overlaps_and_furniture(spark):
