@@ -314,7 +314,7 @@ def find_notices(docs: DataFrame, text_col: str = "text") -> DataFrame:
         at = F.filter(F.transform(x["w"], lambda v, i: F.when(v.isin(*cues()), F.floor(i / half).cast("int"))), lambda v: v.isNotNull())
         # a passage starts at each half; the last start that still has words after its first half covers the end
         last = F.greatest(F.ceil(F.size(x["w"]) / half).cast("int") - 2, F.lit(0))
-        starts = F.sort_array(F.array_distinct(F.flatten(F.transform(at, lambda k: F.array(F.least(k, last), F.greatest(F.least(k, last) - 1, F.lit(0)))))))
+        starts = F.sort_array(F.array_distinct(F.flatten(F.transform(at, lambda k: F.filter(F.array(k, k - 1), lambda s: s.between(F.lit(0), last))))))
         return F.transform(starts, lambda s: F.struct(x["paragraph"].alias("paragraph"), (s * half).alias("first_word"), _numbers(_neighbours(F.slice(x["w"], s * half + 1, F.lit(PASSAGE)))).alias("known")))
 
     out = out.withColumn("__ps", pinned(F.transform("__ps", passages))).withColumn("__ps", pinned(F.flatten(F.transform("__ps", cut))))
