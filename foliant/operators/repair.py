@@ -2,77 +2,173 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 from pyspark.sql.window import Window
 
 from foliant.functions import ocr
 from foliant.functions.text import NOTE_MARKER, note_length
 from foliant.operators.reconstruct import islands, join_text
-from foliant.session import settle
+from foliant.session import settle, unsettle
 
 #: Letters of hyphenated halves, the two hyphens, markers of a chain of marginal headings.
 HYPHENATION = "([a-zA-Zàèéìòù]+)[-­]\n([a-zA-Zàèéìòù]+)"
 HYPHENATION_OCR = "([a-zA-Zàèéìòù0-9]+)[-­]\n?([a-zA-Zàèéìòù0-9]+)"
 TRAILING, LEADING = "\\s*(?:\\.\\.\\.|…)\\s*$", "^\\s*(?:\\.\\.\\.|…)\\s*"
+HYPHEN = "[-­]\\n?"
+_HYPHEN = re.compile(HYPHEN)
+#: Rows of a batch that a worker holds at once.
+BATCH_ROWS = 200
+#: Corrections that each worker holds; matches that it remembers.
+HELD, REMEMBERED = 500_000, 200_000
+#: Candidates that a worker gathers before it hands them on.
+CANDIDATES = 20_000
 _EDITS = "array<struct<start:int,end:int,original:string,normalized:string>>"
 
 
 def _halves(nodes: DataFrame, pattern: str) -> DataFrame:
     """Candidate joins: each match with the joined word, from the text alone (built-in functions)."""
     found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
-    return nodes.where(F.col("text").rlike(pattern)).select("doc_id", "node_id", F.explode(F.array_distinct(found)).alias("original")).withColumn("joined", F.regexp_replace("original", "[-­]\n?", ""))
+    both = nodes.where(F.col("text").rlike(pattern)).select("doc_id", "node_id", F.explode(F.array_distinct(found)).alias("original"))
+    return both.withColumn("word", F.lower(F.regexp_replace("original", HYPHEN, "")))
 
 
 def dehyphenate(nodes: DataFrame, lexicon: DataFrame, step_id: str = "dehyphenate_with_log", pattern: str = HYPHENATION) -> tuple[DataFrame, DataFrame]:
     """Nodes whose end-of-line hyphens are joined where the whole word is in the lexicon, and the edit log.
 
-    The lexicon (``word``, lower case) meets the distinct candidates in a semi join, so it may be of any size. Offsets in the log are of the text before the step.
-    Other notes' length classes are found anew.
+    The lexicon (``word``, lower case) may be of any size. Offsets in the log are of the text before the step. Other notes' length classes are found anew.
     """
-    found = _halves(nodes, pattern).withColumn("word", F.lower("joined")).join(lexicon.select("word").distinct(), "word", "left_semi")
-    return _apply(nodes, found.select("doc_id", "node_id", "original", F.col("joined").alias("normalized")), pattern, step_id)
+    words = lexicon.select("word").where("word is not null").distinct()
+    return _apply(nodes, _halves(nodes, pattern), words.withColumn("correction", F.col("word")), pattern, step_id, _whole, lambda original, correction: _HYPHEN.sub("", original))
 
 
-def _apply(nodes: DataFrame, fixes: DataFrame, pattern: str, step_id: str, more: Callable[[str], list[tuple[int, int, str]]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes whose matches of a pattern are replaced as ``fixes`` (``doc_id, node_id, original, normalized``) say, and the log of edits.
+def _whole(original: str) -> str | None:
+    return _HYPHEN.sub("", original).lower()
 
-    ``more`` gives further (start, end, replacement) of a text, which come first where they overlap; every node is then looked at.
-    """
-    by_node = fixes.groupBy("doc_id", "node_id").agg(F.map_from_entries(F.collect_set(F.struct("original", "normalized"))).alias("__fix"))
+
+def _whole_ocr(original: str) -> str | None:
+    """The whole word of two halves, unless they are left alone."""
+    before, after = _HYPHEN.split(original)
+    if len(after) < ocr.LEAST_AFTER_HYPHEN or before.isdigit() and after.isdigit() or (before.lower(), after.lower()) in ocr.KEPT_HYPHENS:
+        return None
+    return (before + after).lower()
+
+
+def _token(original: str) -> str | None:
+    return None if original.isdigit() else original.lower()
+
+
+def _distinct(nodes: DataFrame, pattern: str, word: Callable[[str], str | None]) -> DataFrame:
+    """``word``: the distinct words that ``word`` makes of a pattern's matches, written as a table."""
     matcher = re.compile(pattern)
 
-    @F.pandas_udf(f"struct<text:string,edits:{_EDITS}>")
-    def rewrite(text: pd.Series, fix: pd.Series) -> pd.DataFrame:
-        texts, logs = [], []
-        for t, known in zip(text, fix, strict=True):
-            known = dict(known) if known is not None else {}
-            edits = [(a, b, x) for a, b, x in (more(t) if more and t else [])]
-            taken = sorted((a, b) for a, b, _ in edits)
-            for m in matcher.finditer(t or "") if known else ():
-                if m.group() in known and not any(a < m.end() and m.start() < b for a, b in taken):
-                    edits.append((m.start(), m.end(), known[m.group()]))
-            edits.sort()
-            out, last = [], 0
-            for a, b, x in edits:
-                out += [t[last:a], x]
-                last = b
-            texts.append("".join([*out, t[last:]]) if edits else t)
-            logs.append([{"start": a, "end": b, "original": t[a:b], "normalized": x} for a, b, x in edits])
-        return pd.DataFrame({"text": texts, "edits": logs})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                found.update(matcher.findall(t))
+                if len(found) >= REMEMBERED:
+                    yield pa.RecordBatch.from_arrays([pa.array({w for x in found if (w := word(x))}, pa.string())], ["word"])
+                    found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array({w for x in found if (w := word(x))}, pa.string())], ["word"])
+
+    return settle(nodes.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "word string").distinct(), BATCH_ROWS)
+
+
+def _apply(
+    nodes: DataFrame,
+    found: DataFrame,
+    corrections: DataFrame,
+    pattern: str,
+    step_id: str,
+    word: Callable[[str], str | None],
+    final: Callable[[str, str], str],
+    more: Callable[[str], list[tuple[int, int, str]]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose matches of a pattern become what ``final`` makes of match and correction, and the log of edits.
+
+    ``corrections`` (``word, correction``) has ``word`` of what is changed. Up to ``HELD`` of them each worker holds; more come with each node, from a join with
+    ``found`` (``doc_id, node_id, word`` of the matches). ``more`` gives further (start, end, replacement) of a text, which come first where they overlap.
+    Texts are rewritten once and in small batches: nodes and log are read from the table that this writes.
+    """
+    known, spark, place = settle(corrections), nodes.sparkSession, nodes.columns
+    held = None
+    if known.count() <= HELD:
+        held = spark.sparkContext.broadcast(dict(zip(*known.select("word", "correction").toArrow().to_pydict().values(), strict=True)))
+        rows = nodes.withColumn("__fix", F.lit(None).cast("array<struct<word:string,correction:string>>"))
+    else:
+        fixes = found.select("doc_id", "node_id", "word").join(known, "word").groupBy("doc_id", "node_id").agg(F.collect_set(F.struct("word", "correction")).alias("__fix"))
+        rows = nodes.join(fixes, ["doc_id", "node_id"], "left").select(*place, "__fix")
+    matcher = re.compile(pattern)
 
-    out = nodes.join(by_node, ["doc_id", "node_id"], "left")
-    touched = F.col("__fix").isNotNull() if more is None else F.col("text").isNotNull() & F.col("category").isin(*ocr.TEXT_CATEGORIES)
-    done = out.withColumn("__r", F.when(touched, rewrite("text", "__fix")))
-    log = done.where(F.size("__r.edits") > 0).select("doc_id", "node_id", "page_index", F.posexplode("__r.edits").alias("seq", "e")).select("doc_id", F.lit(step_id).alias("step_id"), "node_id", "page_index", "seq", "e.*")
-    changed = F.coalesce(F.size("__r.edits") > 0, F.lit(False))
-    new = F.when(changed, F.col("__r.text")).otherwise(F.col("text"))
-    length = F.when(changed & (F.col("category") == "NOTE"), note_length(new)).otherwise(F.col("length_category"))
-    return done.select(*[{"text": new, "length_category": length}.get(c, F.col(c)).alias(c) for c in nodes.columns]), log
+    def change(original: str, fix: dict[str, str]) -> str | None:
+        w = word(original)
+        x = final(original, fix[w]) if w in fix else None
+        return None if x == original else x
+
+    def edits_of(text: str, fix: dict[str, str], seen: dict[str, str | None]) -> list[tuple[int, int, str]]:
+        edits = more(text) if more else []
+        starts, ends = [e[0] for e in edits], [e[1] for e in edits]
+        for m in matcher.finditer(text) if fix else ():
+            original = m.group()
+            if original not in seen:
+                seen[original] = change(original, fix)
+            if (x := seen[original]) is not None and not _over(starts, ends, m.start(), m.end()):
+                edits.append((m.start(), m.end(), x))
+        edits.sort()
+        return edits
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, str | None] = {}
+        for batch in batches:
+            texts, fix = batch.column("text").to_pylist(), batch.column("__fix")
+            pairs = fix.flatten()
+            words, corrected = pairs.field(0).to_pylist(), pairs.field(1).to_pylist()
+            sizes = pc.fill_null(pc.list_value_length(fix), 0).to_pylist()
+            looked = [True] * len(texts) if more is None else [c in ocr.TEXT_CATEGORIES for c in batch.column("category").to_pylist()]
+            at, offsets, log = 0, [0], []
+            for k, (t, n, look) in enumerate(zip(texts, sizes, looked, strict=True)):
+                if held is None or len(seen) > REMEMBERED:
+                    seen.clear()
+                if t and look:
+                    edits = edits_of(t, held.value if held else dict(zip(words[at : at + n], corrected[at : at + n], strict=True)), seen)
+                    out, last = [], 0
+                    for a, b, x in edits:
+                        out += [t[last:a], x]
+                        last = b
+                        log.append((a, b, t[a:b], x))
+                    texts[k] = "".join([*out, t[last:]])
+                at += n
+                offsets.append(len(log))
+            columns = [pa.array([e[j] for e in log], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["start", "end", "original", "normalized"]))
+            own = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in place]
+            yield pa.RecordBatch.from_arrays([*own, made], [*place, "__edits"])
+
+    schema = StructType([*nodes.schema.fields, StructField("__edits", DataType.fromDDL(_EDITS))])
+    done = settle(rows.mapInArrow(rewrite, schema), BATCH_ROWS)
+    if held:
+        held.destroy()
+    unsettle(known)
+    log = done.where(F.size("__edits") > 0).select("doc_id", "node_id", "page_index", F.posexplode("__edits").alias("seq", "e")).select("doc_id", F.lit(step_id).alias("step_id"), "node_id", "page_index", "seq", "e.*")
+    length = F.when((F.size("__edits") > 0) & (F.col("category") == "NOTE"), note_length(F.col("text"))).otherwise(F.col("length_category"))
+    out = done.select(*[length.alias(c) if c == "length_category" else F.col(c) for c in place])
+    out.made_of = done
+    return out, log
+
+
+def _over(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether [a, b) meets one of the places, which are in order and apart."""
+    k = bisect.bisect_left(starts, b) - 1
+    return k >= 0 and ends[k] > a
 
 
 def dehyphenate_ocr(nodes: DataFrame, lexicon: DataFrame, step_id: str = "dehyphenate_ocr_aggressive") -> tuple[DataFrame, DataFrame]:
@@ -80,46 +176,37 @@ def dehyphenate_ocr(nodes: DataFrame, lexicon: DataFrame, step_id: str = "dehyph
 
     Pairs of numbers, halves of one letter after the hyphen, and words that keep theirs are left alone. Case is that of the two halves.
     """
-    both = _halves(nodes, HYPHENATION_OCR).withColumn("before", F.regexp_extract("original", HYPHENATION_OCR, 1)).withColumn("after", F.regexp_extract("original", HYPHENATION_OCR, 2))
-    kept = F.concat_ws("-", F.lower("before"), F.lower("after")).isin(*["-".join(p) for p in ocr.KEPT_HYPHENS])
-    numbers = F.col("before").rlike("^[0-9]+$") & F.col("after").rlike("^[0-9]+$")
-    both = both.where((F.length("after") >= ocr.LEAST_AFTER_HYPHEN) & ~numbers & ~kept).withColumn("word", F.lower("joined"))
     known = lexicon.select(F.lower("word").alias("word")).distinct()
-    words = both.select("word").distinct()
+    words = _distinct(nodes, HYPHENATION_OCR.replace("(", "(?:"), _whole_ocr)
     right = words.join(known, "word", "left_semi").select("word", F.col("word").alias("correction"))
     fixed = correct_tokens(words.select(F.col("word").alias("token")), lexicon).withColumnRenamed("token", "word")
-    fixes = both.join(right.unionByName(fixed), "word").select("doc_id", "node_id", "original", _like("joined", "correction").alias("normalized"))
-    return _apply(nodes, fixes, HYPHENATION_OCR, step_id)
-
+    out = _apply(nodes, _halves(nodes, HYPHENATION_OCR), right.unionByName(fixed), HYPHENATION_OCR, step_id, _whole_ocr, lambda original, correction: ocr.like(_HYPHEN.sub("", original), correction))
+    unsettle(words)
+    return out
 
-def _like(template: str, word: str):
-    @F.pandas_udf("string")
-    def run(t: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([ocr.like(a, b) for a, b in zip(t, w, strict=True)])
 
-    return run(F.col(template), F.col(word))
-
-
-_REWRITES = [(re.compile(p), x) for p, x in ocr.REWRITES]
+#: A rewrite with what every match of it holds.
+_REWRITES = [(part, re.compile(p), x) for part, p, x in ocr.REWRITES]
 
 
 def rewrites(text: str) -> list[tuple[int, int, str]]:
     """Places that the fixed rewrites and section labels change: from the left, the longest first, none over another."""
-    found = [(m.start(), m.end(), m.expand(x)) for p, x in _REWRITES for m in p.finditer(text) if m.expand(x) != m.group()]
-    found.sort(key=lambda e: (e[0], e[0] - e[1]))
+    found = [(m.start(), m.end(), x) for part, p, template in _REWRITES if part in text for m in p.finditer(text) if (x := m.expand(template)) != m.group()]
     labels = []
     for read, printed in ocr.MARKERS:
         at = text.find(read)
         while at >= 0:
             labels.append((at, at + len(read), printed))
             at = text.find(read, at + len(read))
-    labels.sort(key=lambda e: (e[0], e[0] - e[1]))
     out: list[tuple[int, int, str]] = []
     for own in (found, labels):
-        for a, b, x in own:
-            if not any(s < b and a < e for s, e, _ in out):
+        starts, ends, last = [e[0] for e in out], [e[1] for e in out], 0
+        for a, b, x in sorted(own, key=lambda e: (e[0], e[0] - e[1])):
+            if a >= last and not _over(starts, ends, a, b):
                 out.append((a, b, x))
-    return sorted(out)
+                last = b
+        out.sort()
+    return out
 
 
 def normalize_ocr(nodes: DataFrame, lexicon: DataFrame, step_id: str = "normalize_ocr_with_dictionary") -> tuple[DataFrame, DataFrame]:
@@ -128,10 +215,12 @@ def normalize_ocr(nodes: DataFrame, lexicon: DataFrame, step_id: str = "normaliz
     Rewrites in context and labels come first; other words that the lexicon lacks become the one word of it that is fewest substitutions away, in their own case.
     Distinct words meet the lexicon in joins.
     """
-    words = nodes.where(F.col("text").isNotNull() & F.col("category").isin(*ocr.TEXT_CATEGORIES)).select("doc_id", "node_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ocr.TOKEN})"), F.lit(1)))).alias("original"))
-    words = words.where(~F.col("original").rlike("^[0-9]+$")).withColumn("token", F.lower("original"))
-    fixes = words.join(correct_tokens(words.select("token"), lexicon), "token").select("doc_id", "node_id", "original", _like("original", "correction").alias("normalized")).where("original <> normalized")
-    return _apply(nodes, fixes, ocr.TOKEN, step_id, rewrites)
+    read = nodes.where(F.col("text").isNotNull() & F.col("category").isin(*ocr.TEXT_CATEGORIES))
+    found = read.select("doc_id", "node_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ocr.TOKEN})"), F.lit(1)))).alias("original")).withColumn("word", F.lower("original"))
+    words = _distinct(read, ocr.TOKEN, _token)
+    out = _apply(nodes, found, correct_tokens(words.select(F.col("word").alias("token")), lexicon).withColumnRenamed("token", "word"), ocr.TOKEN, step_id, _token, ocr.like, rewrites)
+    unsettle(words)
+    return out
 
 
 def replay(nodes: DataFrame, log: DataFrame) -> DataFrame:
@@ -207,20 +296,26 @@ def correct_tokens(tokens: DataFrame, lexicon: DataFrame, depth: int = ocr.MOST_
     token and meet the lexicon in a join, whatever its size.
     """
 
-    def layers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for token in pdf["token"]:
+    def layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "layer", "word"]
+        kinds = (pa.string(), pa.int32(), pa.string())
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names)
+        rows = []
+        for batch in batches:
+            for token in batch.column("token").to_pylist():
                 seen, front = {token}, {token}
                 for k in range(1, depth + 1):
                     front = {n for t in front for n in ocr.neighbours(t)} - seen
                     seen |= front
                     rows += [(token, k, n) for n in front]
-            yield pd.DataFrame(rows, columns=["token", "layer", "word"])
+                if len(rows) >= CANDIDATES:
+                    yield made(rows)
+                    rows = []
+        yield made(rows)
 
     known = lexicon.select(F.lower("word").alias("word")).distinct()
     odd = tokens.select(F.lower("token").alias("token")).where(F.length("token") >= ocr.LEAST_TOKEN).distinct().join(known.withColumnRenamed("word", "token"), "token", "left_anti")
-    found = odd.mapInPandas(layers, "token string, layer int, word string").join(known, "word", "left_semi")
+    found = odd.mapInArrow(layers, "token string, layer int, word string").join(known, "word", "left_semi")
     per = found.groupBy("token", "layer").agg(F.count("*").alias("n"), F.first("word").alias("correction"))
     first = per.groupBy("token").agg(F.min_by(F.struct("n", "correction"), "layer").alias("b"))
     return first.where("b.n = 1").select("token", "b.correction")
@@ -296,6 +391,7 @@ def post_process(nodes: DataFrame, chosen: DataFrame, lexicon: DataFrame, steps:
     if unknown := {s for names in steps.values() for s in names} - set(registry):
         raise KeyError(f"no such step: {', '.join(sorted(unknown))}")
     columns, logs = nodes.columns, []
+    lexicon = settle(lexicon)
     own = settle(nodes.join(chosen.select("doc_id", "profile_id"), "doc_id", "left"))
     for turn, (name, step) in enumerate(registry.items()):
         profiles = [p for p, names in steps.items() if name in names]
@@ -303,7 +399,9 @@ def post_process(nodes: DataFrame, chosen: DataFrame, lexicon: DataFrame, steps:
             mine = F.coalesce(F.col("profile_id").isin(*profiles), F.lit(False))
             done, log = step(own.where(mine), lexicon)
             logs.append(settle(log.select("doc_id", F.lit(turn).alias("turn"), "step_id", "node_id", "page_index", "seq", "start", "end", "original", "normalized")))
-            own = settle(own.where(~mine).unionByName(done.select(*own.columns)))
+            before, own = own, settle(own.where(~mine).unionByName(done.select(*own.columns)))
+            unsettle(before, *[t for t in (getattr(done, "made_of", None),) if t is not None])
+    unsettle(lexicon)
     log = logs[0]
     for more in logs[1:]:
         log = log.unionByName(more)

@@ -446,7 +446,8 @@ def dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.regexp_replace("text", "([a-z]{3})([a-z]{3})", "$1-\n$2")
     nodes = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("node_0000").alias("node_id"), F.lit(0).alias("page_index"), F.lit("BODY").alias("category"), cut.alias("text"), F.lit(None).cast("string").alias("length_category"))
     out, log = repair.dehyphenate(nodes, _lexicon(spark, sf_dir))
-    return out.join(log.groupBy("doc_id").agg(F.count("*").alias("n_edits")), "doc_id", "left").select("doc_id", F.length("text").alias("n_chars"), F.coalesce("n_edits", F.lit(0)).alias("n_edits"))
+    edits = log.groupBy("doc_id").agg(F.count("*").alias("n_edits"))
+    return out.select("doc_id", F.length("text").alias("n_chars")).join(edits, "doc_id", "left").withColumn("n_edits", F.coalesce("n_edits", F.lit(0)))
 
 
 @query()

@@ -202,6 +202,23 @@ def test_dehyphenate_and_replay(spark):
     assert {r["node_id"]: r["text"] for r in repair.replay(out, log).collect()}["n"] == text
 
 
+@pytest.mark.parametrize("held", [500_000, 0])
+def test_dehyphenate_rewrites_once(spark, monkeypatch, held):
+    """Nodes and log are read from a written table: texts aren't rewritten for each, nor in batches of thousands of rows. A lexicon beyond what workers hold gives the same."""
+    monkeypatch.setattr(repair, "HELD", held)
+    text = "una pa-\nrola, Pa-\nROLA, una stra-\nna cosa-\nxyz pa-\nrola-\ncosa"
+    nodes = spark.createDataFrame([("d", "n", 0, "NOTE", text, None), ("e", "n", 0, "BODY", "pa-\nrola", None), (None, "m", 0, "BODY", None, None)], "doc_id string, node_id string, page_index int, category string, text string, length_category string")
+    out, log = repair.dehyphenate(nodes, spark.createDataFrame([("parola",), ("strana",), (None,)], "word string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {"d": "una parola, PaROLA, una strana cosa-\nxyz parola-\ncosa", "e": "parola", None: None}
+    assert [(r["seq"], r["start"], r["original"], r["normalized"]) for r in log.where("doc_id = 'd'").orderBy("seq").collect()] == [
+        (0, 4, "pa-\nrola", "parola"), (1, 14, "Pa-\nROLA", "PaROLA"), (2, 28, "stra-\nna", "strana"), (3, 47, "pa-\nrola", "parola")
+    ]
+    for df in (out, log):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+    assert repair.BATCH_ROWS <= 1000
+
+
 NODE_ROWS = "doc_id string, node_id string, ord int, page_index int, category string, text string, length_category string"
 
 
