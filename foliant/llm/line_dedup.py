@@ -35,7 +35,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = _hot(first)
     first = first.withColumn("salt", F.explode(F.when(F.col("h1").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0))
     found = found.withColumn("salt", F.when(F.col("h1").isin(hot), F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0))
-    later = found.join(first.drop("n"), ["h1", "h2", "salt"]).where(place != F.col("first"))
+    later = found.join(first.drop("n").hint("merge"), ["h1", "h2", "salt"]).where(place != F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
@@ -58,7 +58,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     hits = materialize(repeated_windows(docs, id_col, text_col, width), "windows").toDF("__id", "__hash", "__at")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_spans")]
-    joined = docs.select(*own).join(hits, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash")), "left").drop("__id", "__hash")
+    # the same join at every size: small tables would be broadcast, larger ones not
+    joined = docs.select(*own).join(hits.hint("merge"), (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash")), "left").drop("__id", "__hash")
     joined = joined.withColumn("__at", pinned(F.coalesce("__at", F.array().cast("array<int>")))).withColumn("__lines", pinned(F.split(F.col(text_col), "\n", -1)))
     at = F.col("__at")
     first = F.filter(at, lambda p, i: (i == 0) | (p - F.get(at, i - 1) > width))

@@ -152,6 +152,14 @@ def test_lines_of_repeated_ids_and_hot_windows(spark, monkeypatch):
         assert got == collections.Counter(want)
 
 
+def test_line_dedup_plans_alike_at_every_size(spark):
+    """Small tables are not joined by broadcast, so that what travels grows in proportion to the input."""
+    text = "\n".join(f"line {k}" for k in range(5))
+    out = line_dedup.dedup_lines(documents(spark, [(1, text), (2, text)]))
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {1: 0, 2: 5}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores(spark):
     rows = corpus(5)
     got = {r["doc_id"]: r for r in lm_score.score(documents(spark, rows)).collect()}
