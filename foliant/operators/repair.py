@@ -375,10 +375,12 @@ def _on_category(nodes: DataFrame, category: str, step: Callable[[DataFrame], tu
     merged, log = step(nodes.where(F.col("category") == category).select("doc_id", "ord", "node_id", "page_index", "text"))
     new = merged.select("doc_id", "node_id", F.col("text").alias("__text"))
     gone = log.select("doc_id", F.explode("merged_from").alias("node_id"))
-    out = nodes.join(gone, ["doc_id", "node_id"], "left_anti").join(new, ["doc_id", "node_id"], "left")
+    # other nodes' texts don't travel
+    of = F.coalesce(F.col("category") == category, F.lit(False))
+    out = nodes.where(of).join(gone, ["doc_id", "node_id"], "left_anti").join(new, ["doc_id", "node_id"], "left")
     text = F.coalesce("__text", "text")
     length = F.when(F.col("__text").isNotNull() & (F.col("category") == "NOTE"), note_length(text)).otherwise(F.col("length_category"))
-    return out.select(*[{"text": text, "length_category": length}.get(c, F.col(c)).alias(c) for c in nodes.columns]), log
+    return out.select(*[{"text": text, "length_category": length}.get(c, F.col(c)).alias(c) for c in nodes.columns]).unionByName(nodes.where(~of)), log
 
 
 def post_process(nodes: DataFrame, chosen: DataFrame, lexicon: DataFrame, steps: dict[str, tuple[str, ...]], registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -392,15 +394,20 @@ def post_process(nodes: DataFrame, chosen: DataFrame, lexicon: DataFrame, steps:
         raise KeyError(f"no such step: {', '.join(sorted(unknown))}")
     columns, logs = nodes.columns, []
     lexicon = settle(lexicon)
-    own = settle(nodes.join(chosen.select("doc_id", "profile_id"), "doc_id", "left"))
+    own = table = settle(nodes.join(chosen.select("doc_id", "profile_id"), "doc_id", "left"))
     for turn, (name, step) in enumerate(registry.items()):
         profiles = [p for p, names in steps.items() if name in names]
         if profiles:
             mine = F.coalesce(F.col("profile_id").isin(*profiles), F.lit(False))
             done, log = step(own.where(mine), lexicon)
             logs.append(settle(log.select("doc_id", F.lit(turn).alias("turn"), "step_id", "node_id", "page_index", "seq", "start", "end", "original", "normalized")))
-            before, own = own, settle(own.where(~mine).unionByName(done.select(*own.columns)))
-            unsettle(before, *[t for t in (getattr(done, "made_of", None),) if t is not None])
+            before, made = table, getattr(done, "made_of", None)
+            if made is not None and own.where(~mine).isEmpty():  # all nodes stand in the step's own table
+                own, table = done.select(*own.columns), made
+            else:
+                own = table = settle(own.where(~mine).unionByName(done.select(*own.columns)))
+                unsettle(*[made] if made is not None else [])
+            unsettle(before)
     unsettle(lexicon)
     log = logs[0]
     for more in logs[1:]:

@@ -465,7 +465,7 @@ def ocr_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = nodes.select("doc_id", F.lit("enciclopedia_storica").alias("profile_id"))
     out, log = repair.post_process(nodes, chosen, _lexicon(spark, sf_dir), {p.name: p.steps for p in profile.PROFILES})
     edits = log.groupBy("doc_id").agg(F.count("*").alias("n_edits"))
-    return out.join(edits, "doc_id", "left").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.coalesce("n_edits", F.lit(0)).alias("n_edits"))
+    return out.select("doc_id", F.sha2("text", 256).alias("text_sha256")).join(edits, "doc_id", "left").withColumn("n_edits", F.coalesce("n_edits", F.lit(0)))
 
 
 @query()

@@ -252,6 +252,20 @@ def test_scanned_words(spark):
     assert _undone(out, log, nodes)
 
 
+@pytest.mark.parametrize("held", [500_000, 0])
+def test_scan_steps_read_what_they_wrote(spark, monkeypatch, held):
+    """Both steps for scans rewrite texts once, whether workers hold the corrections or they come with each node."""
+    monkeypatch.setattr(repair, "HELD", held)
+    words = spark.createDataFrame([("parola",), ("giudice",), ("comma",)], "word string")
+    nodes = spark.createDataFrame([("d", "a", 0, 0, "BODY", "pa-\nrola giu-\nd1ce 12-34 cornma perche", None), ("d", "b", 1, 0, "BODY", None, None)], NODE_ROWS)
+    for step, want, n in ((repair.dehyphenate_ocr, "parola giudice 12-34 cornma perche", 2), (repair.normalize_ocr, "pa-\nrola giù-\nd1ce 12-34 comma perché", 3)):
+        out, log = step(nodes, words)
+        assert {r["node_id"]: r["text"] for r in out.collect()} == {"a": want, "b": None} and _undone(out, log, nodes) and log.count() == n
+        for df in (out, log):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+
+
 def test_post_processing_by_profile(spark):
     """Each document gets the steps of its profile, in order, with one log that says what was done; unknown steps are an error."""
     words = spark.createDataFrame([("parola",), ("comma",)], "word string")
