@@ -28,7 +28,7 @@ _HYPHEN = re.compile(HYPHEN)
 #: Rows of a batch that a worker holds at once.
 BATCH_ROWS = 200
 #: Corrections that each worker holds; matches that it remembers.
-HELD, REMEMBERED = 500_000, 200_000
+HELD, REMEMBERED = 1_000_000, 200_000
 #: Candidates that a worker gathers before it hands them on.
 CANDIDATES = 20_000
 _EDITS = "array<struct<start:int,end:int,original:string,normalized:string>>"
@@ -102,7 +102,9 @@ def _apply(
     known, spark, place = settle(corrections), nodes.sparkSession, nodes.columns
     held = None
     if known.count() <= HELD:
-        held = spark.sparkContext.broadcast(dict(zip(*known.select("word", "correction").toArrow().to_pydict().values(), strict=True)))
+        pairs = known.select("word", "correction").toArrow().to_pydict()
+        # a word that is its own correction is one object
+        held = spark.sparkContext.broadcast({w: w if w == c else c for w, c in zip(pairs["word"], pairs["correction"], strict=True)})
         rows = nodes.withColumn("__fix", F.lit(None).cast("array<struct<word:string,correction:string>>"))
     else:
         fixes = found.select("doc_id", "node_id", "word").join(known, "word").groupBy("doc_id", "node_id").agg(F.collect_set(F.struct("word", "correction")).alias("__fix"))
